@@ -171,6 +171,79 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best of x[i:i+width] for each i with a whole window, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        x = best(x[:-span], x[span:])
+        span *= 2
+    return best(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
+
+
+def window_minima(hashes: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of ``window`` hashes the smallest, and whether the run lies in one text (``at``: word places, with gaps between texts)."""
+    least = sliding(hashes, window, np.minimum)
+    return least, at[window - 1 :] - at[: len(least)] == window - 1
+
+
+def minima(hashes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Which hashes are the smallest of some window of their text."""
+    if len(hashes) < window:
+        return np.zeros(len(hashes), bool)
+    least, whole = window_minima(hashes, at, window)
+    edge = np.zeros(window - 1, np.uint64)
+    return sliding(np.concatenate([edge, np.where(whole, least, np.uint64(0)), edge]), window, np.maximum) == hashes
+
+
+def fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each text's words in their order."""
+    rank = (np.arange(len(words)) - np.repeat(words.first[:-1], words.count())).astype(np.uint64)
+    out = []
+    for salt in (_P, _Q):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(words.hash + (rank + np.uint64(1)) * salt))])
+        out.append(signed(sums[words.first[1:]] - sums[words.first[:-1]]))
+    return out[0], out[1]
+
+
+# --- a bounded filter of ids ------------------------------------------------------------------
+
+FILTER_BITS = 1 << 28
+"""The largest filter that travels to the tasks (32 MB)."""
+
+
+def only(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
+    """Rows of ``docs`` (doc_id, text) that may be in ``ids`` (doc_id): (frame, keep).
+
+    ``keep(batch)`` drops what a bit filter rules out, within the Python step that reads the batch, so texts
+    needn't be shuffled. The filter has 8 bits an id, FILTER_BITS at most; beyond that many ids the frame is
+    semi-joined instead. A row that isn't in ``ids`` may stay: callers join by doc_id afterwards.
+    """
+    bits = 1 << max(13, int(8 * max(1, ids.count()) - 1).bit_length())
+    if bits > FILTER_BITS:
+        return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), lambda batch: batch
+    width, place = max(1 << 13, bits >> 4), F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for i in np.unique(at // width):
+                marked.setdefault(int(i), np.zeros(width, bool))[at[at // width == i] % width] = True
+        if marked:
+            yield pa.record_batch([pa.array(list(marked), pa.int32()), pa.array([np.packbits(x).tobytes() for x in marked.values()], pa.binary())], names=["slice", "bits"])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for row in ids.select(place.alias("at")).repartition(bits // width, (F.col("at") / width).cast("int")).mapInArrow(mark, "slice int, bits binary").toLocalIterator():
+        whole[row.slice * width // 8 : (row.slice + 1) * width // 8] |= np.frombuffer(row.bits, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(whole)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.column(2).to_numpy()
+        return batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return docs.select("doc_id", "text", place.alias("at")).where("doc_id is not null"), keep
+
+
 # --- connected components ---------------------------------------------------------------------
 
 

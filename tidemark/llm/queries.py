@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, chat_formatting, decontamination, hilbert_sharding, ngram_jaccard, toxicity
+from . import best_fit_packing, chat_formatting, compact_windows, decontamination, hilbert_sharding, importance_resampling, ngram_jaccard, segment_topk, suffix_dedup, toxicity
 from .common import documents
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good, known = labels.agg(F.count_if(F.expr("quality = 1")), F.count("quality")).first()
+    k = docs.count() * good // max(1, known)  # as many as the labels' share of good documents
+    return importance_resampling.resample(docs, labels.where("quality = 1"), k).select("doc_id", "n_grams", "log_weight", "key")
+
+
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -19,6 +26,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", out.n_grams.alias("n_shingles"), "component_id", "class_id")
 
 
+def op4_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(documents(spark, sf_dir), length=50)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -31,6 +42,15 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op7_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return segment_topk.topk(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(documents(spark, sf_dir), length=50, percent=80)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), length=2048)
 
@@ -40,5 +60,30 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op2_spaced_seeds, op3_ngram_jaccard, op5_chat_formatting, op6_hilbert_sharding, op9_best_fit_packing, op10_string_kernel_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_importance_resampling,
+        op2_spaced_seeds,
+        op3_ngram_jaccard,
+        op4_sparse_suffix_array,
+        op5_chat_formatting,
+        op6_hilbert_sharding,
+        op7_segment_topk,
+        op8_compact_windows,
+        op9_best_fit_packing,
+        op10_string_kernel_toxicity,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op7_segment_topk": """
+WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS DOUBLE) FOR x IN embedding] AS x FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+""",
+}

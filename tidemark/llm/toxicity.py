@@ -251,6 +251,40 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([(t, y) for _, t, y in texts], share)
 
 
+class _Scores:
+    """Scores of texts by a model, with what it found for words that were met lately."""
+
+    def __init__(self, model: Model):
+        self.model, self.cache = model, {}
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        m, cache = self.model, self.cache
+        if not m.landmarks:
+            return np.full(len(column), m.prior)
+        texts = [set((t or "").lower().split()) for t in column.to_pylist()]
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        new = list({w for t in texts for w in t if w not in cache})
+        for i in range(0, len(new), 50_000):
+            some = new[i : i + 50_000]
+            cache.update(zip(some, m.margins(some).tolist(), strict=True))
+        return m.score(np.array([max(map(cache.__getitem__, t), default=m.bias) for t in texts]))
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the documents that score ``threshold`` or more; all columns stay, nothing is shuffled."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(sent.value)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                yield part.filter(pa.array(scores(part.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1) and predicted (score >= 0.3).
 
@@ -260,22 +294,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = sent.value, {}
+        scores = _Scores(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [set((t or "").lower().split()) for t in part.column(1).to_pylist()]
-                if m.landmarks:
-                    if len(cache) > CACHE_WORDS:
-                        cache.clear()
-                    new = list({w for t in texts for w in t if w not in cache})
-                    for i in range(0, len(new), 50_000):
-                        some = new[i : i + 50_000]
-                        cache.update(zip(some, m.margins(some).tolist(), strict=True))
-                    result = m.score(np.array([max(map(cache.__getitem__, t), default=m.bias) for t in texts]))
-                else:
-                    result = np.full(part.num_rows, m.prior)
-                yield pa.record_batch([part.column(0), pa.array(result, pa.float64())], names=["doc_id", "score"])
+                yield pa.record_batch([part.column(0), pa.array(scores(part.column(1)), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
