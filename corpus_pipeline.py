@@ -1,15 +1,63 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written and read again
+before the next one. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import best_fit_packing, decontamination, ngram_jaccard, suffix_dedup, toxicity
+from tidemark.llm.common import cut
+
+TOXIC_SCORE = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose worst sentence scores TOXIC_SCORE or more go."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject(docs, model, TOXIC_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by 5-word runs at a Jaccard similarity of 0.8 the smallest doc_id stays, once."""
+    groups = ngram_jaccard.join(docs, n=5, percent=80)
+    gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
+    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each passage of 50 words or more that repeats, the first occurrence stays; n_chars follows the text."""
+    return suffix_dedup.remove_repeats(docs, length=50).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, tokenized and packed into sequences of 2048 tokens: a row per piece."""
+    return best_fit_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeated_passages),
+    ("benchmark leaks", drop_benchmark_leaks),
+    ("packing", pack),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{i}")
     return docs
