@@ -1,6 +1,975 @@
-"""The registered queries: name -> plan builder, and name -> the same query in plain SQL."""
+"""The registered queries: name -> plan builder over the tables of a folder, and name -> the same query in plain SQL.
+
+Vectors are ``embeddings``, the query set its ids below 20, the ordered stream ``events`` (seq: event_id, topic:
+user_id, latency: value, hit: odd k in props). Numbers are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import cache, graph, metrics, quantize, results, search, workload
+from ..sources.tables import events as json_rows
+from ..sources.tables import table, written
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+CONFIG = cache.CacheConfig()
+N_QUERIES, K = 20, 10
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        name = f.__name__.removeprefix("q_")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# --- shared inputs ----------------------------------------------------------------------------
+
+E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, embedding, label FROM embeddings)"
+D = f"{E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN e b ON q.vec_id < 20)"
+TOP = "row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id)"
+T = f"{D}, t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10)"
+KNN = "SELECT query_id, rnk, neighbor_id, round(dist, 6) AS dist FROM t"
+S = "s AS (SELECT event_id AS seq, user_id AS topic, value AS ms, event_type, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), l AS (SELECT *, k % 2 = 1 AS hit, k % 5 = 0 AS stale, ms / 10 AS penalty, CASE WHEN seq % 3 = 0 THEN 'warm' WHEN seq % 3 = 1 THEN 'churn' ELSE 'eval' END AS phase FROM s)"
+REGION = "list_transform(v[1:4], lambda x: CAST(least(7, floor(greatest(0.0, least(1.0, x + 0.5)) * 8)) AS INTEGER))"
+
+
+def base(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings")
+
+
+def asked(e: DataFrame, n: int = N_QUERIES) -> DataFrame:
+    return e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def pairs(e: DataFrame, n: int = N_QUERIES) -> DataFrame:
+    """Each of the ``n`` first vectors beside every vector, for the scalar distances: n copies of the table, by a broadcast of n rows."""
+    left = F.broadcast(asked(e, n).withColumnRenamed("embedding", "a"))
+    return e.select(F.col("vec_id").alias("neighbor_id"), F.col("embedding").alias("b")).join(left, F.lit(True))
+
+
+def truth(spark: SparkSession, d: str, k: int = K, metric: str = "l2", **how) -> DataFrame:
+    e = base(spark, d)
+    return search.knn(e, asked(e), k, metric, **how)
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+def dist6(df: DataFrame) -> DataFrame:
+    return df.withColumn("dist", r6("dist"))
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    k = F.from_json("props", "k long")["k"]
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("topic"), F.col("value").alias("ms"), "event_type", "ts", k.alias("k")).withColumns(
+        {"hit": F.col("k") % 2 == 1, "stale": F.col("k") % 5 == 0, "penalty": F.col("ms") / 10, "phase": F.when(F.col("seq") % 3 == 0, "warm").when(F.col("seq") % 3 == 1, "churn").otherwise("eval")})
+
+
+def six(v: Column) -> Column:
+    return F.transform(v, lambda x: F.round(x.cast("double"), 6))
+
+
+def text6(v: str) -> str:
+    return f"list_transform({v}, lambda x: round(CAST(x AS DOUBLE), 6))"
+
+
+# --- scans and formats ------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS embedding, CAST(label AS BIGINT) AS label FROM embeddings")
+def q_scan_vectors(spark, d):
+    return base(spark, d).select("vec_id", six(F.col("embedding")).alias("embedding"), F.col("label").cast("long").alias("label"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, min(len(embedding)) AS dim_min, max(len(embedding)) AS dim_max FROM embeddings")
+def q_row_count_check(spark, d):
+    return base(spark, d).agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), F.min(F.size("embedding")).cast("long").alias("dim_min"), F.max(F.size("embedding")).cast("long").alias("dim_max"))
+
+
+@query("SELECT vec_id, CAST((vec_id + 1) * 48271 % 2147483647 AS BIGINT) AS h FROM embeddings WHERE (vec_id + 1) * 48271 % 2147483647 < 214748364")
+def q_sample_hash(spark, d):
+    h = F.pmod((F.col("vec_id") + 1) * 48271, F.lit(2147483647).cast("long"))
+    return base(spark, d).select("vec_id", h.alias("h")).where("h < 214748364")
+
+
+@query("SELECT vec_id, vec_id // 9 + 1 AS sector, vec_id % 9 AS slot FROM embeddings")
+def q_sector_layout(spark, d):
+    return base(spark, d).select("vec_id", F.expr("vec_id div 9 + 1").alias("sector"), F.expr("vec_id % 9").alias("slot"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def q_json_events(spark, d):
+    lines = table(spark, d, "events").select(F.concat(F.lit('log: {"event":'), F.col("event_id"), F.lit(',"p":'), F.col("props"), F.lit("}")).alias("value"))
+    return json_rows(lines, "event long, p struct<k: long>").select(F.col("event").alias("event_id"), "p.k")
+
+
+# --- distances and vector functions -----------------------------------------------------------
+
+
+@query(f"WITH {D} SELECT query_id, neighbor_id, round(dist, 6) AS dist FROM d")
+def q_dist_l2(spark, d):
+    return pairs(base(spark, d)).select("query_id", "neighbor_id", r6(V.distance("l2", F.col("a"), F.col("b"))).alias("dist"))
+
+
+@query(f"WITH {E}, i AS (SELECT vec_id, list_transform(v, lambda x: CAST(greatest(-128, least(127, round(x * 127))) AS INTEGER)) AS v FROM e) SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(round(power(list_distance(CAST(q.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 2)) AS BIGINT) AS dist FROM i q JOIN i b ON q.vec_id < 20")
+def q_dist_l2_int8(spark, d):
+    return pairs(base(spark, d)).select("query_id", "neighbor_id", V.l2(V.to_int8(F.col("a")), V.to_int8(F.col("b"))).cast("long").alias("dist"))
+
+
+@query(f"WITH {E} SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_distance(q.v, b.v), 6) AS dist FROM e q JOIN e b ON q.vec_id < 20 AND q.vec_id <> b.vec_id")
+def q_dist_l2_expanded(spark, d):
+    return pairs(base(spark, d)).where("query_id <> neighbor_id").select("query_id", "neighbor_id", r6(V.l2_expanded(F.col("a"), F.col("b"))).alias("dist"))
+
+
+@query(f"WITH {E} SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, round(-list_inner_product(q.v, b.v), 6) AS dist FROM e q JOIN e b ON q.vec_id < 20")
+def q_dist_ip(spark, d):
+    return pairs(base(spark, d)).select("query_id", "neighbor_id", r6(V.distance("ip", F.col("a"), F.col("b"))).alias("dist"))
+
+
+@query(f"WITH {E} SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, round(1 - list_cosine_similarity(q.v, b.v), 6) + 0 AS dist FROM e q JOIN e b ON q.vec_id < 20 AND q.vec_id <> b.vec_id")
+def q_dist_cosine(spark, d):
+    return pairs(base(spark, d)).where("query_id <> neighbor_id").select("query_id", "neighbor_id", r6(V.distance("cosine", F.col("a"), F.col("b"))).alias("dist"))
+
+
+@query(f"WITH {E} SELECT vec_id, {text6('list_transform(v, lambda y: y / sqrt(list_inner_product(v, v) + 1.1920928955078125e-07))')} AS unit FROM e")
+def q_vec_normalize(spark, d):
+    return base(spark, d).select("vec_id", six(V.normalize(F.col("embedding"))).alias("unit"))
+
+
+@query(f"WITH {E} SELECT vec_id, round(list_inner_product(v, v), 6) AS norm2 FROM e")
+def q_vec_norms(spark, d):
+    return base(spark, d).select("vec_id", r6(V.dot(F.col("embedding"), F.col("embedding"))).alias("norm2"))
+
+
+@query(f"WITH {E} SELECT a.vec_id, list_transform(list_zip(a.v, b.v), lambda z: round(0.75 * z[1] + 0.25 * z[2], 6)) AS v FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
+def q_vec_lerp(spark, d):
+    e = base(spark, d).select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(nxt, "vec_id").select("vec_id", six(V.lerp(F.col("embedding"), F.col("b"), F.lit(0.25))).alias("v"))
+
+
+LONG = f"{E}, p AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM e)"
+
+
+@query(f"WITH {LONG} SELECT CAST(dim AS BIGINT) AS dim, round(avg(x), 6) AS mean FROM p GROUP BY dim")
+def q_vec_centroid(spark, d):
+    return base(spark, d).select(F.posexplode("embedding").alias("dim", "x")).groupBy(F.col("dim").cast("long").alias("dim")).agg(r6(F.avg(F.col("x").cast("double"))).alias("mean"))
+
+
+@query(f"WITH {E} SELECT vec_id, {REGION} AS region FROM e")
+def q_region_key(spark, d):
+    return base(spark, d).select("vec_id", cache.region_of(F.col("embedding"), CONFIG).alias("region"))
+
+
+@query("WITH q AS (SELECT event_id AS query_seq, user_id % 50 AS vec_id FROM events) SELECT query_seq, min(query_seq) OVER (PARTITION BY vec_id) AS first_seq, query_seq > min(query_seq) OVER (PARTITION BY vec_id) AS hit FROM q")
+def q_exact_hit_lookup(spark, d):
+    stream = table(spark, d, "events").select(F.col("event_id").alias("query_seq"), F.expr("user_id % 50").alias("vec_id"))
+    return results.exact_hits(stream.join(base(spark, d).select("vec_id", "embedding"), "vec_id").select("query_seq", "embedding"))
+
+
+FNV = "list_reduce([CAST(14695981039346656037 AS HUGEINT)] || list_transform(range(8), lambda i: CAST((CAST({x} AS BIGINT) >> (8 * i)) & 255 AS HUGEINT)), lambda h, o: (((h - h % 256 + xor(h % 256, o)) // 4294967296 * 1099511628211 % 4294967296) * 4294967296 + (h - h % 256 + xor(h % 256, o)) % 4294967296 * 1099511628211) % 18446744073709551616)"
+
+
+@query(f"SELECT vec_id, CAST({FNV.format(x='vec_id')} AS VARCHAR) AS h FROM embeddings")
+def q_fnv_scramble(spark, d):
+    return base(spark, d).select("vec_id", V.fnv1a(F.col("vec_id")).cast("string").alias("h"))
+
+
+@query(f"WITH {E}, i AS (SELECT vec_id, list_transform(v, lambda x: CAST(greatest(-128, least(127, round(x * 127))) AS INTEGER)) AS v FROM e) SELECT vec_id, v AS as_int, CAST(list_sum(v) AS BIGINT) AS total FROM i")
+def q_vec_cast(spark, d):
+    i = V.to_int8(F.col("embedding"))
+    return base(spark, d).select("vec_id", F.transform(i, lambda x: x).alias("as_int"), V.total(V.doubles(i)).cast("long").alias("total"))
+
+
+@query(f"WITH {E} SELECT vec_id, '[' || array_to_string(list_transform(v, lambda x: printf('%.6f', x)), ',') || ']' AS vec_text, len(v) AS dim FROM e")
+def q_vec_text(spark, d):
+    text = base(spark, d).select("vec_id", V.to_text(F.col("embedding")).alias("vec_text"))
+    return text.select("vec_id", "vec_text", F.size(V.from_text(F.col("vec_text"))).cast("long").alias("dim"))
+
+
+@query("WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 7 = 1 THEN embedding[1:10] WHEN vec_id % 7 = 2 THEN list_append(embedding[1:63], CAST('nan' AS FLOAT)) WHEN vec_id % 7 = 3 THEN list_append(embedding[1:63], CAST('inf' AS FLOAT)) ELSE embedding END AS v FROM embeddings) SELECT vec_id, coalesce(len(v) = 64 AND len(list_filter(v, lambda x: isnan(x) OR isinf(x))) = 0, false) AS ok FROM v")
+def q_vec_validate(spark, d):
+    m, v = F.col("vec_id") % 7, F.col("embedding")
+    bad = lambda x: F.array_append(F.slice(v, 1, 63), F.lit(x).cast("float"))
+    made = F.when(m == 0, F.lit(None)).when(m == 1, F.slice(v, 1, 10)).when(m == 2, bad("nan")).when(m == 3, bad("inf")).otherwise(v)
+    return base(spark, d).select("vec_id", V.valid(made, 64).alias("ok"))
+
+
+# --- nearest neighbours -----------------------------------------------------------------------
+
+
+@query(f"WITH {T} {KNN}")
+def q_knn_l2(spark, d):
+    return dist6(truth(spark, d))
+
+
+@query(f"WITH {E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, -list_inner_product(q.v, b.v) AS dist FROM e q JOIN e b ON q.vec_id < 20), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
+def q_knn_ip(spark, d):
+    return dist6(truth(spark, d, metric="ip"))
+
+
+@query(f"WITH {E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, 1 - list_cosine_similarity(q.v, b.v) AS dist FROM e q JOIN e b ON q.vec_id < 20 AND q.vec_id <> b.vec_id), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
+def q_knn_cosine(spark, d):
+    return dist6(truth(spark, d, metric="cosine", self_too=False))
+
+
+@query(f"WITH {D}, t AS (SELECT *, {TOP} AS rnk FROM d WHERE query_id <> neighbor_id QUALIFY {TOP} <= 10) {KNN}")
+def q_knn_self_excluded(spark, d):
+    return dist6(truth(spark, d, self_too=False))
+
+
+@query(f"WITH {D}, t AS (SELECT *, {TOP} AS rnk FROM d WHERE neighbor_id % 20 <> 0 QUALIFY {TOP} <= 10) {KNN}")
+def q_knn_live_filter(spark, d):
+    e = base(spark, d)
+    return dist6(search.knn(e.where("vec_id % 20 <> 0"), asked(e), K))
+
+
+EXTRA = "x AS (SELECT 1000000 + a.vec_id AS vec_id, list_transform(list_zip(a.v, b.v), lambda z: 0.7 * z[1] + 0.3 * z[2]) AS v FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 10 = 3)"
+
+
+def extra(e: DataFrame) -> DataFrame:
+    """New vectors between neighbours in id order, with ids from a million on."""
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    made = e.where("vec_id % 10 = 3").select("vec_id", "embedding").join(nxt, "vec_id")
+    return made.select((F.col("vec_id") + 1_000_000).alias("vec_id"), V.lerp(F.col("embedding"), F.col("b"), F.lit(0.3)).alias("embedding"))
+
+
+def live_set(e: DataFrame) -> DataFrame:
+    return search.live(e.select("vec_id", V.doubles(F.col("embedding")).alias("embedding")), extra(e), e.where("vec_id % 20 = 0").select("vec_id"))
+
+
+@query(f"WITH {E}, {EXTRA}, live AS (SELECT vec_id, v FROM e WHERE vec_id % 20 <> 0 UNION ALL SELECT vec_id, v FROM x), d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN live b ON q.vec_id < 20), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
+def q_live_knn(spark, d):
+    e = base(spark, d)
+    return dist6(search.knn(live_set(e), asked(e), K))
+
+
+@query(f"WITH {E}, {EXTRA} SELECT vec_id, {text6('v')} AS v FROM x")
+def q_synthesize_extra(spark, d):
+    return extra(base(spark, d)).select("vec_id", six(F.col("embedding")).alias("v"))
+
+
+@query(f"WITH {T}, k AS (SELECT *, [1, 5, 10][query_id % 3 + 1] AS k FROM t) SELECT query_id, rnk, neighbor_id, round(dist, 6) AS dist, CAST(k AS BIGINT) AS k FROM k WHERE rnk <= k")
+def q_knn_variable_k(spark, d):
+    e = base(spark, d)
+    return dist6(search.knn_variable(e, asked(e), [1, 5, 10]))
+
+
+@query(f"WITH {E}, i AS (SELECT range AS seq, range * 37 % 700 AS vec_id FROM range(100)) SELECT i.seq, i.vec_id, {text6('e.embedding')} AS embedding FROM i LEFT JOIN e USING (vec_id)")
+def q_fetch_by_ids(spark, d):
+    ids = spark.range(100).select(F.col("id").alias("seq"), (F.col("id") * 37 % 700).alias("vec_id"))
+    return search.fetch_by_ids(base(spark, d), ids).select("seq", "vec_id", six(F.col("embedding")).alias("embedding"))
+
+
+CENTERS = "c AS (SELECT vec_id AS center_id, v FROM e WHERE vec_id < 16), n AS (SELECT e.vec_id, center_id, power(list_distance(e.v, c.v), 2) AS dist, row_number() OVER (PARTITION BY e.vec_id ORDER BY power(list_distance(e.v, c.v), 2), center_id) AS rnk FROM e CROSS JOIN c)"
+
+
+def centers(e: DataFrame) -> DataFrame:
+    return e.where("vec_id < 16").select(F.col("vec_id").alias("center_id"), "embedding")
+
+
+@query(f"WITH {E}, {CENTERS} SELECT vec_id, rnk, center_id, round(dist, 6) AS dist FROM n WHERE rnk = 1")
+def q_closest_centers_k1(spark, d):
+    e = base(spark, d)
+    return dist6(search.closest_centers(e, centers(e), 1))
+
+
+@query(f"WITH {E}, {CENTERS} SELECT vec_id, rnk, center_id, round(dist, 6) AS dist FROM n WHERE rnk <= 3")
+def q_closest_centers_topk(spark, d):
+    e = base(spark, d)
+    return dist6(search.closest_centers(e, centers(e), 3))
+
+
+@query(f"WITH {E}, {CENTERS} SELECT center_id AS shard, count(*) AS points, count(*) FILTER (WHERE rnk = 1) AS owned FROM n WHERE rnk <= 2 GROUP BY center_id")
+def q_cluster_sharding(spark, d):
+    e = base(spark, d)
+    two = search.closest_centers(e, centers(e), 2)
+    return two.groupBy(F.col("center_id").alias("shard")).agg(F.count("*").alias("points"), F.count_if(F.col("rnk") == 1).alias("owned"))
+
+
+SHARDS = f"{D}, h AS (SELECT query_id, neighbor_id % 4 AS shard_id, neighbor_id, dist, row_number() OVER (PARTITION BY query_id, neighbor_id % 4 ORDER BY dist, neighbor_id) AS rnk FROM d QUALIFY row_number() OVER (PARTITION BY query_id, neighbor_id % 4 ORDER BY dist, neighbor_id) <= 10)"
+
+
+def shard_hits(spark: SparkSession, d: str) -> DataFrame:
+    e = base(spark, d)
+    return search.shard_topk(e, asked(e), F.col("vec_id") % 4, 4, K)
+
+
+@query(f"WITH {SHARDS} SELECT query_id, shard_id, rnk, neighbor_id, round(dist, 6) AS dist FROM h")
+def q_shard_topk(spark, d):
+    return dist6(shard_hits(spark, d))
+
+
+MERGED = f"{SHARDS}, m AS (SELECT query_id, neighbor_id, dist, shard_id, {TOP} AS rnk FROM (SELECT query_id, neighbor_id, min(dist) AS dist, min(shard_id) AS shard_id FROM h GROUP BY ALL) QUALIFY {TOP} <= 10)"
+MERGED = MERGED.replace("GROUP BY ALL", "GROUP BY query_id, neighbor_id")
+
+
+@query(f"WITH {MERGED} SELECT query_id, rnk, neighbor_id, shard_id, round(dist, 6) AS dist FROM m")
+def q_shard_merge_topk(spark, d):
+    return dist6(search.merge_topk(shard_hits(spark, d), K)).select("query_id", "rnk", "neighbor_id", "shard_id", "dist")
+
+
+@query(f"WITH {MERGED} SELECT query_id, shard_id, count(*) AS n FROM m GROUP BY query_id, shard_id")
+def q_shard_contributions(spark, d):
+    return search.contributions(search.merge_topk(shard_hits(spark, d), K))
+
+
+@query(f"WITH {E}, {EXTRA}, a AS (SELECT vec_id, v FROM e WHERE vec_id % 20 <> 0 UNION ALL SELECT vec_id, v FROM x), d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN a b ON q.vec_id < 20), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
+def q_lsm_search(spark, d):
+    e = base(spark, d)
+    dead = F.broadcast(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("neighbor_id"))) if e.count() < 1 else e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("neighbor_id"))
+    disk = search.knn(e.join(dead.toDF("vec_id"), "vec_id", "left_anti"), asked(e), K).withColumn("shard_id", F.lit(0))
+    memory = search.knn(extra(e), asked(e), K).withColumn("shard_id", F.lit(1))
+    return dist6(search.merge_topk(disk.unionByName(memory), K)).select("query_id", "rnk", "neighbor_id", "dist")
+
+
+# --- clustering and quantisation --------------------------------------------------------------
+
+ASSIGNED = f"{E}, {CENTERS}, a AS (SELECT vec_id, center_id, dist FROM n WHERE rnk = 1)"
+
+
+@query(f"WITH {ASSIGNED}, p AS (SELECT center_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM a JOIN e USING (vec_id)) SELECT center_id, CAST(dim AS BIGINT) AS dim, round(avg(x), 6) AS mean FROM p GROUP BY center_id, dim")
+def q_kmeans_one_iter(spark, d):
+    e = base(spark, d)
+    new, _ = quantize.lloyd(e, centers(e))
+    return new.select("center_id", F.col("dim").cast("long").alias("dim"), r6("mean").alias("mean"))
+
+
+@query(f"WITH {ASSIGNED} SELECT round(sum(dist), 5) AS residual FROM a")
+def q_kmeans_residual(spark, d):
+    e = base(spark, d)
+    return search.closest_centers(e, centers(e), 1).agg(F.round(F.sum("dist"), 5).alias("residual"))
+
+
+@query()
+def q_kmeans_fit(spark, d):
+    return quantize.kmeans(base(spark, d), 8, 5)
+
+
+@query(f"WITH {ASSIGNED} SELECT a.vec_id, a.center_id, list_transform(list_zip(e.v, c.v), lambda z: round(z[1] - z[2], 6)) AS residual FROM a JOIN e USING (vec_id) JOIN c USING (center_id)")
+def q_pq_residuals(spark, d):
+    e = base(spark, d)
+    near = search.closest_centers(e, centers(e), 1).select("vec_id", "center_id")
+    sides = near.join(e.select("vec_id", "embedding"), "vec_id").join(F.broadcast(centers(e).withColumnRenamed("embedding", "c")), "center_id")
+    return sides.select("vec_id", "center_id", six(F.zip_with(V.doubles(F.col("embedding")), V.doubles(F.col("c")), lambda x, y: x - y)).alias("residual"))
+
+
+RANGES = quantize.chunks(64, 8)
+PARTS = f"{E}, s AS (SELECT vec_id, CAST(range AS BIGINT) AS chunk, v[range * 8 + 1 : range * 8 + 8] AS part FROM e, range(8)), b AS (SELECT chunk, vec_id AS code, part FROM s WHERE vec_id < 16), g AS (SELECT s.vec_id, s.chunk, b.code, power(list_distance(s.part, b.part), 2) AS d FROM s JOIN b USING (chunk) QUALIFY row_number() OVER (PARTITION BY s.vec_id, s.chunk ORDER BY power(list_distance(s.part, b.part), 2), b.code) = 1)"
+
+
+def book(e: DataFrame) -> DataFrame:
+    """A codebook of the first 16 vectors' parts."""
+    return quantize.split(e.where("vec_id < 16"), RANGES).select("chunk", F.col("vec_id").alias("code"), "part")
+
+
+@query(f"WITH {PARTS} SELECT vec_id, chunk, code, round(d, 6) AS d FROM g")
+def q_pq_encode(spark, d):
+    e = base(spark, d)
+    return quantize.encode(e, book(e), RANGES).withColumn("d", r6("d"))
+
+
+@query(f"WITH {PARTS} SELECT vec_id, flatten(list({text6('part')} ORDER BY chunk)) AS v FROM (SELECT g.vec_id, chunk, b.part FROM g JOIN b USING (chunk, code)) GROUP BY vec_id")
+def q_pq_decode(spark, d):
+    e = base(spark, d)
+    codes = quantize.encode(e, book(e), RANGES)
+    return quantize.decode(codes, book(e)).select("vec_id", six(F.col("embedding")).alias("v"))
+
+
+@query(f"WITH {PARTS} SELECT round(avg(err), 6) AS mean_error FROM (SELECT vec_id, sum(d) AS err FROM g GROUP BY vec_id)")
+def q_pq_error(spark, d):
+    e = base(spark, d)
+    codes = quantize.encode(e, book(e), RANGES)
+    return codes.groupBy("vec_id").agg(F.sum("d").alias("err")).agg(r6(F.avg("err")).alias("mean_error"))
+
+
+ADC = f"{PARTS}, lut AS (SELECT s.vec_id AS query_id, s.chunk, b.code, power(list_distance(s.part, b.part), 2) AS d FROM s JOIN b USING (chunk) WHERE s.vec_id < 20), d AS (SELECT query_id, g.vec_id AS neighbor_id, sum(lut.d) AS dist FROM g JOIN lut USING (chunk, code) GROUP BY query_id, g.vec_id)"
+
+
+@query(f"WITH {ADC} SELECT query_id, neighbor_id, round(dist, 6) AS dist FROM d")
+def q_pq_adc_distance(spark, d):
+    e = base(spark, d)
+    return dist6(quantize.adc(asked(e), quantize.encode(e, book(e), RANGES), book(e), RANGES))
+
+
+@query(f"WITH {ADC}, f AS (SELECT query_id, neighbor_id FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), neighbor_id) <= 100), r AS (SELECT f.query_id, f.neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM f JOIN e q ON q.vec_id = f.query_id JOIN e b ON b.vec_id = f.neighbor_id), t AS (SELECT *, {TOP} AS rnk FROM r QUALIFY {TOP} <= 10) {KNN}")
+def q_pq_rerank_knn(spark, d):
+    e = base(spark, d)
+    rough = quantize.adc(asked(e), quantize.encode(e, book(e), RANGES), book(e), RANGES).withColumn("dist", F.round("dist", 9))
+    return dist6(quantize.rerank(search.rank(rough, 100), e, asked(e), K)).select("query_id", "rnk", "neighbor_id", "dist")
+
+
+@query()
+def q_pca_fit(spark, d):
+    return quantize.pca(base(spark, d), 4)
+
+
+# --- graphs -----------------------------------------------------------------------------------
+
+G = f"{E}, g AS (SELECT q.vec_id AS src, b.vec_id AS dst, power(list_distance(q.v, b.v), 2) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY power(list_distance(q.v, b.v), 2), b.vec_id) AS rnk FROM e q JOIN e b ON q.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY power(list_distance(q.v, b.v), 2), b.vec_id) <= 8)"
+
+
+def knn8(spark: SparkSession, d: str) -> DataFrame:
+    return written(graph.knn_graph(base(spark, d), 8), "knn-graph")
+
+
+@query(f"WITH {G} SELECT src, dst, round(dist, 6) AS dist FROM g")
+def q_knn_graph(spark, d):
+    return dist6(graph.knn_graph(base(spark, d), 8))
+
+
+@query(f"WITH {LONG}, m AS (SELECT list(mean ORDER BY dim) AS c FROM (SELECT dim, avg(x) AS mean FROM p GROUP BY dim)) SELECT vec_id, round(power(list_distance(v, c), 2), 6) AS dist FROM e, m ORDER BY power(list_distance(v, c), 2), vec_id LIMIT 1")
+def q_medoid(spark, d):
+    return dist6(graph.medoid(base(spark, d)))
+
+
+@query(f"WITH {G} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)")
+def q_reverse_edges(spark, d):
+    return graph.with_reverse(knn8(spark, d)).select("src", "dst")
+
+
+BOTH = f"{G}, r AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM g UNION ALL SELECT dst, src, dist FROM g) GROUP BY src, dst), c AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY round(dist, 9), dst) AS rnk FROM r QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 9), dst) <= 10)"
+
+
+def capped(spark: SparkSession, d: str) -> DataFrame:
+    return graph.cap(graph.with_reverse(knn8(spark, d)).withColumn("dist", F.round("dist", 9)), 10)
+
+
+@query(f"WITH {BOTH} SELECT src, dst, rnk, round(dist, 6) AS dist FROM c")
+def q_degree_cap(spark, d):
+    return dist6(capped(spark, d)).select("src", "dst", "rnk", "dist")
+
+
+@query(f"WITH {BOTH}, n AS (SELECT src, count(*) AS d FROM c GROUP BY src) SELECT max(d) AS max_degree, round(avg(d), 6) AS avg_degree, min(d) AS min_degree, count(*) FILTER (WHERE d < 2) AS below_two FROM n")
+def q_degree_stats(spark, d):
+    return graph.degree_stats(capped(spark, d)).withColumn("avg_degree", r6("avg_degree"))
+
+
+@query(f"WITH {G} SELECT dst AS vec_id, count(*) AS in_degree FROM g GROUP BY dst")
+def q_in_degree(spark, d):
+    return knn8(spark, d).groupBy(F.col("dst").alias("vec_id")).agg(F.count("*").alias("in_degree"))
+
+
+@query()
+def q_robust_prune(spark, d):
+    e = base(spark, d)
+    return graph.prune(graph.knn_graph(e, 32), e, 8, 1.2)
+
+
+@query()
+def q_vamana_build(spark, d):
+    return graph.build(base(spark, d), 12, 32)
+
+
+@query()
+def q_graph_search(spark, d):
+    e = base(spark, d)
+    return graph.walk(e, written(graph.build(e, 16, 48), "graph"), asked(e), K)
+
+
+@query("SELECT range * 7 AS vec_id FROM range(100) WHERE range * 7 NOT IN (SELECT vec_id FROM embeddings)")
+def q_lazy_delete_failed(spark, d):
+    batch = spark.range(100).select((F.col("id") * 7).alias("vec_id"))
+    return batch.join(base(spark, d).select("vec_id"), "vec_id", "left_anti")
+
+
+CONSOLIDATED = f"{G}, z AS (SELECT vec_id FROM e WHERE vec_id % 10 = 0), k AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g WHERE src NOT IN (FROM z) AND dst NOT IN (FROM z) UNION ALL SELECT a.src, b.dst FROM g a JOIN g b ON a.dst = b.src WHERE a.src NOT IN (FROM z) AND a.dst IN (FROM z) AND b.dst NOT IN (FROM z)) WHERE src <> dst)"
+
+
+@query(f"WITH {CONSOLIDATED} SELECT src, dst FROM k")
+def q_consolidate_candidates(spark, d):
+    e = base(spark, d)
+    return graph.consolidate(knn8(spark, d), e.where("vec_id % 10 = 0").select("vec_id"), e)
+
+
+@query("SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS new_id FROM embeddings WHERE vec_id % 3 <> 0")
+def q_compact_ids(spark, d):
+    return graph.compact_ids(base(spark, d).where("vec_id % 3 <> 0").select("vec_id"))
+
+
+SHARD_GRAPHS = f"{E}, h AS (SELECT q.vec_id AS src, b.vec_id AS dst, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN e b ON q.vec_id <> b.vec_id AND (q.vec_id % 2 = b.vec_id % 2 OR q.vec_id % 3 = b.vec_id % 3)), two AS (SELECT src, dst, dist FROM h WHERE src % 2 = dst % 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 5), three AS (SELECT src, dst, dist FROM h WHERE src % 3 = dst % 3 QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 5), m AS (SELECT src, dst, min(dist) AS dist FROM (FROM two UNION ALL FROM three) GROUP BY src, dst)"
+
+
+@query(f"WITH {SHARD_GRAPHS} SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rnk FROM m QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 6")
+def q_merge_shard_graphs(spark, d):
+    e, parts = base(spark, d), []
+    for n in (2, 3):
+        parts += [graph.knn_graph(e.where(F.col("vec_id") % n == i), 5) for i in range(n)]
+    edges = parts[0]
+    for p in parts[1:]:
+        edges = edges.unionByName(p)
+    return graph.merge_shards(edges, 6).select("src", "dst", "rnk")
+
+
+@query(f"WITH RECURSIVE {G}, b(node, level) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT g.dst, b.level + 1 FROM b JOIN g ON g.src = b.node WHERE b.level < 3) SELECT node, min(level) AS level FROM b GROUP BY node")
+def q_bfs_levels(spark, d):
+    start = spark.createDataFrame([(0,)], "node long")
+    return graph.levels(knn8(spark, d), start, 3)
+
+
+@query(f"WITH {G} SELECT dst AS vec_id, count(*) AS visits FROM g WHERE src < 200 GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 25")
+def q_hot_nodes(spark, d):
+    visits = knn8(spark, d).where("src < 200").groupBy(F.col("dst").alias("vec_id")).agg(F.count("*").alias("visits"))
+    return visits.orderBy(F.desc("visits"), "vec_id").limit(25)
+
+
+def delta(e: DataFrame) -> DataFrame:
+    return e.where("vec_id % 4 = 1").select("vec_id", F.transform("embedding", lambda x: x * 2).alias("embedding"), (F.col("vec_id") % 9 + 1).alias("seq"))
+
+
+def stones(e: DataFrame) -> DataFrame:
+    return e.where("vec_id % 5 = 0").select("vec_id", (F.col("vec_id") % 7).alias("seq"))
+
+
+LSM = "r AS (SELECT vec_id, 0 AS seq, embedding[1] AS x FROM embeddings UNION ALL SELECT vec_id, vec_id % 9 + 1, embedding[1] * 2 FROM embeddings WHERE vec_id % 4 = 1), w AS (SELECT vec_id, max(seq) AS seq, arg_max(x, seq) AS x FROM r GROUP BY vec_id)"
+
+
+@query(f"WITH {LSM} SELECT vec_id, CAST(seq AS BIGINT) AS seq, round(CAST(x AS DOUBLE), 6) AS x FROM w WHERE NOT (vec_id % 5 = 0 AND vec_id % 7 >= seq)")
+def q_lsm_compact(spark, d):
+    e = base(spark, d)
+    return graph.compact(e.select("vec_id", "embedding"), delta(e), stones(e)).select("vec_id", "seq", r6(F.col("embedding")[0].cast("double")).alias("x"))
+
+
+@query("SELECT seq_id AS vec_id, coalesce(slot, 1000 + i - (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0)) AS slot FROM (SELECT vec_id AS seq_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id % 7 = 0) LEFT JOIN (SELECT vec_id AS slot, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id % 10 = 0) USING (i)")
+def q_id_recycle(spark, d):
+    e = base(spark, d).select("vec_id")
+    return graph.recycle_ids(e.where("vec_id % 7 = 0"), e.where("vec_id % 10 = 0"), 1000)
+
+
+@query(f"WITH {G} SELECT src // 9 + 1 AS sector, list(DISTINCT src ORDER BY src) AS nodes FROM g WHERE dst % 10 = 0 GROUP BY src // 9 + 1")
+def q_affected_sectors(spark, d):
+    touched = knn8(spark, d).where("dst % 10 = 0").groupBy(F.expr("src div 9 + 1").alias("sector"))
+    return touched.agg(F.array_sort(F.collect_set("src")).alias("nodes"))
+
+
+@query("SELECT vec_id, max(vec_id % 7) AS seq, count(*) FILTER (WHERE merge_seq > vec_id % 7) AS merges_survived, count(*) FILTER (WHERE merge_seq > vec_id % 7) >= 2 AS reclaim FROM embeddings, (SELECT range * 2 AS merge_seq FROM range(5)) WHERE vec_id % 5 = 0 GROUP BY vec_id")
+def q_tombstone_reclaim(spark, d):
+    merges = F.array(*[F.lit(2 * i) for i in range(5)])
+    survived = F.size(F.filter(merges, lambda m: m > F.col("seq"))).cast("long")
+    return stones(base(spark, d)).select("vec_id", "seq", survived.alias("merges_survived"), (survived >= 2).alias("reclaim"))
+
+
+@query(f"WITH {G}, m AS (SELECT vec_id AS old, row_number() OVER (ORDER BY vec_id) - 1 AS new FROM embeddings WHERE vec_id % 3 <> 0) SELECT a.new AS src, b.new AS dst FROM g JOIN m a ON g.src = a.old JOIN m b ON g.dst = b.old")
+def q_rename_edges(spark, d):
+    names = written(graph.compact_ids(base(spark, d).where("vec_id % 3 <> 0").select("vec_id")), "names")
+    edges = knn8(spark, d).select("src", "dst")
+    renamed = edges.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
+    return renamed.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+# --- the query-aware cache --------------------------------------------------------------------
+
+DK = f"{T}, k AS (SELECT query_id, max(dist) AS d_k, count(*) >= 10 AS n FROM t GROUP BY query_id), r AS (SELECT k.*, {REGION} AS region FROM k JOIN e ON e.vec_id = query_id)"
+THETA = f"{E}, q AS (SELECT vec_id, {REGION} AS region, list_inner_product(v[5:20], v[5:20]) + 1 AS d FROM e), f AS (SELECT region, list_reduce(list(d ORDER BY vec_id), lambda t, x: 0.9 * x + 0.1 * t) AS theta FROM q GROUP BY region)"
+
+
+def theta_rows(e: DataFrame) -> DataFrame:
+    v = F.slice("embedding", 5, 16)
+    return e.select(cache.region_of(F.col("embedding"), CONFIG).alias("region"), F.col("vec_id").alias("seq"), (V.dot(v, v) + 1).alias("d"))
+
+
+def kth(spark: SparkSession, d: str) -> DataFrame:
+    per = truth(spark, d).groupBy("query_id").agg(F.max("dist").alias("d_k"), (F.count("*") >= K).alias("n"))
+    return per.join(base(spark, d).select(F.col("vec_id").alias("query_id"), cache.region_of(F.col("embedding"), CONFIG).alias("region")), "query_id")
+
+
+@query(f"WITH {THETA} SELECT region, round(theta, 6) AS theta FROM f")
+def q_theta_ema(spark, d):
+    return cache.theta_table(theta_rows(base(spark, d)), 0.9).withColumn("theta", r6("theta"))
+
+
+@query(f"WITH {DK}, q AS (SELECT vec_id, {REGION} AS region, list_inner_product(v[5:20], v[5:20]) + 1 AS d FROM e WHERE vec_id >= 20), f AS (SELECT region, list_reduce(list(d ORDER BY vec_id), lambda t, x: 0.9 * x + 0.1 * t) AS theta FROM q GROUP BY region) SELECT query_id, coalesce(n AND d_k <= 1.05 * theta, false) AS hit FROM r LEFT JOIN f USING (region)")
+def q_hit_test_static(spark, d):
+    thetas = cache.theta_table(theta_rows(base(spark, d).where("vec_id >= 20")), 0.9)
+    return cache.hit_test(kth(spark, d), thetas, 0.05).select("query_id", "hit")
+
+
+@query(f"WITH {DK} SELECT query_id, coalesce(n AND d_k <= 1.05 * 1.0, false) AS hit FROM r")
+def q_hit_test_global(spark, d):
+    one = spark.createDataFrame([([0], 1.0)], "region array<int>, theta double")
+    return cache.hit_test(kth(spark, d), one, 0.05, by_region=False).select("query_id", "hit")
+
+
+@query(f"WITH {T} SELECT query_id, count(*) >= 10 AND bool_and(neighbor_id % 20 <> 0) AS ok FROM t GROUP BY query_id")
+def q_k_live_results(spark, d):
+    return truth(spark, d).groupBy("query_id").agg(((F.count("*") >= K) & F.bool_and(F.col("neighbor_id") % 20 != 0)).alias("ok"))
+
+
+@query(f"WITH {E}, q AS (SELECT vec_id AS seq, {REGION} AS region FROM e) SELECT region, min(seq) AS seq FROM q GROUP BY region ORDER BY min(seq) DESC LIMIT 40")
+def q_region_fifo(spark, d):
+    return cache.newest(theta_rows(base(spark, d)).select("region", "seq"), "region", "seq", 40, first=True)
+
+
+@query(f"WITH {E} SELECT count(DISTINCT {REGION}) AS regions FROM e")
+def q_active_regions(spark, d):
+    return theta_rows(base(spark, d)).agg(F.count_distinct("region").alias("regions"))
+
+
+@query(f"WITH {THETA}, w AS (SELECT DISTINCT region AS spot FROM q WHERE vec_id % 25 = 0), n AS (SELECT region, bool_or(list_sum(list_transform(list_zip(region, spot), lambda z: abs(z[1] - z[2]))) <= 1) AS near FROM f CROSS JOIN w GROUP BY region) SELECT region, round(CASE WHEN near THEN theta * 0.8 ELSE theta END, 6) AS theta, near AS tightened FROM f JOIN n USING (region)")
+def q_write_penalty_l1(spark, d):
+    rows = theta_rows(base(spark, d))
+    return cache.tighten(cache.theta_table(rows, 0.9), rows.where("seq % 25 = 0").select("region"), 0.8, 1).withColumn("theta", r6("theta"))
+
+
+@query()
+def q_cache_replay(spark, d):
+    """Eight independent caches over the event stream, each in order of its events."""
+    e = base(spark, d)
+    n = e.count()
+    ids = table(spark, d, "events").select((F.col("user_id") % 8).alias("cache_id"), F.col("event_id").alias("query_seq"), (F.col("user_id") * 7 % n).alias("query_id"))
+    queries = e.select(F.col("vec_id").alias("query_id"), V.doubles(F.col("embedding")).alias("embedding"))
+    stream = ids.join(queries, "query_id").select("cache_id", "query_seq", F.lit(K).alias("k"), "query_id", "embedding")
+    answers = search.knn(e, queries.join(ids.select("query_id").distinct(), "query_id", "left_semi"), K)
+    return cache.replay(cache.with_answers(stream, answers, e), CONFIG).select("cache_id", "query_seq", "hit", r6("kth").alias("kth"))
+
+
+@query("SELECT label % 4 AS shard, count(*) AS held, count(*) FILTER (WHERE vec_id % 20 = 0) AS tombstones, 150 - count(*) AS slots, count(*) < 150 AS has_slots FROM embeddings GROUP BY label % 4")
+def q_shard_capacity(spark, d):
+    held = F.count("*")
+    return base(spark, d).groupBy((F.col("label") % 4).alias("shard")).agg(held.alias("held"), F.count_if(F.col("vec_id") % 20 == 0).alias("tombstones"), (150 - held).alias("slots"), (held < 150).alias("has_slots"))
+
+
+@query("SELECT user_id % 16 AS shard, max(event_id) AS last_seq, row_number() OVER (ORDER BY max(event_id) DESC, user_id % 16) AS place FROM events GROUP BY user_id % 16")
+def q_lru_order(spark, d):
+    return cache.lru_order(table(spark, d, "events").select((F.col("user_id") % 16).alias("shard"), "event_id"), "shard", "event_id")
+
+
+@query("SELECT user_id % 16 AS shard, max(event_id) AS last_seq FROM events GROUP BY user_id % 16 ORDER BY max(event_id), user_id % 16 DESC LIMIT 1")
+def q_lru_victim(spark, d):
+    order = cache.lru_order(table(spark, d, "events").select((F.col("user_id") % 16).alias("shard"), "event_id"), "shard", "event_id")
+    return order.orderBy(F.desc("place")).limit(1).select("shard", "last_seq")
+
+
+@query("SELECT user_id AS vec_id, min(event_id) AS admitted FROM events GROUP BY user_id ORDER BY min(event_id), user_id LIMIT 20")
+def q_fifo_evict(spark, d):
+    first = table(spark, d, "events").groupBy(F.col("user_id").alias("vec_id")).agg(F.min("event_id").alias("admitted"))
+    return first.orderBy("admitted", "vec_id").limit(20)
+
+
+@query("SELECT label, vec_id FROM embeddings WHERE vec_id % 4 <> 0 AND vec_id % 5 <> 0")
+def q_cache_after_delete(spark, d):
+    e = base(spark, d)
+    return e.where("vec_id % 4 <> 0").join(stones(e).select("vec_id"), "vec_id", "left_anti").select("label", "vec_id")
+
+
+@query("SELECT CAST(label AS BIGINT) AS shard, count(*) AS n, round(count(*) / (SELECT count(*) FROM embeddings), 6) AS share FROM embeddings GROUP BY label")
+def q_cache_occupancy(spark, d):
+    e = base(spark, d)
+    n = e.count()
+    return e.groupBy(F.col("label").cast("long").alias("shard")).agg(F.count("*").alias("n")).withColumn("share", r6(F.col("n") / n))
+
+
+# --- the result-list cache --------------------------------------------------------------------
+
+
+@query(f"WITH {E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN e b ON q.vec_id < 20 AND b.vec_id >= 250) SELECT query_id, neighbor_id, round(dist, 6) AS dist, dist < 1.2 AS hit FROM d QUALIFY {TOP} = 1")
+def q_approx_hit_lookup(spark, d):
+    e = base(spark, d)
+    return dist6(results.approximate_hits(asked(e), e.where("vec_id >= 250"), 1.2))
+
+
+ENTRY = f"{D}, t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 12)"
+
+
+def entry_rows(spark: SparkSession, d: str) -> DataFrame:
+    return results.entries(truth(spark, d, 12), 10, 2)
+
+
+@query(f"WITH {ENTRY} SELECT query_id, list(neighbor_id ORDER BY rnk) AS ids, round(min(dist), 6) AS min_d, round(max(dist), 6) AS max_d FROM t GROUP BY query_id")
+def q_result_entry(spark, d):
+    return entry_rows(spark, d).select("query_id", F.transform("neighbors", lambda n: n["id"]).alias("ids"), r6("min_d").alias("min_d"), r6("max_d").alias("max_d"))
+
+
+@query("WITH RECURSIVE p AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE vec_id - 1 END AS parent_id FROM embeddings), r(query_id, cur) AS (SELECT query_id, query_id FROM p UNION ALL SELECT r.query_id, p.parent_id FROM r JOIN p ON p.query_id = r.cur WHERE p.parent_id IS NOT NULL) SELECT query_id, min(cur) AS root FROM r GROUP BY query_id")
+def q_alias_root(spark, d):
+    links = base(spark, d).select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 10 != 0, F.col("vec_id") - 1).alias("parent_id"))
+    return results.alias_roots(links)
+
+
+@query(f"WITH {ENTRY} SELECT query_id, list(neighbor_id ORDER BY neighbor_id % 5 = 0, rnk) AS ids, count(*) FILTER (WHERE neighbor_id % 5 <> 0) AS n_valid, count(*) FILTER (WHERE neighbor_id % 5 <> 0) >= 10 AS valid FROM t GROUP BY query_id")
+def q_validate_entry(spark, d):
+    rows = entry_rows(spark, d)
+    dead = F.transform(F.filter("neighbors", lambda n: n["id"] % 5 == 0), lambda n: n["id"])
+    return results.validate(rows, dead, 10).select("query_id", F.transform("neighbors", lambda n: n["id"]).alias("ids"), "n_valid", "valid")
+
+
+@query("SELECT user_id AS query_id, round(list_reduce([2.0::DOUBLE] || list(CASE WHEN event_type = 'click' THEN 1.10 WHEN event_type = 'error' THEN 0.25 ELSE 1.0 END::DOUBLE ORDER BY event_id), lambda t, x: t * x), 6) AS thresh FROM events GROUP BY user_id")
+def q_threshold_adapt(spark, d):
+    kind = F.when(F.col("event_type") == "click", "exact").when(F.col("event_type") == "error", "approx")
+    hits = table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    return results.adapt(hits, F.lit(2.0)).withColumn("thresh", r6("thresh"))
+
+
+@query(f"WITH {ENTRY}, c AS (SELECT neighbor_id AS vec_id, count(*) AS refs FROM t GROUP BY neighbor_id) SELECT e.vec_id, coalesce(refs, 0) AS refs FROM e LEFT JOIN c USING (vec_id)")
+def q_pool_refcount(spark, d):
+    return results.references(entry_rows(spark, d), base(spark, d))
+
+
+@query(f"WITH {T} SELECT query_id, count(*) AS stale_ids FROM t WHERE neighbor_id % 5 = 0 GROUP BY query_id")
+def q_stale_entries(spark, d):
+    dead = base(spark, d).where("vec_id % 5 = 0").select(F.col("vec_id").alias("neighbor_id"))
+    return truth(spark, d).join(dead, "neighbor_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("stale_ids"))
+
+
+LOG = f"{D}, w AS (SELECT vec_id, vec_id AS epoch FROM e WHERE vec_id >= 100), o AS (SELECT *, {TOP} AS rnk FROM d WHERE neighbor_id < 100 QUALIFY {TOP} <= 10), n AS (SELECT query_id, 100 + query_id * 5 AS checkpoint, max(dist) AS max_d FROM o GROUP BY query_id), f AS (SELECT n.query_id, w.vec_id, w.epoch, d.dist FROM n JOIN w ON w.epoch > checkpoint AND w.epoch <= checkpoint + 150 JOIN d ON d.query_id = n.query_id AND d.neighbor_id = w.vec_id WHERE d.dist < max_d)"
+
+
+def log_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = base(spark, d)
+    old = search.knn(e.where("vec_id < 100"), asked(e), K)
+    per = old.groupBy("query_id").agg(F.max("dist").alias("max_d")).join(asked(e), "query_id").withColumn("checkpoint", 100 + F.col("query_id") * 5)
+    return old, per, e.where("vec_id >= 100").select("vec_id", F.col("vec_id").alias("epoch"), "embedding")
+
+
+@query(f"WITH {LOG} SELECT query_id, vec_id, epoch, round(dist, 6) AS dist FROM f")
+def q_writelog_scan(spark, d):
+    _, per, log_rows = log_inputs(spark, d)
+    return dist6(results.scan_log(per, log_rows, 150))
+
+
+@query(f"WITH {LOG}, u AS (SELECT query_id, neighbor_id, dist FROM o UNION ALL SELECT query_id, vec_id, dist FROM f), t AS (SELECT query_id, neighbor_id, dist, {TOP} AS rnk FROM u QUALIFY {TOP} <= 10) {KNN}")
+def q_writelog_refresh(spark, d):
+    old, per, log_rows = log_inputs(spark, d)
+    return dist6(results.refresh(old, results.scan_log(per, log_rows, 150), K)).select("query_id", "rnk", "neighbor_id", "dist")
+
+
+@query(f"WITH {LOG} SELECT CAST(sum((SELECT max(epoch) FROM w) - checkpoint) AS BIGINT) AS unseen, min(checkpoint) AS trim_to FROM n")
+def q_writelog_trim(spark, d):
+    _, per, log_rows = log_inputs(spark, d)
+    return results.trim_log(log_rows, per)
+
+
+# --- metrics ----------------------------------------------------------------------------------
+
+RESULTS = f"{T}, g AS (SELECT query_id, neighbor_id FROM (SELECT *, {TOP} AS r2 FROM d WHERE neighbor_id % 6 <> 0) WHERE r2 <= 10), m AS (SELECT query_id, count(g.neighbor_id) AS matched, count(g.neighbor_id) / 10 AS recall FROM t LEFT JOIN g USING (query_id, neighbor_id) GROUP BY query_id)"
+
+
+def searched(spark: SparkSession, d: str) -> DataFrame:
+    """Results of a search that doesn't see every sixth vector."""
+    e = base(spark, d)
+    return search.knn(e.where("vec_id % 6 <> 0"), asked(e), K)
+
+
+def recalls(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.recall(searched(spark, d), truth(spark, d), K)
+
+
+@query(f"WITH {RESULTS} SELECT query_id, matched, round(recall, 6) AS recall FROM m")
+def q_recall_at_k(spark, d):
+    return recalls(spark, d).withColumn("recall", r6("recall"))
+
+
+@query(f"WITH {RESULTS} SELECT round(avg(recall), 6) AS avg_recall, count(*) FILTER (WHERE recall < 0.5) AS low, count(*) FILTER (WHERE recall < 0.1) AS very_low FROM m")
+def q_recall_summary(spark, d):
+    return metrics.recall_summary(recalls(spark, d)).withColumn("avg_recall", r6("avg_recall"))
+
+
+@query(f"WITH {RESULTS} SELECT round(avg(recall), 6) AS recall_all, round(avg(recall) FILTER (WHERE query_id % 2 = 0), 6) AS recall_hits, round(avg(recall) FILTER (WHERE query_id % 2 <> 0), 6) AS recall_misses FROM m")
+def q_recall_by_outcome(spark, d):
+    out = metrics.recall_summary(recalls(spark, d), F.col("query_id") % 2 == 0)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query(f"WITH {RESULTS}, k AS (SELECT query_id, max(dist) AS kth FROM t GROUP BY query_id), a AS (SELECT d.query_id, d.neighbor_id FROM d JOIN k USING (query_id) WHERE round(dist, 6) <= round(kth, 6)) SELECT k.query_id, count(g.neighbor_id) AS matched, round(least(count(g.neighbor_id), 10) / 10, 6) AS recall FROM k LEFT JOIN (SELECT g.* FROM g JOIN a USING (query_id, neighbor_id)) g USING (query_id) GROUP BY k.query_id")
+def q_recall_tie_aware(spark, d):
+    deep = dist6(truth(spark, d, 3 * K))
+    return metrics.recall_tie_aware(searched(spark, d), deep, K).withColumn("recall", r6("recall"))
+
+
+INTERVALS = f"{S}, i AS (SELECT seq // 100 AS interval, count(*) AS queries, count(*) FILTER (WHERE hit) AS hits, avg(CASE WHEN hit THEN 1 ELSE 0 END) AS hit_ratio, avg(ms) AS avg_ms, avg(ms) FILTER (WHERE hit) AS avg_hit_ms, avg(penalty) FILTER (WHERE NOT hit) AS miss_penalty, sum(ms) AS sum_ms FROM l GROUP BY seq // 100)"
+
+
+def intervals(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.interval_metrics(log(spark, d), 100)
+
+
+@query(f"WITH {INTERVALS} SELECT interval, queries, hits, round(hit_ratio, 6) AS hit_ratio, round(avg_ms, 6) AS avg_ms, round(avg_hit_ms, 6) AS avg_hit_ms, round(miss_penalty, 6) AS miss_penalty, round(sum_ms, 6) AS sum_ms FROM i")
+def q_stream_interval_metrics(spark, d):
+    out = intervals(spark, d)
+    return out.select("interval", "queries", "hits", *[r6(c).alias(c) for c in ("hit_ratio", "avg_ms", "avg_hit_ms", "miss_penalty", "sum_ms")])
+
+
+@query(f"WITH {INTERVALS} SELECT interval, CAST(sum(queries) OVER w AS BIGINT) AS completed, round(sum(hits) OVER w / sum(queries) OVER w, 6) AS hit_ratio, round(sum(sum_ms) OVER w / sum(queries) OVER w, 4) AS avg_ms FROM i WINDOW w AS (ORDER BY interval)")
+def q_stream_cumulative(spark, d):
+    out = metrics.cumulative(intervals(spark, d))
+    return out.select("interval", "completed", r6("hit_ratio").alias("hit_ratio"), F.round("avg_ms", 4).alias("avg_ms"))
+
+
+@query(f"WITH {S} SELECT event_type, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.9) AS p90, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99 FROM l GROUP BY event_type")
+def q_latency_percentiles(spark, d):
+    return metrics.percentiles(log(spark, d), ["event_type"], "ms")
+
+
+@query(f"WITH {S} SELECT event_type, list_sort(list(ms))[CAST(floor(0.9 * count(*)) AS BIGINT) + 1] AS pct FROM l GROUP BY event_type")
+def q_percentile_floor_rank(spark, d):
+    return metrics.percentile_floor_rank(log(spark, d), ["event_type"], "ms", 0.9)
+
+
+@query("WITH w AS (SELECT range AS window_no FROM range(4)), r AS (SELECT window_no, range AS split FROM w, range(10) WHERE range >= window_no * 2 AND range < window_no * 2 + 4) SELECT window_no, split, count(*) AS queries FROM r JOIN events ON event_id % 10 = split GROUP BY window_no, split")
+def q_sliding_split_windows(spark, d):
+    plan = spark.createDataFrame([(w, s) for w, _, s in metrics.split_windows(10, 4, 2, 1)], "window_no long, split long")
+    return table(spark, d, "events").select((F.col("event_id") % 10).alias("split")).join(F.broadcast(plan), "split").groupBy("window_no", "split").agg(F.count("*").alias("queries"))
+
+
+@query(f"WITH {S} SELECT phase, count(*) AS queries, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE hit AND stale) AS stale_hits, round(sum(ms), 4) AS ms_all, round(sum(ms) FILTER (WHERE hit), 4) AS ms_hits, round(sum(ms) FILTER (WHERE NOT hit), 4) AS ms_misses FROM l GROUP BY phase")
+def q_phase_metrics(spark, d):
+    out = metrics.phases(log(spark, d))
+    return out.select("phase", "queries", "hits", "stale_hits", *[F.round(c, 4).alias(c) for c in ("ms_all", "ms_hits", "ms_misses")])
+
+
+@query(f"WITH {T} SELECT query_id, bool_or(neighbor_id % 5 = 0) AS stale FROM t GROUP BY query_id")
+def q_stale_hits(spark, d):
+    return metrics.stale(truth(spark, d), base(spark, d).where("vec_id % 5 = 0").select("vec_id"))
+
+
+@query(f"WITH {S} SELECT event_type AS op, count(*) AS n, round(avg(ms), 6) AS avg_ms, round(1000 * count(*) / sum(ms), 6) AS qps, round(avg(ms - ms * 0.75), 6) AS overhead FROM l WHERE event_type IN ('click', 'purchase') GROUP BY event_type")
+def q_mutation_metrics(spark, d):
+    rows = log(spark, d).where(F.col("event_type").isin("click", "purchase")).withColumn("backend", F.col("ms") * 0.75)
+    return rows.groupBy(F.col("event_type").alias("op")).agg(F.count("*").alias("n"), r6(F.avg("ms")).alias("avg_ms"), r6(1000 * F.count("*") / F.sum("ms")).alias("qps"), r6(F.avg(F.col("ms") - F.col("backend"))).alias("overhead"))
+
+
+@query(f"WITH {INTERVALS} SELECT round(sum(avg_hit_ms * hits) / sum(hits), 6) AS hit_ms, round(sum(miss_penalty * (queries - hits)) / sum(queries - hits), 6) AS miss_penalty, round(sum(hits) / sum(queries), 6) AS hit_ratio FROM i")
+def q_weighted_summary(spark, d):
+    out = metrics.weighted(intervals(spark, d))
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query(f"WITH {S} SELECT event_type, max(seq) AS seq, arg_max(ms, seq) AS ms FROM l GROUP BY event_type")
+def q_last_event(spark, d):
+    return log(spark, d).groupBy("event_type").agg(F.max("seq").alias("seq"), F.max_by("ms", "seq").alias("ms"))
+
+
+@query(f"WITH {INTERVALS} SELECT round(coalesce((SELECT median(avg_ms) FROM i WHERE hit_ratio = 0), (SELECT median(avg_ms) FROM i)), 6) AS backend_ms FROM range(1)")
+def q_nocache_reference(spark, d):
+    return intervals(spark, d).agg(r6(F.coalesce(F.median(F.when(F.col("hit_ratio") == 0, F.col("avg_ms"))), F.median("avg_ms"))).alias("backend_ms"))
+
+
+@query(f"WITH {INTERVALS} SELECT interval, round(hit_ratio * coalesce(avg_hit_ms, 0) + (1 - hit_ratio) * (40.0 + coalesce(miss_penalty, 0)), 6) AS latency FROM i")
+def q_reconstructed_latency(spark, d):
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return intervals(spark, d).select("interval", r6(metrics.reconstructed(F.col("hit_ratio"), zero("avg_hit_ms"), F.lit(40.0), zero("miss_penalty"))).alias("latency"))
+
+
+@query(f"WITH {S}, r AS (SELECT 'run_' || event_type || '_del' || (k % 3) || '.log' AS run, ms FROM l) SELECT regexp_extract(run, 'run_([a-z]+)_del', 1) AS workload, CAST(regexp_extract(run, '_del([0-9]+)', 1) AS BIGINT) AS delete_rate, count(*) AS n, round(avg(ms), 6) AS avg_ms FROM r GROUP BY ALL")
+def q_run_grouping(spark, d):
+    run = F.concat(F.lit("run_"), "event_type", F.lit("_del"), (F.col("k") % 3).cast("string"), F.lit(".log"))
+    keys = (F.regexp_extract(run, "run_([a-z]+)_del", 1).alias("workload"), F.regexp_extract(run, "_del([0-9]+)", 1).cast("long").alias("delete_rate"))
+    return log(spark, d).groupBy(*keys).agg(F.count("*").alias("n"), r6(F.avg("ms")).alias("avg_ms"))
+
+
+# --- text and streams -------------------------------------------------------------------------
+
+CLEAN = "trim(regexp_replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({CLEAN}) AS digest, length({CLEAN}) AS n FROM documents")
+def q_text_clean(spark, d):
+    clean = workload.clean_text(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(clean.cast("binary")).alias("digest"), F.length(clean).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, length({CLEAN}) > 0 AND len(string_split({CLEAN}, ' ')) BETWEEN 20 AND 300 AS ok FROM documents")
+def q_text_acceptable(spark, d):
+    return table(spark, d, "documents").select("doc_id", workload.acceptable(F.col("text"), 20, 300).alias("ok"))
+
+
+UNIFORM = "CAST((({i}) + 1) * 48271 + {salt} * 69621 AS BIGINT) % 2147483647 / 2147483647.0::DOUBLE"
+Z = workload.zipf_constants(500, 0.99)
+RANKS = f"u AS (SELECT event_id AS seq, {UNIFORM.format(i='event_id', salt=0)} AS u FROM events), z AS (SELECT seq, u, CASE WHEN u * {Z['zeta_n']!r}::DOUBLE < 1 THEN 0 WHEN u * {Z['zeta_n']!r}::DOUBLE < {Z['half']!r}::DOUBLE THEN 1 ELSE greatest(0, least(499, CAST(floor(500 * power({Z['eta']!r}::DOUBLE * u - {Z['eta']!r}::DOUBLE + 1, {Z['alpha']!r}::DOUBLE)) AS BIGINT))) END AS rank FROM u)"
+
+
+def ranks(spark: SparkSession, d: str) -> DataFrame:
+    u = workload.uniform(F.col("event_id"))
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), workload.zipf_rank(u, 500, 0.99).alias("rank"))
+
+
+@query(f"WITH {RANKS} SELECT seq, CAST(rank AS BIGINT) AS rank FROM z")
+def q_zipf_ranks(spark, d):
+    return ranks(spark, d)
+
+
+TOPICS = f"{RANKS}, f AS (SELECT r, CAST({FNV.format(x='r')} % 500 AS BIGINT) AS topic FROM (SELECT DISTINCT CAST(rank AS BIGINT) AS r FROM z)), s AS (SELECT seq, topic FROM z JOIN f ON r = rank)"
+
+
+def topics(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(spark, d).select("seq", workload.scramble(F.col("rank"), 500).alias("topic"))
+
+
+@query(f"WITH {TOPICS} SELECT seq, topic FROM s")
+def q_zipf_scrambled(spark, d):
+    return topics(spark, d)
+
+
+GROUPS = f"g AS (SELECT vec_id AS topic, range AS member, (vec_id + 1 + (((vec_id * 5 + range) * 7 + 3) % 499)) % 500 AS partner, {UNIFORM.format(i='vec_id * 5 + range', salt=1)} * 0.5 AS lam FROM embeddings, range(5) WHERE vec_id < 500)"
+
+
+def frozen(spark: SparkSession, d: str) -> DataFrame:
+    return workload.groups(base(spark, d).where("vec_id < 500"), 500, 5)
+
+
+@query(f"WITH {GROUPS}, {E} SELECT topic, member, partner, round(lam, 6) AS lam, list_transform(list_zip(a.v, b.v), lambda z: round((1 - lam) * z[1] + lam * z[2], 6)) AS v FROM g JOIN e a ON a.vec_id = topic JOIN e b ON b.vec_id = partner")
+def q_simzipf_groups(spark, d):
+    out = workload.interpolated(frozen(spark, d), base(spark, d), F.col("lam"))
+    return out.select("topic", "member", "partner", r6("lam").alias("lam"), six(F.col("embedding")).alias("v"))
+
+
+STREAM = f"{TOPICS}, {GROUPS}, v AS (SELECT s.seq, s.topic, seq * 31 % 5 AS member, partner, lam FROM s JOIN g ON g.topic = s.topic AND g.member = seq * 31 % 5)"
+
+
+def stream(spark: SparkSession, d: str) -> DataFrame:
+    return topics(spark, d).withColumn("member", F.col("seq") * 31 % 5).join(frozen(spark, d), ["topic", "member"])
+
+
+@query(f"WITH {STREAM} SELECT seq, topic, member, partner, round(lam, 6) AS lam FROM v")
+def q_simzipf_stream(spark, d):
+    return stream(spark, d).select("seq", "topic", "member", "partner", r6("lam").alias("lam"))
+
+
+FRESH = f"{TOPICS}, {E}, n AS (SELECT seq, topic, (topic + 1 + (seq * 17 + 5) % 499) % 500 AS partner FROM s)"
+
+
+def fresh(spark: SparkSession, d: str) -> DataFrame:
+    return topics(spark, d).withColumn("partner", workload.partner(F.col("topic"), F.col("seq") * 17 + 5, 500))
+
+
+@query(f"WITH {FRESH} SELECT seq, topic, partner, list_transform(list_zip(a.v[1:4], b.v[1:4]), lambda z: round(0.99 * z[1] + 0.01 * z[2], 6)) AS v FROM n JOIN e a ON a.vec_id = topic JOIN e b ON b.vec_id = partner")
+def q_simzipf_plus(spark, d):
+    out = workload.interpolated(fresh(spark, d), base(spark, d), F.lit(0.01))
+    return out.select("seq", "topic", "partner", six(F.slice("embedding", 1, 4)).alias("v"))
+
+
+@query(f"WITH {FRESH}, m AS (SELECT *, {UNIFORM.format(i='seq', salt=2)} * 0.5 AS lam FROM n) SELECT seq, topic, partner, round(lam, 6) AS lam, list_transform(list_zip(a.v[1:4], b.v[1:4]), lambda z: round((1 - lam) * z[1] + lam * z[2], 6)) AS v FROM m JOIN e a ON a.vec_id = topic JOIN e b ON b.vec_id = partner")
+def q_simzipf_plus2(spark, d):
+    rows = fresh(spark, d).withColumn("lam", workload.uniform(F.col("seq"), 2) * 0.5)
+    return workload.interpolated(rows, base(spark, d), F.col("lam")).select("seq", "topic", "partner", r6("lam").alias("lam"), six(F.slice("embedding", 1, 4)).alias("v"))
+
+
+@query(f"WITH {STREAM} SELECT count(*) AS n, count(DISTINCT topic) AS topics, count(DISTINCT (topic, member)) AS members, round(min(lam), 6) AS lam_min, round(avg(lam), 6) AS lam_mean, round(max(lam), 6) AS lam_max FROM v")
+def q_stream_stats(spark, d):
+    out = workload.stream_stats(stream(spark, d))
+    return out.select("n", "topics", "members", *[r6(c).alias(c) for c in ("lam_min", "lam_mean", "lam_max")])
+
+
+@query("WITH v AS (SELECT event_id AS seq, user_id AS topic, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS visit FROM events) SELECT seq, topic, visit, CASE WHEN visit < 50 THEN visit ELSE -1 END AS slot FROM v")
+def q_visit_slots(spark, d):
+    return workload.visit_slots(table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("topic")), 50).withColumn("slot", F.coalesce("slot", F.lit(-1).cast("long")))
+
+
+@query(f"WITH u AS (SELECT event_id AS seq, {UNIFORM.format(i='event_id', salt=3)} AS u FROM events) SELECT CASE WHEN u < 0.5 THEN 'read' WHEN u < 0.75 THEN 'update' WHEN u < 0.875 THEN 'insert' WHEN u < 0.9375 THEN 'scan' ELSE 'rmw' END AS op, count(*) AS n FROM u GROUP BY op")
+def q_ycsb_mix(spark, d):
+    op = workload.operation(workload.uniform(F.col("event_id"), 3), 0.5, 0.25, 0.125, 0.0625)
+    return table(spark, d, "events").groupBy(op.alias("op")).agg(F.count("*").alias("n"))
