@@ -35,24 +35,30 @@ def minimisers(words: C.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summaries(docs: DataFrame, length: int) -> DataFrame:
-    """Per document: doc_id, words, fingerprint of all words (f1, f2), heads and places of the kept suffixes."""
+    """Per document: doc_id, words, fingerprint of all words (f1, f2), heads of the kept suffixes, each once, and whether the text has it twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in C.blocks(batch):
                 words = C.Words(data, offsets)
                 heads, at = minimisers(words, length)
-                bounds = np.searchsorted(at, words.first)
-                places = (at - np.repeat(words.first[:-1], np.diff(bounds))).astype(np.int32)
+                owner = words.text_of()[at]
+                order = np.lexsort((heads, owner))
+                heads, owner = heads[order], owner[order]
+                new = np.ones(len(heads), bool)
+                new[1:] = (heads[1:] != heads[:-1]) | (owner[1:] != owner[:-1])
+                begin = np.flatnonzero(new)
+                twice = np.diff(np.append(begin, len(heads))) > 1
+                bounds = np.searchsorted(owner[new], np.arange(len(words.first)))
                 size = words.count()
                 prints = [pa.array(x) for x in C.fingerprints(words)]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int32)), *prints, C.lists(C.signed(heads), bounds), C.lists(places, bounds)], names=["doc_id", "words", "f1", "f2", "heads", "places"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int32)), *prints, C.lists(C.signed(heads[new]), bounds), C.lists(twice, bounds)], names=["doc_id", "words", "f1", "f2", "heads", "twice"])
 
-    return docs.mapInArrow(run, "doc_id long, words int, f1 long, f2 long, heads array<long>, places array<int>")
+    return docs.mapInArrow(run, "doc_id long, words int, f1 long, f2 long, heads array<long>, twice array<boolean>")
 
 
 def _windows(docs: DataFrame, suspects: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, doc_id, place) of the windows whose minimiser is among the document's ``matched`` places."""
+    """(w1, w2, doc_id, place) of the windows whose minimiser is among the document's ``matched`` heads."""
     rows, keep = C.only(docs, suspects.select("doc_id"))
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,10 +73,11 @@ def _windows(docs: DataFrame, suspects: DataFrame, length: int) -> DataFrame:
                 if not len(grams):
                     continue
                 matched = batch.column(2).slice(a, b - a)
-                known = np.concatenate([m.values.to_numpy() + words.first[i] for i, m in enumerate(matched)])
                 heads, places = words.grams(HEAD)
+                bounds = np.searchsorted(places, words.first)
+                known = np.concatenate([np.isin(C.signed(heads[bounds[i] : bounds[i + 1]]), m.values.to_numpy()) for i, m in enumerate(matched)])
                 least, whole = C.window_minima(heads, places, length - HEAD + 1)
-                among_known, _ = C.window_minima(np.where(np.isin(places, known), heads, np.uint64(2**64 - 1)), places, length - HEAD + 1)
+                among_known, _ = C.window_minima(np.where(known, heads, np.uint64(2**64 - 1)), places, length - HEAD + 1)
                 ok = (among_known == least)[whole]
                 at, grams = at[ok], grams[ok]
                 owner = words.text_of()[at]
@@ -99,9 +106,9 @@ def passages(docs: DataFrame, length: int = 50) -> DataFrame:
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("words").alias("end"), F.expr("doc_id = keep").alias("first"))
 
     reps = rows.join(classes.select(F.col("keep").alias("doc_id")), "doc_id", "left_semi")
-    suffixes = reps.select("doc_id", F.explode(F.arrays_zip("heads", "places")).alias("s")).select("doc_id", "s.heads", "s.places")
-    paired = suffixes.groupBy("heads").agg(F.min(F.struct("doc_id", "places")).alias("a"), F.max(F.struct("doc_id", "places")).alias("z")).where("a <> z")
-    matched = suffixes.join(paired.select("heads"), "heads").groupBy("doc_id").agg(F.collect_set("places").alias("matched"))
+    suffixes = reps.select("doc_id", F.explode(F.arrays_zip("heads", "twice")).alias("s")).select("doc_id", "s.heads", "s.twice")
+    paired = suffixes.groupBy("heads").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max("twice").alias("twice")).where("a <> z or twice")
+    matched = suffixes.join(paired.select("heads"), "heads").groupBy("doc_id").agg(F.collect_set("heads").alias("matched"))
     matched = C.cut(matched, "suffix-matches")
     windows = C.cut(_windows(docs, matched, length), "suffix-windows")
     again = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max(F.struct("doc_id", "place")).alias("z")).where("f <> z")
