@@ -13,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BITS = 5
-CELL_ROWS = 5_000
+CELL_ROWS = 1_000
 
 
 def hilbert_index(coords: list[Column], bits: int) -> Column:
@@ -74,11 +76,12 @@ def order(rows: DataFrame, coords: list[Column], ident: Column, bits: int = BITS
     found = rows.withColumns(dict(zip(names, coords, strict=True))).withColumn("__id", F.xxhash64(ident))
     cells = found.groupBy(*names).agg(F.count("*").alias("__n"))
     cells = cells.withColumn("curve", hilbert_index([F.col(c) for c in names], bits)).withColumn("__parts", F.ceil(F.col("__n") / CELL_ROWS))
-    cells = F.broadcast(cells.select(*names, "curve", "__parts"))  # at most 2 ** 16 rows of a few numbers
+    # written, or the optimiser would compute the index row by row below the histogram; at most 2 ** 16 rows
+    cells = F.broadcast(cut(cells.select(*names, "curve", "__parts"), "cells"))
     found = found.join(cells, names).withColumn("__sub", F.pmod("__id", "__parts"))
 
     # ranks: rows before the cell, rows before the sub-cell in its cell, place in the sub-cell
-    subs = found.groupBy("curve", "__sub").agg(F.count("*").alias("__n"))
+    subs = cut(found.groupBy("curve", "__sub").agg(F.count("*").alias("__n")), "sub-cells")
     block = F.shiftright("curve", bits)
     in_cell = subs.withColumn("__before", F.sum("__n").over(Window.partitionBy("curve").orderBy("__sub")) - F.col("__n"))
     by_cell = subs.groupBy("curve").agg(F.sum("__n").alias("__n")).withColumn("__block", block)
