@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 LEVELS = (1, 4, 16)
+DENSE = 0.02
 TILE = 256
 """Queries that are compared with a block at a time."""
 
@@ -40,10 +41,6 @@ def _stats(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return mean * np.sqrt(size), np.sqrt(((parts - mean[:, :, None]) ** 2).sum(axis=2))
 
 
-def _bound(q: tuple[np.ndarray, np.ndarray], v: tuple[np.ndarray, np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", q[0][rows], v[0][cols]) + np.einsum("ij,ij->i", q[1][rows], v[1][cols])
-
-
 def block_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, vector ids, scores): each query's k best inner products in the block, ties to the smaller id. Integer components."""
     big = max(int(np.abs(q).max(initial=0)), int(np.abs(v).max(initial=0))) ** 2 * max(1, q.shape[1]) >= 1 << 52
@@ -56,7 +53,9 @@ def block_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k
     for a in range(0, len(q), TILE):
         part, ids, exact = q[a : a + TILE], qid[a : a + TILE], exact_q[a : a + TILE]
         qs = [_stats(part, s) for s in levels]
-        upper = qs[0][0] @ vs[0][0].T + qs[0][1] @ vs[0][1].T
+        upper = np.full((len(part), len(v)), np.inf)
+        for (qm, qd), (vm, vd) in zip(qs, vs, strict=True):  # a level's bound is one product of means and deviations side by side
+            np.minimum(upper, np.hstack([qm, qd]) @ np.hstack([vm, vd]).T, out=upper)
         upper[ids[:, None] == vid[None, :]] = -np.inf
         # the most promising candidates set each query's threshold
         first = min(len(v), 4 * k)
@@ -65,12 +64,12 @@ def block_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k
         seed[ids[:, None] == vid[some]] = -np.inf
         floor = np.sort(seed, axis=1)[:, -k] if first > k else np.full(len(part), -np.inf)
         slack = 1e-6 * (1 + np.abs(floor, where=np.isfinite(floor), out=np.zeros(len(floor)))) + 1e-9 * np.abs(upper, where=np.isfinite(upper), out=np.zeros_like(upper)).max(axis=1)
-        rows, cols = np.nonzero(upper >= (floor - slack)[:, None])
-        for level in range(1, len(levels)):
-            kept = _bound(qs[level], vs[level], rows, cols) >= (floor - slack)[rows]
-            rows, cols = rows[kept], cols[kept]
-        other = ids[rows] != vid[cols]
-        rows, cols = rows[other], cols[other]
+        alive = (upper >= (floor - slack)[:, None]) & np.isfinite(upper)
+        if not big and alive.mean() > DENSE:  # most pairs are left: their scores are had cheaper as one product
+            scores = np.where(alive, part @ v.T, -np.inf)
+            kth = -np.partition(-scores, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+            alive &= scores >= kth[:, None]
+        rows, cols = np.nonzero(alive)
         score = (exact[rows] * exact_v[cols]).sum(axis=1) if len(rows) else np.empty(0)
         score = np.array([int(x) for x in score], object) if big else score.astype(np.int64)
         best = np.lexsort((cols, -score, rows)) if not big else np.array(sorted(range(len(rows)), key=lambda i: (rows[i], -score[i], cols[i])), np.int64)
