@@ -247,28 +247,26 @@ def only(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
 # --- connected components ---------------------------------------------------------------------
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour, which has none itself."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("p")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("c").alias("c"), F.max("p").alias("p")).where("c > 1 or c = 1 and p = 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): each node of ``edges`` (a, b) with the smallest node that it reaches.
 
-    Alternates large-star and small-star steps until nothing changes; each round is written to the shared
+    Alternates large-star and small-star steps until only stars are left; each round is written to the shared
     folder. Only per-node minima and equi-joins, so no group is gathered in one task.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    state = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = state(e)
-    while seen[0]:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.where("u <> v").distinct()
+        low = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        up = low.join(least, "u").select("u", F.col("m").alias("v"))
-        e = cut(small.union(up).where("u <> v").distinct(), name)
-        now = state(e)
-        if now == seen:
-            break
-        seen = now
-    least = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        # each node with its smallest neighbour, and that neighbour with the node's others
+        pair = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
+        e = cut(low.join(least, "u").select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), name)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return least.groupBy("node").agg(F.min("label").alias("label")).union(roots)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)

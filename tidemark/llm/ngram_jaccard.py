@@ -13,8 +13,8 @@ Only entries of at least the threshold count, so rows are cut to the columns tha
    just what all links connect, without writing all entries of a block of near copies.
 4. The overlap of the remaining entries is accumulated on the whole sets, and compared with the threshold.
 
-Null and empty texts have no n-grams and link with nothing. Rows with a null doc_id are ignored; repeated
-doc_ids count as one document each of the same id. Columns other than doc_id and text are not read.
+Null and empty texts have no n-grams and link with nothing. Rows with a null doc_id are ignored; rows that
+share a doc_id are one document, linked by any of them. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -62,13 +62,13 @@ def gram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
                 total[bucket] = np.minimum(total[bucket].astype(np.int64) + k, 65535)
         for i in range(0, len(total), width):
             if total[i : i + width].any():
-                yield pa.record_batch([pa.array([i // width], pa.int32()), pa.array([total[i : i + width].tobytes()], pa.binary())], names=["slice", "counts"])
+                yield pa.record_batch([pa.array([i // width], pa.int32()), pa.array([pa.compress(total[i : i + width].tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(counts.as_buffer(), np.uint16)
+                part = np.frombuffer(pa.decompress(counts.as_buffer(), 2 * width, codec="zstd"), np.uint16)
                 sums[i] = np.minimum(sums.get(i, 0) + part.astype(np.int64), 65535).astype(np.uint16)
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
@@ -81,7 +81,7 @@ def gram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     return out
 
 
-def heads(docs: DataFrame, n: int, percent: int, bits: int = 24) -> DataFrame:
+def heads(docs: DataFrame, n: int, percent: int, bits: int = 23) -> DataFrame:
     """Per document: doc_id, n_grams, a 128-bit fingerprint of the set (f1, f2) and the head: its rarest n-grams."""
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, n, bits))
 
@@ -108,14 +108,15 @@ def heads(docs: DataFrame, n: int, percent: int, bits: int = 24) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(doc_id, grams) of the whole texts of ``ids``."""
 
+    rows, keep = C.only(docs, ids)
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(keep, batches):
             for a, b, data, offsets in C.blocks(batch):
                 values, first = _grams(C.Words(data, offsets), n)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), C.lists(C.signed(values), first)], names=["doc_id", "grams"])
 
-    found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(grams, "doc_id long, grams array<long>")
-    return C.cut(found.dropDuplicates(["doc_id"]), "gram-sets")
+    return C.cut(rows.mapInArrow(grams, "doc_id long, grams array<long>"), "gram-sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -126,7 +127,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     sets = _sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), n)
     overlap = F.size(F.array_intersect("ga", "gb"))
     sides = pairs.join(sets.toDF("b", "gb"), "b").join(sets.toDF("a", "ga"), "a")
-    return C.cut(sides.where(overlap * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "gram-links")
+    return C.cut(sides.where(overlap * (100 + percent) >= percent * (F.size("ga") + F.size("gb"))).select("a", "b"), "gram-links")
 
 
 def _may_reach(na: str, ia: str, nb: str, ib: str, percent: int) -> str:
@@ -134,7 +135,7 @@ def _may_reach(na: str, ia: str, nb: str, ib: str, percent: int) -> str:
     return f"least({na} - {ia}, {nb} - {ib}) * {100 + percent} >= {percent} * ({na} + {nb})"
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 24, stars: int = 2) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 23, stars: int = 1) -> DataFrame:
     """One row per document: doc_id, n_grams, class_id (smallest doc_id with the same set), component_id.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of n consecutive words;
@@ -144,7 +145,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 24, stars:
     docs = docs.where("doc_id is not null")
     rows = C.cut(heads(docs, n, percent, bits), "gram-heads")
     classes = rows.where("n_grams > 0").groupBy("n_grams", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    reps = rows.where("n_grams > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = rows.where("n_grams > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     entries = reps.select(F.col("doc_id").alias("d"), F.col("n_grams").cast("int").alias("n"), F.posexplode("head").alias("i", "g"))
     columns = entries.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("i", "d", "n")).alias("p")).where("k > 1")
     block = C.cut(entries.join(columns.select("g", "p"), "g").select("g", "d", "n", "i", F.col("p.d").alias("pd"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi")), "gram-blocks")
@@ -163,8 +164,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 24, stars:
             x = x.groupBy("g").agg(F.min(F.struct("ib", "b", "nb", "lb")).alias("x")).select("g", "x.*")
         pairs = x.join(named.selectExpr("g", "d a", "n na", "i ia", "l la"), "g").where(f"la <> lb and {_may_reach('na', 'ia', 'nb', 'ib', percent)}")
         more = _verified(docs, pairs.selectExpr("least(a, b) a", "greatest(a, b) b", "if(a < b, na, nb) na", "if(a < b, nb, na) nb"), n, percent)
-        links = links.union(more)
-        labels = C.cut(C.components(links), "gram-labels")
+        known = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = C.cut(C.components(known.union(more)), "gram-labels")
 
     whole = rows.select("doc_id", "n_grams", "f1", "f2").join(classes, ["n_grams", "f1", "f2"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return whole.join(labels.toDF("class_id", "label"), "class_id", "left").select("doc_id", "n_grams", "class_id", F.coalesce("label", "class_id").alias("component_id"))
