@@ -32,7 +32,7 @@ SAMPLE_TEXT_BYTES = 32_768
 
 WIDTH, DECAY, ORDERS = 24, 0.5, (3, 4)
 LANDMARKS, BACKGROUND = 48, 8
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 _MARKS = re.compile(r"[^\w\n]+|_+")
 
@@ -265,8 +265,8 @@ class _Scores:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         new = list({w for t in texts for w in t if w not in cache})
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
+        for i in range(0, len(new), 8_000):
+            some = new[i : i + 8_000]
             cache.update(zip(some, m.margins(some).tolist(), strict=True))
         return m.score(np.array([max(map(cache.__getitem__, t), default=m.bias) for t in texts]))
 
