@@ -331,8 +331,7 @@ def q_shard_contributions(spark, d):
 @query(f"WITH {E}, {EXTRA}, a AS (SELECT vec_id, v FROM e WHERE vec_id % 20 <> 0 UNION ALL SELECT vec_id, v FROM x), d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN a b ON q.vec_id < 20), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
 def q_lsm_search(spark, d):
     e = base(spark, d)
-    dead = F.broadcast(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("neighbor_id"))) if e.count() < 1 else e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("neighbor_id"))
-    disk = search.knn(e.join(dead.toDF("vec_id"), "vec_id", "left_anti"), asked(e), K).withColumn("shard_id", F.lit(0))
+    disk = search.knn(e.join(e.where("vec_id % 20 = 0").select("vec_id"), "vec_id", "left_anti"), asked(e), K).withColumn("shard_id", F.lit(0))
     memory = search.knn(extra(e), asked(e), K).withColumn("shard_id", F.lit(1))
     return dist6(search.merge_topk(disk.unionByName(memory), K)).select("query_id", "rnk", "neighbor_id", "dist")
 
