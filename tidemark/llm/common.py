@@ -211,17 +211,18 @@ FILTER_BITS = 1 << 28
 """The largest filter that travels to the tasks (32 MB)."""
 
 
-def only(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
-    """Rows of ``docs`` (doc_id, text) that may be in ``ids`` (doc_id): (frame, keep).
+def only(docs: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("text",)) -> tuple[DataFrame, object]:
+    """Rows of ``docs`` (doc_id, ``columns``) that may be in ``ids`` (doc_id): (frame, keep).
 
-    ``keep(batch)`` drops what a bit filter rules out, within the Python step that reads the batch, so texts
-    needn't be shuffled. The filter has 8 bits an id, FILTER_BITS at most; beyond that many ids the frame is
-    semi-joined instead. A row that isn't in ``ids`` may stay: callers join by doc_id afterwards.
+    ``keep(batch)`` drops what a Bloom filter rules out, within the Python step that reads the batch, so texts
+    needn't be shuffled. The filter has 16 bits and two marks an id, FILTER_BITS at most; beyond that many ids
+    the frame is semi-joined instead. A row that isn't in ``ids`` may stay: callers join by doc_id afterwards.
     """
-    bits = 1 << max(13, int(8 * max(1, ids.count()) - 1).bit_length())
+    bits = 1 << max(13, int(16 * max(1, ids.count()) - 1).bit_length())
     if bits > FILTER_BITS:
-        return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), lambda batch: batch
-    width, place = max(1 << 13, bits >> 4), F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        return docs.select("doc_id", *columns).join(ids, "doc_id", "left_semi"), lambda batch: batch
+    width, key = max(1 << 13, bits >> 4), F.xxhash64("doc_id")
+    places = F.array(F.pmod(key, F.lit(bits)), F.pmod(F.shiftrightunsigned(key, 32), F.lit(bits)))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked: dict[int, np.ndarray] = {}
@@ -233,15 +234,18 @@ def only(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
             yield pa.record_batch([pa.array(list(marked), pa.int32()), pa.array([np.packbits(x).tobytes() for x in marked.values()], pa.binary())], names=["slice", "bits"])
 
     whole = np.zeros(bits // 8, np.uint8)
-    for row in ids.select(place.alias("at")).repartition(bits // width, (F.col("at") / width).cast("int")).mapInArrow(mark, "slice int, bits binary").toLocalIterator():
+    for row in ids.select(F.explode(places).alias("at")).repartition(bits // width, (F.col("at") / width).cast("int")).mapInArrow(mark, "slice int, bits binary").toLocalIterator():
         whole[row.slice * width // 8 : (row.slice + 1) * width // 8] |= np.frombuffer(row.bits, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(whole)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.column(2).to_numpy()
-        return batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+        hashed, stays = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64), True
+        for shift in (0, 32):
+            at = ((hashed >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64)
+            stays = stays & (sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return batch.filter(pa.array(stays))
 
-    return docs.select("doc_id", "text", place.alias("at")).where("doc_id is not null"), keep
+    return docs.select("doc_id", *columns, key.alias("hashed")).where("doc_id is not null"), keep
 
 
 # --- connected components ---------------------------------------------------------------------

@@ -11,7 +11,9 @@ Only entries of at least the threshold count, so rows are cut to the columns tha
    A block is first multiplied with its most central row only (as many entries as rows). What isn't linked
    to that row's component afterwards is multiplied with the rest of the block: so the links found connect
    just what all links connect, without writing all entries of a block of near copies.
-4. The overlap of the remaining entries is accumulated on the whole sets, and compared with the threshold.
+4. The overlap of the remaining entries is accumulated on the heads first: what is shared there plus all that
+   the longer tail could add bounds the whole overlap. Entries that may still reach the threshold are
+   accumulated on the whole sets, and compared with it.
 
 Null and empty texts have no n-grams and link with nothing. Rows with a null doc_id are ignored; rows that
 share a doc_id are one document, linked by any of them. Columns other than doc_id and text are not read.
@@ -119,9 +121,26 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return C.cut(rows.mapInArrow(grams, "doc_id long, grams array<long>"), "gram-sets")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b, na, nb) those whose overlap on the whole sets reaches the threshold."""
+def _likely(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs without those whose heads share too little.
+
+    Of two heads one ends first in the global order. What its row shares with the other row lies in both heads or
+    in the first row's tail, so the overlap is at most the heads' overlap plus that tail; the longer tail bounds both.
+    """
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    some, keep = C.only(rows, ids, ("n_grams", "head"))
+    schema = "doc_id long, n_grams long, head array<long>"
+    found = some.mapInArrow(lambda batches: (keep(batch).select(["doc_id", "n_grams", "head"]) for batch in batches), schema)
+    sides = pairs.join(found.toDF("b", "nb", "hb"), ["b", "nb"]).join(found.toDF("a", "na", "ha"), ["a", "na"])
+    reach = F.size(F.array_intersect("ha", "hb")) + F.expr("greatest(na - size(ha), nb - size(hb))")
+    return sides.where(reach * (100 + percent) >= percent * F.expr("na + nb")).select("a", "b").distinct()
+
+
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b, na, nb) those whose overlap on the whole sets reaches the threshold; ``rows``: the heads."""
     pairs = C.cut(pairs.distinct(), "gram-pairs")
+    if not pairs.isEmpty():
+        pairs = C.cut(_likely(rows, pairs, percent), "gram-likely")
     if pairs.isEmpty():
         return pairs.select("a", "b")
     sets = _sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), n)
@@ -147,15 +166,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 23, stars:
     classes = rows.where("n_grams > 0").groupBy("n_grams", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     reps = rows.where("n_grams > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     entries = reps.select(F.col("doc_id").alias("d"), F.col("n_grams").cast("int").alias("n"), F.posexplode("head").alias("i", "g"))
-    columns = entries.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("i", "d", "n")).alias("p")).where("k > 1")
-    block = C.cut(entries.join(columns.select("g", "p"), "g").select("g", "d", "n", "i", F.col("p.d").alias("pd"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi")), "gram-blocks")
+    shared = entries.groupBy("g").agg(F.count("*").alias("k"), F.max("n").alias("most")).where("k > 1 and most > 0").select("g")  # with n, both branches read one shuffle of the heads
+    block = C.cut(entries.join(shared, "g").select("g", "d", "n", "i"), "gram-blocks")
+    centre = C.cut(block.groupBy("g").agg(F.min(F.struct("i", "d", "n")).alias("p")).select("g", "p.*").toDF("g", "pi", "pd", "pn"), "gram-centres")
 
-    star = block.where(f"d <> pd and {_may_reach('n', 'i', 'pn', 'pi', percent)}").selectExpr("pd a", "d b", "pn na", "n nb")
-    links = _verified(docs, star, n, percent)
+    star = block.join(centre, "g").where(f"d <> pd and {_may_reach('n', 'i', 'pn', 'pi', percent)}").selectExpr("pd a", "d b", "pn na", "n nb")
+    links = _verified(docs, rows, star, n, percent)
     labels = C.cut(C.components(links), "gram-labels")
     for left in range(stars, 0, -1):
-        named = block.select("g", "d", "n", "i").join(labels.toDF("d", "l"), "d", "left").withColumn("l", F.coalesce("l", "d"))
-        named = named.join(block.where("d = pd").select("g", "pd").distinct().join(labels.toDF("pd", "pl"), "pd", "left").select("g", F.coalesce("pl", "pd").alias("pl")), "g")
+        named = block.join(labels.toDF("d", "l"), "d", "left").withColumn("l", F.coalesce("l", "d"))
+        named = named.join(centre.select("g", "pd").join(labels.toDF("pd", "pl"), "pd", "left").select("g", F.coalesce("pl", "pd").alias("pl")), "g")
         odd = C.cut(named.where("l <> pl"), "gram-odd")
         if odd.isEmpty():
             break
@@ -163,7 +183,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 23, stars:
         if left > 1:
             x = x.groupBy("g").agg(F.min(F.struct("ib", "b", "nb", "lb")).alias("x")).select("g", "x.*")
         pairs = x.join(named.selectExpr("g", "d a", "n na", "i ia", "l la"), "g").where(f"la <> lb and {_may_reach('na', 'ia', 'nb', 'ib', percent)}")
-        more = _verified(docs, pairs.selectExpr("least(a, b) a", "greatest(a, b) b", "if(a < b, na, nb) na", "if(a < b, nb, na) nb"), n, percent)
+        more = _verified(docs, rows, pairs.selectExpr("least(a, b) a", "greatest(a, b) b", "if(a < b, na, nb) na", "if(a < b, nb, na) nb"), n, percent)
         known = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = C.cut(C.components(known.union(more)), "gram-labels")
 
