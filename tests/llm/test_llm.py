@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,38 @@ def test_pipeline(spark, sf_dir):
     assert all(b <= a for a, b in zip(kept, kept[1:], strict=False)) and kept[3] == kept[4]
     left = brute_components([(r.doc_id, r.text) for r in common.documents(spark, sf_dir).where(F.col("doc_id").isin(list(kept[0]))).collect()], 5, 80)
     assert kept[1] == {d for d, (_, c) in left.items() if d == c}
+
+
+def window_keys(text):
+    column = pa.array([text])
+    ((_, _, data, offsets),) = common.blocks(pa.record_batch([column], names=["text"]))
+    return set(compact_windows.nodes(common.Words(data, offsets), 50)[0].tolist())
+
+
+def changed(text, **at):
+    out = text.split()
+    for k, v in at.items():
+        out[int(k[1:])] = v
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("case", ["two groups", "chain", "second place"])
+def test_compact_windows_compares_all_that_meet(spark, case):
+    """Nodes that meet only where a smaller document, near to neither, near to one, or elsewhere in the first one, holds the key too."""
+    for seed in range(1000):
+        base = random_text(np.random.default_rng(seed), 50)
+        if case == "two groups":
+            two, three = changed(base, w4="c", w46="d"), changed(base, w4="e", w46="f")
+            texts, near = {1: changed(base, w4="a", w46="b"), 2: two, 3: three, 4: two + " end", 5: three + " end"}, [(2, 4), (3, 5)]
+        elif case == "chain":
+            texts, near = {1: base, 2: changed(base, w4="x"), 3: changed(base, w4="x", w46="y")}, [(1, 2), (2, 3)]
+        else:
+            texts, near = {1: changed(base, w4="x", w46="y") + " " + random_text(np.random.default_rng(seed + 5000), 100) + " " + base, 2: base + " end"}, [(1, 2)]
+        keys = {d: window_keys(t) for d, t in texts.items()}
+        held = window_keys(texts[1][: len(changed(base, w4="x", w46="y"))]) if case == "second place" else keys[1] & keys[2] if case == "two groups" else keys[1]
+        if all(keys[a] & keys[b] and keys[a] & keys[b] <= held for a, b in near):
+            break
+    else:
+        raise AssertionError("no such texts")
+    got = compact_windows.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).toPandas()
+    assert set(got.doc_id) == {d for pair in near for d in pair}
