@@ -93,6 +93,13 @@ def test_graph_search_finds_most_true_neighbours(spark, sf_dir):
     assert metrics.recall(backend.search(asked, 10), search.knn(e, asked, 10), 10).agg(F.avg("recall")).first()[0] >= 0.6
 
 
+def test_graph_search_over_many_shards(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "embeddings")
+    asked, rows = catalog.asked(e), 50
+    found = graph.walk(e, tables.written(graph.build(e, 16, 48, shard_rows=rows), "graph"), asked, 10, 16, rows)
+    assert metrics.recall(found, search.knn(e, asked, 10), 10).agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_robust_prune_hides_what_is_behind_a_kept_node():
     x = np.array([[1.0, 0.0], [1.1, 0.0], [0.0, 1.0]])
     kept = graph.robust_prune(np.zeros(3), np.arange(3), x, (x * x).sum(1), 2, 1.0)

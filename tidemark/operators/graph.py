@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,7 +13,16 @@ from ..functions import vectors as V
 from . import search
 
 GRAPH_ROWS = 200_000
-"""A graph of at most so many nodes is sent whole to the tasks that walk it; larger ones are walked shard by shard."""
+"""A graph of at most so many nodes is sent whole to the tasks that walk it; larger ones are built and walked shard by shard."""
+
+
+def shard_count(points: DataFrame, shard_rows: int) -> int:
+    return max(1, -(-points.count() // shard_rows))
+
+
+def shard_of(c, shards: int):
+    """The hash part of a node: building and walking deal nodes alike."""
+    return F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
 
 
 def knn_graph(points: DataFrame, r: int) -> DataFrame:
@@ -71,10 +82,15 @@ def prune(candidates: DataFrame, points: DataFrame, r: int, alpha: float = 1.2)
     return full.select("src", "dst", "dist", "x").groupBy("src").applyInPandas(one, "src long, dst long, dist double")
 
 
-def build(points: DataFrame, r: int = 16, candidates: int = 48, alpha: float = 1.2) -> DataFrame:
-    """A pruned graph: exact candidates, robust prune, reversed edges, and a prune of nodes with too many of them."""
-    edges = prune(knn_graph(points, candidates), points, r, alpha)
-    return prune(with_reverse(edges), points, r, alpha)
+def build(points: DataFrame, r: int = 16, candidates: int = 48, alpha: float = 1.2, shard_rows: int = GRAPH_ROWS) -> DataFrame:
+    """A pruned graph: exact candidates, robust prune, reversed edges, and a prune of nodes with too many of them.
+
+    Beyond ``shard_rows`` points each shard that ``walk`` searches gets a whole graph of its own points.
+    """
+    shards = shard_count(points, shard_rows)
+    parts = [points.where(shard_of("vec_id", shards) == s) for s in range(shards)] if shards > 1 else [points]
+    near = reduce(DataFrame.union, [knn_graph(p, candidates) for p in parts])
+    return prune(with_reverse(prune(near, points, r, alpha)), points, r, alpha)
 
 
 def greedy_search(x: np.ndarray, neighbors: list[np.ndarray], start: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -97,9 +113,10 @@ def walk(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, width:
     """query_id, rnk, neighbor_id, dist by greedy search of each shard's graph from its medoid, merged over shards.
 
     Shards are hash parts of at most about ``shard_rows`` nodes; a cogroup holds one shard's graph and a block of queries.
+    ``edges`` are of a ``build`` of the same points with the same ``shard_rows``.
     """
-    shards = max(1, -(-points.count() // shard_rows))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
+    shards = shard_count(points, shard_rows)
+    part = lambda c: shard_of(c, shards)
     lists = edges.where(part("src") == part("dst")).groupBy(F.col("src").alias("vec_id")).agg(F.collect_list("dst").alias("nbrs"))
     nodes = points.select("vec_id", V.doubles(F.col("embedding")).alias("x")).join(lists, "vec_id", "left").withColumn("s", part("vec_id"))
     asked = queries.select("query_id", V.doubles(F.col("embedding")).alias("q")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
