@@ -325,3 +325,13 @@ def test_compact_windows_compares_all_that_meet(spark, case):
         raise AssertionError("no such texts")
     got = compact_windows.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).toPandas()
     assert set(got.doc_id) == {d for pair in near for d in pair}
+
+
+def test_toxicity_reads_over_white_space():
+    rng = np.random.default_rng(2)
+    calm = lambda: " ".join(random_text(rng, 8, 300).replace("w", "so") + "." for _ in range(4))
+    rows = [(calm() + (" you idiot stay. " if i % 3 == 0 else " so calm. ") + calm(), int(i % 3 == 0)) for i in range(300)]
+    scores = toxicity._Scores(toxicity.fit(rows, 1 / 3))
+    spaced = ["you i d i o t stay.", "so id iot stay", "you i\td  i o t", "it is i d i o t so be it"]
+    assert (scores(pa.array([f"{calm()} {t} {calm()}" for t in spaced])) > 0.3).all()
+    assert (scores(pa.array([f"{calm()} so it is a do to {calm()}" for _ in range(20)])) < 0.3).all()

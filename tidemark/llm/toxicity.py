@@ -2,7 +2,8 @@
 
 The kernel of two strings sums, over all their common subsequences of 3 and 4 letters, DECAY to the power of
 the stretches that those span in both: inserted characters make a match weaker but don't end it. A sentence
-meets a landmark by its best word. The landmarks are stretches of words that mark toxic sentences of the
+meets a landmark by its best word, or by its best run of pieces of up to SHORT characters, read without the white
+space between them ("i d i o t", "id iot"). The landmarks are stretches of words that mark toxic sentences of the
 training sample, found by greedy cover, and a few words of clean ones; the kernel among them gives the
 Nyström map, in which a squared-hinge linear machine is trained.
 
@@ -33,6 +34,8 @@ SAMPLE_TEXT_BYTES = 32_768
 WIDTH, DECAY, ORDERS = 24, 0.5, (3, 4)
 LANDMARKS, BACKGROUND = 48, 8
 CACHE_WORDS = 150_000
+SHORT = 3
+_RUN = re.compile(rf"(?<!\S)\S{{1,{SHORT}}}(?:\s+\S{{1,{SHORT}}})+(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 _MARKS = re.compile(r"[^\w\n]+|_+")
 
@@ -85,6 +88,11 @@ def _pieces(word: str) -> Iterable[str]:
     return [word[i : i + WIDTH] for i in range(0, len(word) - half, half)]
 
 
+def _runs(text: str) -> set[str]:
+    """The runs of two or more short pieces, each joined to one word."""
+    return {"".join(r.split()) for r in _RUN.findall(text)}
+
+
 @dataclass
 class Model:
     """A trained machine; without landmarks every text scores ``prior``."""
@@ -134,7 +142,8 @@ class Model:
 
 
 def _sentences(text: str) -> list[set[str]]:
-    return [set(_bare(s.split())) - {""} for s in _SENTENCE.split(text.lower()) if s.strip()]
+    text = text.lower()
+    return [set(_bare(s.split())) - {""} for s in _SENTENCE.split(text) if s.strip()] + [set(_bare(list(_runs(text)))) - {""}]
 
 
 def _choose_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list[str], list[str]]:
@@ -261,7 +270,7 @@ class _Scores:
         m, cache = self.model, self.cache
         if not m.landmarks:
             return np.full(len(column), m.prior)
-        texts = [set((t or "").lower().split()) for t in column.to_pylist()]
+        texts = [set(t.split()) | _runs(t) for t in ((t or "").lower() for t in column.to_pylist())]
         if len(cache) > CACHE_WORDS:
             cache.clear()
         new = list({w for t in texts for w in t if w not in cache})
