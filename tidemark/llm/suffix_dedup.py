@@ -3,11 +3,11 @@
 1. Of every text only the suffixes at minimiser positions are kept: among WINDOW successive starts, where the
    hash of the next HEAD words is smallest. Two occurrences of a passage of HEAD + WINDOW - 1 = length words
    choose the same positions inside it, so each has a kept suffix there.
-2. Kept suffixes are sorted by their heads, and neighbours compared: a head that stands alone drops out.
-3. Matches are extended: around a repeated head, the windows of ``length`` words of which it is the minimiser
-   are compared to the left and right, as fingerprints, with those around the other suffixes of the head. A
-   window whose minimiser stands alone can't repeat and is never compared. Adjoining repeated windows make
-   one passage, whose ends are where the match can't be extended any more.
+2. Kept suffixes are grouped by the hash of their heads, which stands in for sorting them: a head that stands
+   alone drops out.
+3. No match is extended word by word: of all windows of ``length`` words whose minimiser is a repeated head,
+   fingerprints are grouped. A window whose minimiser stands alone can't repeat and is never compared.
+   Adjoining repeated windows make one passage.
 
 Whole texts that are equal are one text up to here: all but the one of the smallest doc_id repeat it.
 Only counts and minima per fingerprint are taken, so a passage in very many documents is no large group.
