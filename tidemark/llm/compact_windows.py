@@ -199,11 +199,15 @@ def _against_all(nodes_: DataFrame, length: int, percent: int) -> DataFrame:
                 differ = doc[i] != doc[j]
                 i, j = i[differ], j[differ]
                 near = near_starts(tokens[i], tokens[j], percent)
-                np.logical_or.at(good, i, near)
                 some = np.flatnonzero(near.any(axis=1))
-                for k in some[np.lexsort((-place[j[some]], -doc[j[some]]))]:
-                    if doc[j[k]] <= other[i[k]]:
-                        other[i[k]], other_at[i[k]] = doc[j[k]], place[j[k]]
+                if len(some):
+                    some = some[np.lexsort((place[j[some]], doc[j[some]], i[some]))]
+                    i, j, near = i[some], j[some], near[some]
+                    heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                    good[i[heads]] |= np.logical_or.reduceat(near, heads, axis=0)
+                    i, j = i[heads], j[heads]
+                    nearer = doc[j] < other[i]
+                    other[i[nearer]], other_at[i[nearer]] = doc[j[nearer]], place[j[nearer]]
 
         pending = 0
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
