@@ -235,8 +235,8 @@ def test_encoder_matches_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     slow, fast = Tokenizer.from_file(TOKENIZER), best_fit_packing.encoder(TOKENIZER)
-    slow.encode_special_tokens = True
-    for text in ["", " ", "\n\n  a", "don't  stop\t", "ÉÑß 中文 🙂", "a" * 5000, " " * 5000, "<|endoftext|>", "1234,56"]:
+    assert slow.encode("hello <|endoftext|> x", add_special_tokens=False).ids == [31373, 220, 50256, 2124]
+    for text in ["hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "", " ", "\n\n  a", "don't  stop\t", "ÉÑß 中文 🙂", "a" * 5000, " " * 5000, "<|endoftext|>", "1234,56"]:
         assert fast(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
@@ -251,7 +251,7 @@ def test_toxicity(spark, odd, empty, sf_dir):
     assert set(got[got.held_out].doc_id) == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
     held = got[got.held_out]
     assert ((held.predicted == 1) == (held.doc_id % 3 == 0)).mean() > 0.95
-    word = lambda w: float(model.score(model.margins([w]))[0])
+    word = lambda w: float(toxicity._Scores(model)(pa.array([w]))[0])
     assert word("i.d.i.o.t") > 0.3 and word("idxiot") > word("so12")
     out = toxicity.score(odd, model).toPandas()
     assert len(out) == odd.count() and out.score.between(0, 1).all()
@@ -260,6 +260,25 @@ def test_toxicity(spark, odd, empty, sf_dir):
     assert toxicity.reject(odd, model).columns == odd.columns
 
 
+def test_kernel_against_all_subsequences():
+    def brute(a, b):
+        spans = lambda w, n: [(tuple(w[k] for k in i), i[-1] - i[0] + 1) for i in combinations(range(len(w)), n)]
+        return sum(toxicity.DECAY ** (p + q) for n in toxicity.ORDERS for u, p in spans(a, n) for v, q in spans(b, n) if u == v)
+
+    pairs = [("idiot", "idiot"), ("idxiot", "idiot"), ("aaaa", "aaa"), ("ab", "ab"), ("moronic", "moron"), ("éñé中x", "ñé中"), ("", "abc"), ("abcdefghabcd", "badcfehg")]
+    got = toxicity.kernel(toxicity._letters([a for a, _ in pairs]), toxicity._letters([b for _, b in pairs]))
+    assert np.allclose(got, [brute(a, b) for a, b in pairs], rtol=1e-5)
+    model = toxicity.Model(["idiot", "clown"])
+    want = [brute("idiots", "idiot") / brute("idiot", "idiot") ** 0.5 / model._unit, 0]
+    assert np.allclose(model.features(["idiots"])[0, :2], want, rtol=1e-5)
+
+
+def test_units_of_texts():
+    found, index, owner = toxicity.units(pa.array(["x", "You  i d-i o.t, stay", None, "", "a\tb\n", "cde abcd"]).slice(1))
+    words_of = [sorted(found.to_pylist()[i] for i, o in zip(index, owner, strict=True) if o == k and found.to_pylist()[i]) for k in range(5)]
+    assert words_of == [["di", "i", "ot", "stay", "you", "youidi"], [], [], ["a", "ab", "b"], ["abcd", "cde"]]
+
+
 def test_importance_resampling(spark, odd, empty, sf_dir):
     docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     w = common.cut(importance_resampling.weights(docs, labels.where("quality = 1")), "w").toPandas()
@@ -292,6 +311,30 @@ def test_pipeline(spark, sf_dir):
     assert kept[1] == {d for d, (_, c) in left.items() if d == c}
 
 
+def test_pipeline_stages_take_odd_rows(spark, odd, empty, sf_dir):
+    """Rows that repeat, rows without an id, extra columns whose names clash, and an empty table."""
+    import corpus_pipeline
+
+    docs = odd.unionByName(odd.where("doc_id = 0")).unionByName(odd.where("doc_id in (8, 9)").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.withColumns({"gone": F.lit(1), "lacks_id": F.lit(2), "repeat_row": F.lit(3), "repeat_doc": F.lit(4), "__leaked": F.lit(5)})
+    own = docs.where("doc_id is null").withColumn("text", F.concat(F.lit("all "), F.repeat(F.lit("its own "), 20), F.reverse("text"))).limit(1)
+    docs = common.cut(docs.unionByName(own).unionByName(own), "odd-rows")
+    kept = docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        kept = common.cut(stage(spark, kept, sf_dir), f"odd-stage-{i}")
+        if i < 4:
+            assert kept.columns == docs.columns
+        if name == "near duplicates":
+            ids = [r.doc_id for r in kept.select("doc_id").collect()]
+            left = brute_components([(r.doc_id, r.text) for r in docs.where("doc_id is not null").collect()], 5, 80)
+            assert sorted(i for i in ids if i is not None) == sorted(d for d, (_, c) in left.items() if c == d)
+            assert ids.count(None) == 1
+    assert kept.where("doc_id is null").count() >= 1
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, empty, sf_dir).columns == empty.columns and stage(spark, empty, sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[4][1](spark, empty, sf_dir).count() == 0
+
+
 def window_keys(text):
     column = pa.array([text])
     ((_, _, data, offsets),) = common.blocks(pa.record_batch([column], names=["text"]))
@@ -331,7 +374,7 @@ def test_toxicity_reads_over_white_space():
     rng = np.random.default_rng(2)
     calm = lambda: " ".join(random_text(rng, 8, 300).replace("w", "so") + "." for _ in range(4))
     rows = [(calm() + (" you idiot stay. " if i % 3 == 0 else " so calm. ") + calm(), int(i % 3 == 0)) for i in range(300)]
-    scores = toxicity._Scores(toxicity.fit(rows, 1 / 3))
+    scores = toxicity._Scores(toxicity.fit([(set(toxicity.units(pa.array([t]))[0].to_pylist()), y) for t, y in rows], 1 / 3))
     spaced = ["you i d i o t stay.", "so id iot stay", "you i\td  i o t", "it is i d i o t so be it"]
     assert (scores(pa.array([f"{calm()} {t} {calm()}" for t in spaced])) > 0.3).all()
     assert (scores(pa.array([f"{calm()} so it is a do to {calm()}" for _ in range(20)])) < 0.3).all()

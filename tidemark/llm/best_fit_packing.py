@@ -29,10 +29,11 @@ _ENCODERS: dict[str, object] = {}
 
 
 class Encoder:
-    """Ids of a byte-level BPE file of the tokenizers library, for plain text (no special tokens).
+    """Ids of a byte-level BPE file of the tokenizers library, as it gives them without adding special tokens of its own.
 
     The file's vocabulary is loaded into a faster encoder that gives the same ids, since in such files a token's
-    id is its merge rank; texts on which that one gives up are encoded by the tokenizers library itself.
+    id is its merge rank. Texts that hold the text of an added token (which the library reads as that token), and
+    texts on which the fast one gives up, are encoded by the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -44,8 +45,8 @@ class Encoder:
         if model["normalizer"] is not None or model["pre_tokenizer"]["type"] != "ByteLevel" or model["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path} isn't a plain byte-level BPE")
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         special = {t["id"] for t in model["added_tokens"]}
+        self.added = [t["content"] for t in model["added_tokens"]]
         byte_of = self._bytes()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if i not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,11 +60,12 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         try:
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
+            if not any(t in text for t in self.added):
+                return np.array(self.fast.encode_ordinary(text), np.uint32)
         except BaseException as e:  # the Rust side panics on some very long runs
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encoder(path: str) -> Encoder:

@@ -6,6 +6,8 @@ no Python loop per word. Words are runs of bytes outside ``\\x20\\x09-\\x0D``; A
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,17 +18,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 """Texts are hashed in chunks of about so many bytes; this bounds the per-byte work arrays."""
 
 _OWN_DIR: dict[str, str] = {}
 
 
+def _give_back() -> None:
+    """Have what is freed go back to the system: a worker's memory then follows what it holds, not the most it ever held.
+
+    Arrow allocates by malloc, and malloc maps blocks of 4 MB or more apart. Without glibc nothing is changed.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        option = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):
+        return
+    # fixed values of malloc.h: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+    for name, value in ((-3, 4 << 20), (-1, 8 << 20), (-8, 2)):
+        option(name, value)
+
+
+_give_back()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset and all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="tidemark-")
@@ -40,6 +62,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or the like, that isn't a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a doc_id in every row, and the name of an added column that tells which had none.
+
+    A row without one is named by a hash of its values, from 2**62 on: equal rows are one document, and rows that
+    came with an id are the smaller ones.
+    """
+    lacks = free(docs, "lacks_id")
+    made = F.shiftrightunsigned(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]), 2) + F.lit(1 << 62)
+    return docs.withColumn(lacks, F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", made)), lacks
+
+
+def restored(docs: DataFrame, lacks: str) -> DataFrame:
+    """The rows of ``identified`` with the ids they came with."""
+    return docs.withColumn("doc_id", F.when(~F.col(lacks), F.col("doc_id"))).drop(lacks)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (one column, any name); columns stay as they are."""
+    gone = free(docs, "gone")
+    return docs.join(ids.toDF(gone), docs["doc_id"] == F.col(gone), "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

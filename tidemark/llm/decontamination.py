@@ -169,6 +169,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap a benchmark item; columns and rows else as they are."""
-    leaked = overlaps(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, docs.doc_id == F.col("__leaked"), "left_anti")
+    """``docs`` without the documents that overlap a benchmark item; columns and rows else as they are.
+
+    Rows that share a doc_id go together. A row without a doc_id is never found to overlap, so it stays; null and
+    empty texts overlap nothing.
+    """
+    return C.without(docs, overlaps(docs, benchmark).select("doc_id").distinct())

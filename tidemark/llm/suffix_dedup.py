@@ -128,10 +128,11 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` with all passages cut out but the first occurrences; texts of which no word is left are dropped.
 
     Words inside a removed range go with the white space behind them; all else stays as it is. Texts that were
-    null or empty before stay.
+    null or empty before stay, and so do rows without a doc_id; rows that share a doc_id lose the same word ranges.
     """
-    spans = passages(docs, length).where("not first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    spans = C.cut(spans, "repeats").withColumnRenamed("doc_id", "__doc")
+    doc_col, row_col, span_col = (C.free(docs, c) for c in ("repeat_doc", "repeat_row", "repeat_spans"))
+    spans = passages(docs, length).where("not first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(span_col))
+    spans = C.cut(spans, "repeats").withColumnRenamed("doc_id", doc_col)
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +151,14 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 edges = np.append(words.start, len(raw))
                 keep = [raw[: edges[0]]] + [raw[edges[i] : edges[j]] for i, j in _runs(~gone)]
                 texts[k] = b"".join(keep).decode()
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["__row", "text"])
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=[row_col, "text"])
 
     names = docs.columns
-    keyed = docs.join(spans.hint("shuffle_hash"), docs.doc_id == spans["__doc"], "left")
-    changed = F.col("__doc").isNotNull()
-    rows = C.cut(keyed.withColumn("__row", F.monotonically_increasing_id()), "trimming")
-    new = rows.where(changed).select("__row", "text", "__spans").mapInArrow(trim, "__row long, text string")
-    edited = rows.where(changed).drop("text").join(new, "__row").where("text <> ''").select(names)
+    keyed = docs.join(spans, docs["doc_id"] == spans[doc_col], "left")
+    changed = F.col(doc_col).isNotNull()
+    rows = C.cut(keyed.withColumn(row_col, F.monotonically_increasing_id()), "trimming")
+    new = rows.where(changed).select(row_col, "text", span_col).mapInArrow(trim, f"{row_col} long, text string")
+    edited = rows.where(changed).drop("text").join(new, row_col).where("text <> ''").select(names)
     return rows.where(~changed).select(names).unionByName(edited)
 
 
