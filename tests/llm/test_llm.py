@@ -370,6 +370,30 @@ def test_compact_windows_compares_all_that_meet(spark, case):
     assert set(got.doc_id) == {d for pair in near for d in pair}
 
 
+def test_compact_windows_recall(spark):
+    """Passages amid texts of their own: equal ones with a common line in the middle, and near ones with changes."""
+    rng = np.random.default_rng(11)
+    line = random_text(rng, 30)
+    rows, pairs = [], defaultdict(list)
+
+    def add(kind, left, right):
+        for text in (left, right):
+            rows.append((len(rows), " ".join([random_text(rng, 80, 10**6), text, random_text(rng, 80, 10**6)])))
+        pairs[kind].append((len(rows) - 2, len(rows) - 1))
+
+    for _ in range(60):
+        own = f"{random_text(rng, 10, 10**6)} {line} {random_text(rng, 10, 10**6)}"
+        add("equal, with a common line", own, own)
+        for n, k in ((50, 1), (60, 1), (100, 2)):
+            text = random_text(rng, n, 10**6)
+            spots = sorted(rng.choice(np.arange(n // (2 * k), n), 1).tolist() + ([n // 4] if k == 2 else []))
+            add(f"{k} of {n} changed", text, changed(text, **{f"w{s}": "other" for s in spots}))
+    got = {r.doc_id for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = {kind: sum(a in got and b in got for a, b in some) for kind, some in pairs.items()}
+    assert found.pop("equal, with a common line") == 60
+    assert min(found.values()) >= 54, found
+
+
 def test_toxicity_reads_over_white_space():
     rng = np.random.default_rng(2)
     calm = lambda: " ".join(random_text(rng, 8, 300).replace("w", "so") + "." for _ in range(4))

@@ -10,9 +10,15 @@ Each node is paired with the first one of another document that it meets (by doc
 document pair and offset are one candidate interval, over all hash functions. Both intervals are then read again
 and compared: a window is near-duplicate if the Jaccard similarity of its tokens and those beside it reaches the
 threshold. Pairing with the first keeps candidates linear in the number of nodes where a passage is shared as it
-is. A node is settled once each window around it lies in a passage found. Each of the others is then compared
-with all nodes that it meets, settled or not, so no two nodes that meet are left uncompared where that could
-find more; equal surroundings of a key are compared once.
+is. A node is settled once each window around it lies in a passage found.
+
+Where a key has nodes that aren't settled, a key alone says too little: a common line has it in very many documents
+that share nothing else. There the windows themselves are grouped, by more of what they hold: under each of
+SALTS further hash functions, a window belongs to the smallest node in it (so a node's compact window is all those
+it is the smallest of), and its signature is that node's key, the place in the window, and three of SAMPLES
+tokens spread over the window. One changed word changes one of the four at most, so of a near-duplicate pair at least one of
+the four choices of three agrees, unless the smallest nodes differ. Windows of one signature are paired with the first one
+again. Work stays linear: no group is ever multiplied out.
 
 Equal texts are one text up to here; each other copy is reported as a passage of the one of the smallest id.
 """
@@ -29,8 +35,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SHINGLE, CONTEXT, HASHES, SHIFT, GAP = 5, 4, 4, 3, 200
-BLOCK, PAIRS = 2000, 8192
-"""Open nodes are compared with those that they meet in blocks of about so many of both, so many pairs a step."""
+SALTS, STEP, EDGE, SAMPLES = 2, 4, 3, 4
+"""Signatures: hash functions, distance of a node's places in its windows, tokens left out at each end, tokens sampled."""
+
+THIN = 50
+"""In a stretch of nodes of one key side by side (a word said over and over), one node of so many is kept, and the ends."""
 
 
 def nodes(words: C.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +52,13 @@ def nodes(words: C.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     spot = np.searchsorted(begin, at[chosen] - CONTEXT)
     there = spot < len(begin)
     there[there] = begin[spot[there]] == at[chosen][there] - CONTEXT
-    return keys[spot[there]], at[chosen][there]
+    keys, at = keys[spot[there]], at[chosen][there]
+    if len(keys) > 2:
+        same = (keys[1:] == keys[:-1]) & (at[1:] == at[:-1] + 1)
+        keep = np.ones(len(keys), bool)
+        keep[1:-1] = ~(same[:-1] & same[1:]) | (at[1:-1] % THIN == 0)
+        keys, at = keys[keep], at[keep]
+    return keys, at
 
 
 def _summaries(docs: DataFrame, length: int) -> DataFrame:
@@ -128,11 +143,12 @@ def _compare(pairs: DataFrame, docs: DataFrame, length: int, percent: int) -> Da
     return C.cut(both.mapInArrow(run, "doc_id long, start long, end long, other long, other_start long, off long"), "near-passages")
 
 
-def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, place, open, tokens) of nodes (key, doc_id, place, open): the tokens of all windows with the node, 0 where there is none."""
-    reach = length - SHINGLE
-    asked = C.cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "open")).alias("asked")), "nodes-asked")
+def _signatures(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(key, doc_id, place) with a signature as key: of the nodes ``wanted`` (key, doc_id, place) those that are the smallest of a window."""
+    asked = C.cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("asked")), "nodes-asked")
     rows, keep = C.only(docs, asked.select("doc_id"))
+    window = length - SHINGLE + 1
+    samples = np.linspace(EDGE, window - 1 - EDGE, SAMPLES).astype(np.int64)
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(keep, batches):
@@ -144,116 +160,57 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 words = C.Words(data, offsets)
                 tokens, at = words.grams(SHINGLE)
                 first = np.searchsorted(at, words.first)
-                for i, asks in enumerate(batch.column(2).slice(a, b - a)):
-                    own = np.concatenate([np.zeros(reach, np.uint64), tokens[first[i] : first[i + 1]], np.zeros(reach, np.uint64)])
-                    asks = asks.values
-                    for c in range(0, len(asks), BLOCK):
-                        part = asks.slice(c, BLOCK)
-                        key, place, is_open = part.field(0), part.field(1), part.field(2)
-                        key, place, is_open = (x.slice(part.offset, len(part)) if len(x) != len(part) else x for x in (key, place, is_open))
-                        near = np.lib.stride_tricks.sliding_window_view(own, 2 * reach + 1)[place.to_numpy()]
-                        doc = np.full(len(part), batch.column(0)[a + i].as_py(), np.int64)
-                        yield pa.record_batch([key, pa.array(doc), place, is_open, pa.array([r.tobytes() for r in near], pa.binary())], names=["key", "doc_id", "place", "open", "tokens"])
+                lists = batch.column(2).slice(a, b - a)
+                asks, owner = lists.flatten(), np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                key, place = asks.field(0).to_numpy().view(np.uint64), asks.field(1).to_numpy().astype(np.int64)
+                ids = batch.column(0).slice(a, b - a).to_numpy()
+                spot = first[owner] + place + 2 * EDGE * (owner + 1)  # texts stand apart by what a window may stick out
+                for salt in C.powers(C._P, SALTS + 1)[1:]:
+                    rank = C.mix(key ^ salt)
+                    ranks = np.full(len(tokens) + 2 * EDGE * (len(first) + 1) + 2 * window, np.uint64(2**64 - 1))
+                    ranks[spot] = rank
+                    least = C.sliding(ranks, window, np.minimum)
+                    for o in range(0, window, STEP):
+                        begin = place - o
+                        ok = np.flatnonzero((begin >= -EDGE) & (begin + samples[-1] < np.diff(first)[owner]) & (least[np.maximum(0, spot - o)] == rank))
+                        if not len(ok):
+                            continue
+                        parts = C.mix(tokens[(first[owner[ok]] + begin[ok])[:, None] + samples] ^ C.powers(C._Q, SAMPLES + 1)[1:])
+                        whole = parts.sum(axis=1) + C.mix(key[ok] + np.full(1, o, np.uint64) * C._P)
+                        found = C.mix(whole[:, None] - parts + np.arange(SAMPLES, dtype=np.uint64) * C._Q)  # each leaves one sample out
+                        yield pa.record_batch([pa.array(C.signed(found.ravel())), pa.array(np.repeat(ids[owner[ok]], SAMPLES)), pa.array(np.repeat(place[ok], SAMPLES).astype(np.int32))], names=["key", "doc_id", "place"])
 
     texts = rows.mapInArrow(pass_on, "doc_id long, text string")
-    return texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(read, "key long, doc_id long, place int, open boolean, tokens binary")
+    return texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(read, "key long, doc_id long, place int")
 
 
-def near_starts(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Of each pair of surroundings which windows of x are near-duplicates of what stands beside them in y."""
-    width = x.shape[1]
-    window = (width + 1) // 2
-    hit = np.zeros(x.shape, bool)
-    for s in range(-SHIFT, SHIFT + 1):
-        low, high = max(0, -s), min(width, width - s)
-        hit[:, low:high] |= x[:, low:high] == y[:, low + s : high + s]
-    there = x != 0
-    total = lambda m: np.diff(np.pad(np.cumsum(m, axis=1, dtype=np.int16), ((0, 0), (1, 0)))[:, [np.arange(width - window + 1), np.arange(window, width + 1)]], axis=1)[:, 0]
-    return (total(hit & there).astype(np.int64) * (100 + percent) >= percent * 2 * window) & (total(there) == window)
+def _shared(nodes_: DataFrame) -> DataFrame:
+    """The nodes (key, doc_id, place) whose key two documents hold, written."""
+    both = nodes_.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key")
+    return C.cut(nodes_.join(both, "key"), "compact-shared")
 
 
-def _against_all(nodes_: DataFrame, length: int, percent: int) -> DataFrame:
-    """Near-duplicate passages around the open nodes, each compared with all others of its key: doc_id, start, end, other_doc_id, other_start."""
+def _firsts(shared: DataFrame) -> DataFrame:
+    """(key, p, n, q): the first node of each key, how many there are, and the first one of another document."""
     spot = F.struct("doc_id", "place")
-    ends = nodes_.groupBy("key", "tokens").agg(F.min(spot).alias("a"), F.max(spot).alias("z"))
-    met = ends.select("key", F.explode(F.when(F.expr("a.doc_id = z.doc_id"), F.array("a")).otherwise(F.array("a", "z"))).alias("p"), "tokens").select("key", "p.doc_id", "p.place", F.lit(1).alias("side"), "tokens")
-    asks = nodes_.where("open").select("key", "doc_id", "place", F.lit(0).alias("side"), "tokens")
-    both = C.cut(asks.union(met), "nodes-both")
-    sizes = both.groupBy("key").agg(F.ceil(F.sum(1 - F.col("side")) / BLOCK).cast("int").alias("n0"), F.ceil(F.sum("side") / BLOCK).cast("int").alias("n1"))
-    own = F.pmod(F.xxhash64("doc_id", "place"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
-    dealt = both.join(sizes, "key").withColumn("own", own).withColumn("each", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)))
-    dealt = dealt.withColumn("b0", F.expr("if(side = 0, own, each)")).withColumn("b1", F.expr("if(side = 0, each, own)"))
-    dealt = dealt.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1", "side").select("key", "b0", "b1", "side", "doc_id", "place", "tokens")
-    width, window = 2 * (length - SHINGLE) + 1, length - SHINGLE + 1
-
-    def compare(doc, place, tokens, side, bounds):
-        good = np.zeros((len(doc), width - window + 1), bool)
-        other, other_at = np.full(len(doc), np.iinfo(np.int64).max), np.zeros(len(doc), np.int64)
-        whole = np.lib.stride_tricks.sliding_window_view(tokens != 0, window, axis=1).all(axis=2)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def settle():
-            if waiting:
-                i, j = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
-                waiting.clear()
-                differ = doc[i] != doc[j]
-                i, j = i[differ], j[differ]
-                near = near_starts(tokens[i], tokens[j], percent)
-                some = np.flatnonzero(near.any(axis=1))
-                if len(some):
-                    some = some[np.lexsort((place[j[some]], doc[j[some]], i[some]))]
-                    i, j, near = i[some], j[some], near[some]
-                    heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-                    good[i[heads]] |= np.logical_or.reduceat(near, heads, axis=0)
-                    i, j = i[heads], j[heads]
-                    nearer = doc[j] < other[i]
-                    other[i[nearer]], other_at[i[nearer]] = doc[j[nearer]], place[j[nearer]]
-
-        pending = 0
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            split = a + int(np.searchsorted(side[a:b], 1))
-            asking, c = np.arange(a, split), split
-            while c < b and len(asking):
-                d = min(b, c + max(1, PAIRS // len(asking)))
-                waiting.append((np.repeat(asking, d - c), np.tile(np.arange(c, d), len(asking))))
-                pending += len(asking) * (d - c)
-                if pending >= PAIRS or d < b:
-                    settle()
-                    pending = 0
-                    asking = asking[(good[asking] != whole[asking]).any(axis=1)]
-                c = d
-        settle()
-        out = []
-        for i in np.flatnonzero(good.any(axis=1)):
-            starts = np.flatnonzero(good[i])
-            out.append((int(doc[i]), int(place[i] + starts[0] - length + SHINGLE), int(place[i] + starts[-1] - length + SHINGLE) + length, int(other[i]), max(0, int(other_at[i] + starts[0]) - length + SHINGLE)))
-        return out
+    first = shared.groupBy("key").agg(F.min(spot).alias("p"), F.count("*").alias("n"))
+    second = shared.join(first, "key").where("doc_id <> p.doc_id").groupBy("key").agg(F.min(spot).alias("q"))
+    return C.cut(first.join(second, "key"), "compact-first")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
 
-        def done(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            key, b0, b1, side, doc, place = (table.column(i).to_numpy() for i in range(6))
-            tokens = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint64).reshape(len(doc), width)
-            bounds = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(b0) != 0) | (np.diff(b1) != 0)) + 1, [len(doc)]])
-            rows = compare(doc, place, tokens, side, bounds)
-            return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc_id", "start", "end", "other_doc_id", "other_start"])
+def _lanes(shared: DataFrame, first: DataFrame) -> DataFrame:
+    """Candidate intervals (doc_id, other, off, low, high): one for each stretch of a diagonal, cut where GAP words lack any meeting."""
+    met = shared.join(first, "key").where("n > 2 or doc_id <> p.doc_id").withColumn("o", F.expr("if(doc_id = p.doc_id, q, p)"))
+    met = met.select("doc_id", "place", F.col("o.doc_id").alias("other"), (F.col("place") - F.col("o.place")).alias("off"))
+    lane = met.groupBy("doc_id", "other", "off", F.floor(F.col("place") / GAP).alias("g")).agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    return lane.select("doc_id", "other", "off", "low", "high")
 
-        for batch in batches:
-            new = pa.Table.from_batches([batch])
-            rest = new if rest is None else pa.concat_tables([rest, new])
-            if rest.num_rows < 2 * BLOCK:
-                continue
-            tags = [rest.column(i).to_numpy() for i in range(3)]
-            last = np.flatnonzero(np.any([t[:-1] != t[1:] for t in tags], axis=0))
-            if len(last):
-                yield done(rest.slice(0, int(last[-1]) + 1))
-                rest = rest.slice(int(last[-1]) + 1)
-        if rest is not None and rest.num_rows:
-            yield done(rest)
 
-    return C.cut(dealt.mapInArrow(run, "doc_id long, start long, end long, other_doc_id long, other_start long"), "near-open")
+def _both(found: DataFrame) -> DataFrame:
+    """Passages of ``_compare`` from the view of both documents: doc_id, start, end, other_doc_id, other_start."""
+    near = found.select("doc_id", "start", "end", F.col("other").alias("other_doc_id"), "other_start")
+    back = found.select(F.col("other").alias("doc_id"), F.col("other_start").alias("start"), (F.col("other_start") + F.col("end") - F.col("start")).alias("end"), F.col("doc_id").alias("other_doc_id"), F.col("start").alias("other_start"))
+    return near.unionByName(back.groupBy("doc_id", "start", "end").agg(F.min("other_doc_id").alias("other_doc_id"), F.min_by("other_start", "other_doc_id").alias("other_start")))
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -283,27 +240,19 @@ def passages(docs: DataFrame, length: int = 50, percent: int = 80) -> DataFrame:
 
     reps = rows.join(classes.select(F.col("keep").alias("doc_id")), "doc_id", "left_semi")
     every = reps.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(F.col("s.keys").alias("key"), "doc_id", F.col("s.places").alias("place"))
-    shared = every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key")
-    left = C.cut(every.join(shared, "key"), "compact-shared")
-    # of each key the first node, and the first of another document, with which the first one's document is paired
-    spot = F.struct("doc_id", "place")
-    first = left.groupBy("key").agg(F.min(spot).alias("p"), F.count("*").alias("n"))
-    second = left.join(first, "key").where("doc_id <> p.doc_id").groupBy("key").agg(F.min(spot).alias("q"))
-    first = C.cut(first.join(second, "key"), "compact-first")
-    met = left.join(first, "key").where("n > 2 or doc_id <> p.doc_id").withColumn("o", F.expr("if(doc_id = p.doc_id, q, p)")).select("doc_id", "place", F.col("o.doc_id").alias("other"), (F.col("place") - F.col("o.place")).alias("off"))
-    # one interval for each stretch of a diagonal, cut where GAP words lack any meeting
-    lane = met.groupBy("doc_id", "other", "off", F.floor(F.col("place") / GAP).alias("g")).agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    found = _compare(lane.select("doc_id", "other", "off", "low", "high"), docs, length, percent)
-    near = found.select("doc_id", "start", "end", F.col("other").alias("other_doc_id"), "other_start")
-    back = found.select(F.col("other").alias("doc_id"), F.col("other_start").alias("start"), (F.col("other_start") + F.col("end") - F.col("start")).alias("end"), F.col("doc_id").alias("other_doc_id"), F.col("start").alias("other_start"))
-    out = whole.unionByName(near).unionByName(back.groupBy("doc_id", "start", "end").agg(F.min("other_doc_id").alias("other_doc_id"), F.min_by("other_start", "other_doc_id").alias("other_start")))
+    left = _shared(every)
+    first = _firsts(left)
+    lanes = C.cut(_lanes(left, first), "compact-lanes")
+    out = whole.unionByName(_both(_compare(lanes, docs, length, percent)))
     out = C.cut(_merged(out).select("doc_id", "start", "end", "o.other_doc_id", "o.other_start"), "compact-found")
 
-    # the first node of a key has met all others, a settled one can find no more; each other one meets them all now
+    # the first node of a key has met all others, a settled one can find no more; where others are left, windows are grouped
     open_ = left.join(first.where("n > 2").select("key", "p"), "key").where("doc_id <> p.doc_id or place <> p.place").select("key", "doc_id", "place")
     span = open_.join(rows.select("doc_id", "words").distinct(), "doc_id").select("key", "doc_id", "place", F.greatest(F.lit(0), F.col("place") - (length - SHINGLE)).alias("low"), F.least("words", F.col("place") + length).alias("high"))
     ranges = out.select(F.col("doc_id").alias("d"), "start", "end")
-    open_ = C.cut(span.join(ranges, F.expr("doc_id = d and start <= low and end >= high"), "left_anti").select("key", "doc_id", "place").distinct(), "compact-open")
-    wanted = left.join(open_.select("key").distinct(), "key", "left_semi").join(open_.withColumn("o", F.lit(True)), ["key", "doc_id", "place"], "left").select("key", "doc_id", "place", F.coalesce("o", F.lit(False)).alias("open"))
-    out = out.unionByName(_against_all(C.cut(_surroundings(docs, wanted, length), "compact-surroundings"), length, percent))
+    open_ = span.join(ranges, F.expr("doc_id = d and start <= low and end >= high"), "left_anti").select("key").distinct()
+    wanted = left.join(open_, "key", "left_semi")
+    windows = _shared(_signatures(docs, wanted, length))
+    again = _lanes(windows, _firsts(windows)).join(lanes, ["doc_id", "other", "off", "low", "high"], "left_anti")
+    out = out.unionByName(_both(_compare(again, docs, length, percent)))
     return _merged(out).select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "o.other_doc_id", "o.other_start")

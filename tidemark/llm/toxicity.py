@@ -233,8 +233,8 @@ def fit(rows: list[tuple[set[str], int]], share: float) -> Model:
     root[:-1, :-1] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
 
     words = sorted({p for d in toxic_words + clean_words for w in d for p in _pieces(w)})
-    raw = model.features(words)
-    mapped, index = raw @ root, {w: i for i, w in enumerate(words)}
+    raw = np.vstack([model.features(words[i : i + WORDS]) for i in range(0, len(words), WORDS)])
+    index = {w: i for i, w in enumerate(words)}
     members = lambda docs: [np.array([index[p] for w in d for p in _pieces(w)], np.int64) for d in docs]
     bags, negatives = members(toxic_words), np.array(sorted({index[p] for d in clean_words for w in d for p in _pieces(w)}), np.int64)
     marks = (raw[:, :n] * model._unit / model._norm)[:, : n - BACKGROUND if n > BACKGROUND else n].max(axis=1)
@@ -249,7 +249,7 @@ def fit(rows: list[tuple[set[str], int]], share: float) -> Model:
         for w in (words[i] for i in witness):
             k = int(rng.integers(1, max(2, len(w))))
             varied += [(w[:k] + c + w[k:])[:WIDTH] for c in "xh"]
-        x = np.vstack([mapped[witness], model.features(varied) @ root, mapped[hard]])
+        x = np.vstack([raw[witness], model.features(varied), raw[hard]]) @ root
         y = np.concatenate([np.ones(len(witness) + len(varied)), -np.ones(len(hard))])
         c = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
         w = _machine(x, y, c)
