@@ -2,15 +2,19 @@
 
 1. Of every text only the suffixes at minimiser positions are kept: among WINDOW successive starts, where the
    hash of the next HEAD words is smallest. Two occurrences of a passage of HEAD + WINDOW - 1 = length words
-   choose the same positions inside it, so each has a kept suffix there.
-2. Kept suffixes are grouped by the hash of their heads, which stands in for sorting them: a head that stands
-   alone drops out.
-3. No match is extended word by word: of all windows of ``length`` words whose minimiser is a repeated head,
-   fingerprints are grouped. A window whose minimiser stands alone can't repeat and is never compared.
-   Adjoining repeated windows make one passage.
+   choose the same positions inside it, so each has a kept suffix there. Suffixes whose head stands alone drop out.
+2. The kept suffixes are sorted by what follows them (range partitions of head and text, as one byte a word) and
+   each is compared with its neighbours: the longer common start is how far any match of it reaches to the right.
+   Then they are sorted by head and what precedes them, and the same gives how far any match extends to the left.
+   A neighbour beyond a partition's edge counts as equal. Only where both reaches add up to ``length`` words or more
+   can the suffix lie in a repeated passage.
+3. A suffix's farthest match to the left and that to the right may be different ones, and of each repeat the first
+   occurrence is wanted: so the windows of ``length`` words within the reaches are counted by fingerprint. Adjoining
+   repeated windows make one passage.
 
 Whole texts that are equal are one text up to here: all but the one of the smallest doc_id repeat it.
-Only counts and minima per fingerprint are taken, so a passage in very many documents is no large group.
+Sorting splits equal suffixes by place, and of windows only minima and maxima per fingerprint are taken, windows
+side by side that are equal as one row; so a passage in very many documents is no large group.
 """
 
 from __future__ import annotations
@@ -57,36 +61,116 @@ def _summaries(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, words int, f1 long, f2 long, heads array<long>, twice array<boolean>")
 
 
-def _windows(docs: DataFrame, suspects: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, doc_id, place) of the windows whose minimiser is among the document's ``matched`` heads."""
-    rows, keep = C.only(docs, suspects.select("doc_id"))
+def _read(docs: DataFrame, asked: DataFrame, column: str, each, schema: str) -> DataFrame:
+    """``each(words, list column, ids)`` of the blocks of documents in ``asked`` (doc_id, ``column``)."""
+    rows, keep = C.only(docs, asked.select("doc_id"))
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(keep, batches):
             yield batch.select([0, 1])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in C.blocks(batch):
-                words = C.Words(data, offsets)
-                grams, at = words.grams(length)
-                if not len(grams):
-                    continue
-                matched = batch.column(2).slice(a, b - a)
-                heads, places = words.grams(HEAD)
-                bounds = np.searchsorted(places, words.first)
-                known = np.concatenate([np.isin(C.signed(heads[bounds[i] : bounds[i + 1]]), m.values.to_numpy()) for i, m in enumerate(matched)])
-                least, whole = C.window_minima(heads, places, length - HEAD + 1)
-                among_known, _ = C.window_minima(np.where(known, heads, np.uint64(2**64 - 1)), places, length - HEAD + 1)
-                ok = (among_known == least)[whole]
-                at, grams = at[ok], grams[ok]
-                owner = words.text_of()[at]
-                ids = batch.column(0).slice(a, b - a).to_numpy()[owner]
-                second = (C.mix(words.hash[at] + grams * C._P) ^ C.mix(words.hash[at + length - 1])) >> np.uint64(32)
-                yield pa.record_batch([pa.array(C.signed(grams)), pa.array(second.astype(np.uint32).view(np.int32)), pa.array(ids), pa.array((at - words.first[owner]).astype(np.int32))], names=["w1", "w2", "doc_id", "place"])
+                yield each(C.Words(data, offsets), batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a).to_numpy())
 
     texts = rows.mapInArrow(pass_on, "doc_id long, text string")
-    return texts.join(suspects, "doc_id").select("doc_id", "text", "matched").mapInArrow(compare, "w1 long, w2 int, doc_id long, place int")
+    return texts.join(asked, "doc_id").select("doc_id", "text", column).mapInArrow(run, schema)
+
+
+def _suffixes(docs: DataFrame, suspects: DataFrame, length: int) -> DataFrame:
+    """(head, doc_id, place, after, before) of the kept suffixes whose head is among the document's ``matched``; a byte a word, that next to the head first."""
+    reach = length - HEAD
+
+    def each(words: C.Words, matched: pa.Array, ids: np.ndarray) -> pa.RecordBatch:
+        heads, at = minimisers(words, length)
+        bounds = np.searchsorted(at, words.first)
+        known = [np.isin(C.signed(heads[bounds[i] : bounds[i + 1]]), m.values.to_numpy()) for i, m in enumerate(matched)]
+        chosen = np.concatenate(known) if known else np.zeros(0, bool)
+        heads, at = heads[chosen], at[chosen]
+        owner = words.text_of()[at]
+        low, high = words.first[owner], words.first[owner + 1]
+        letters = np.append((words.hash >> np.uint64(56)).astype(np.uint8), np.uint8(0))
+        out = []
+        for places, there in ((at[:, None] + HEAD + np.arange(reach), lambda p: p < high[:, None]), (at[:, None] - 1 - np.arange(reach), lambda p: p >= low[:, None])):
+            side = np.where(there(places), letters[np.clip(places, 0, len(words))], np.uint8(0))
+            out.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(reach), len(at), [None, pa.py_buffer(np.ascontiguousarray(side))]).cast(pa.binary()))
+        return pa.record_batch([pa.array(C.signed(heads)), pa.array(ids[owner]), pa.array((at - low).astype(np.int32)), *out], names=["head", "doc_id", "place", "after", "before"])
+
+    return _read(docs, suspects, "matched", each, "head long, doc_id long, place int, after binary, before binary")
+
+
+def _reach(sorted_rows: DataFrame, side: str, width: int, name: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns of rows sorted by (head, ``side``) and ``name``: the longer common start of ``side`` with either neighbour of the same head, -1 if there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows wait until the row after them is seen; before the first and after the last row an equal one is assumed
+        waiting, above = None, width
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if waiting is not None:
+                table = pa.concat_tables([waiting, table]).combine_chunks()
+            yield from done(table, above, None)
+            above = common(table.slice(table.num_rows - 2)) if table.num_rows > 1 else [above]
+            above, waiting = int(above[0]), table.slice(table.num_rows - 1)
+        if waiting is not None:
+            yield from done(waiting, above, width)
+
+    def common(table: pa.Table) -> np.ndarray:
+        """Of each pair of neighbouring rows the length of the common start, -1 for different heads."""
+        head = table["head"].to_numpy()
+        text = np.frombuffer(b"".join(table[side].to_pylist()), np.uint8).reshape(-1, width)
+        differ = np.hstack([text[1:] != text[:-1], np.ones((len(text) - 1, 1), bool)])
+        return np.where(head[1:] == head[:-1], differ.argmax(axis=1), -1)
+
+    def done(table: pa.Table, above: int, below: int | None) -> Iterator[pa.RecordBatch]:
+        between = common(table)
+        up = np.concatenate([[above], between])
+        best = np.maximum(up, np.append(between, below)) if below is not None else np.maximum(up[:-1], between)
+        if len(best):
+            some = table.slice(0, len(best)).select(keep).append_column(name, pa.array(best.astype(np.int32)))
+            yield from some.combine_chunks().to_batches()
+
+    kinds = dict(sorted_rows.dtypes)
+    return sorted_rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + f", {name} int")
+
+
+def _candidates(suffixes: DataFrame, length: int) -> DataFrame:
+    """(doc_id, reaches): of each suffix that may lie in a repeated passage its place, and how many words before and after it repeat."""
+    width = length - HEAD
+    right = suffixes.repartitionByRange("head", "after", "doc_id", "place").sortWithinPartitions("head", "after", "doc_id", "place")
+    right = C.cut(_reach(right, "after", width, "ahead", ["head", "doc_id", "place", "before"]).where("ahead >= 0"), "suffix-ahead")
+    left = right.repartitionByRange("head", "before", "doc_id", "place").sortWithinPartitions("head", "before", "doc_id", "place")
+    both = _reach(left, "before", width, "back", ["doc_id", "place", "ahead"]).where(f"back >= 0 and back + ahead >= {width}")
+    return both.groupBy("doc_id").agg(F.collect_list(F.struct("place", "back", "ahead")).alias("reaches"))
+
+
+def _windows(docs: DataFrame, candidates: DataFrame, length: int) -> DataFrame:
+    """(w1, w2, doc_id, place, run) of the windows within the suffixes' reaches; ``run`` equal ones that begin side by side are one row."""
+
+    def each(words: C.Words, reaches: pa.Array, ids: np.ndarray) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(ids)), reaches.value_lengths().to_numpy())
+        place, back, ahead = (reaches.flatten().field(i).to_numpy().astype(np.int64) for i in range(3))
+        low = np.maximum(0, place - back)
+        high = np.minimum(place - np.maximum(0, length - HEAD - ahead), words.count()[owner] - length)
+        ok = low <= high
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, (words.first[owner] + low)[ok], 1)
+        np.add.at(edge, (words.first[owner] + high)[ok] + 1, -1)
+        grams, at = words.grams(length)
+        asked = np.cumsum(edge)[at] > 0
+        grams, at = grams[asked], at[asked]
+        owner = words.text_of()[at]
+        second = (C.mix(words.hash[at] + grams * C._P) ^ C.mix(words.hash[at + length - 1])) >> np.uint64(32)
+        new = np.ones(len(at), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (second[1:] != second[:-1]) | (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
+        run = np.diff(np.append(np.flatnonzero(new), len(at)))
+        grams, second, at, owner = grams[new], second[new], at[new], owner[new]
+        return pa.record_batch([pa.array(C.signed(grams)), pa.array(second.astype(np.uint32).view(np.int32)), pa.array(ids[owner]), pa.array((at - words.first[owner]).astype(np.int32)), pa.array(run.astype(np.int32))], names=["w1", "w2", "doc_id", "place", "run"])
+
+    return _read(docs, candidates, "reaches", each, "w1 long, w2 int, doc_id long, place int, run int")
 
 
 def passages(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -110,15 +194,19 @@ def passages(docs: DataFrame, length: int = 50) -> DataFrame:
     paired = suffixes.groupBy("heads").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max("twice").alias("twice")).where("a <> z or twice")
     matched = suffixes.join(paired.select("heads"), "heads").groupBy("doc_id").agg(F.collect_set("heads").alias("matched"))
     matched = C.cut(matched, "suffix-matches")
-    windows = C.cut(_windows(docs, matched, length), "suffix-windows")
-    again = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max(F.struct("doc_id", "place")).alias("z")).where("f <> z")
-    hits = windows.join(again, ["w1", "w2"]).select("doc_id", "place", F.expr("doc_id = f.doc_id and place = f.place").alias("first"))
-    per_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "first"))).alias("h"))
-    # a run ends where the next start isn't the next place, or is of the other kind
-    breaks = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: (i == 1) | (F.element_at("h", i)["place"] != F.get("h", i - 2)["place"] + 1) | (F.element_at("h", i)["first"] != F.get("h", i - 2)["first"]))
+    suffixes = C.cut(_suffixes(docs, matched, length), "suffixes-kept")
+    windows = C.cut(_windows(docs, C.cut(_candidates(suffixes, length), "suffix-candidates"), length), "suffix-windows")
+    again = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max(F.expr("struct(doc_id, place + run - 1 as place)")).alias("z")).where("f <> z")
+    hits = windows.join(again, ["w1", "w2"])
+    head, tail = F.struct("place", F.lit(1).alias("run"), F.lit(True).alias("first")), F.struct((F.col("place") + 1).alias("place"), (F.col("run") - 1).alias("run"), F.lit(False).alias("first"))
+    split = F.when(F.expr("doc_id <> f.doc_id or place <> f.place"), F.array(F.struct("place", "run", F.lit(False).alias("first")))).when(F.col("run") == 1, F.array(head)).otherwise(F.array(head, tail))
+    per_doc = hits.select("doc_id", F.explode(split).alias("h")).groupBy("doc_id").agg(F.array_sort(F.collect_set("h")).alias("h"))
+    # a passage ends where the next start isn't the next place, or is of the other kind
+    at = lambda i, f: F.element_at("h", i)[f]
+    breaks = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: (i == 1) | (at(i, "place") != F.get("h", i - 2)["place"] + F.get("h", i - 2)["run"]) | (at(i, "first") != F.get("h", i - 2)["first"]))
     runs = per_doc.withColumn("b", breaks).select("doc_id", "h", "b", F.posexplode("b").alias("i", "from"))
     until = F.coalesce(F.get("b", F.col("i") + 1) - 1, F.size("h"))
-    found = runs.select("doc_id", F.element_at("h", F.col("from"))["place"].alias("start"), (F.element_at("h", until)["place"] + length).alias("end"), F.element_at("h", F.col("from"))["first"].alias("first"))
+    found = runs.select("doc_id", at(F.col("from"), "place").alias("start"), (at(until, "place") + at(until, "run") - 1 + length).alias("end"), at(F.col("from"), "first").alias("first"))
     twice = copied.select("doc_id", F.lit(True).alias("twice"))
     out = found.join(twice, "doc_id", "left").where("twice is null or not first").drop("twice").unionByName(whole)
     return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), "first")
