@@ -32,7 +32,7 @@ def odd(spark):
     base, passage = random_text(rng, 300), random_text(rng, 60)
     near = base.split()
     near[7] = "changed"
-    texts = [base, " ".join(near), base.upper(), None, "", "one", "one two", "one two", random_text(rng, 30_000), random_text(rng, 200) + " " + passage, random_text(rng, 90) + "\n" + passage + " end", "\t\n ", "same " * 400]
+    texts = [base, " ".join(near), base.upper(), None, "", "one", "one two", "one two", random_text(rng, 30_000), random_text(rng, 200) + " " + passage, random_text(rng, 90) + "\n" + passage + " end", "\t\n ", "same " * 400, "to and " * 200 + "fro " + "and to " * 60]
     rows = [(i, t, None if i == 2 else "en", "src", None) for i, t in enumerate(texts)]
     rows.append(rows[6])
     extra = {"row": F.lit(1), "spans": F.lit("x"), "size": F.lit(2), "rank": F.lit(3), "id": F.lit(4), "a": F.lit(5), "u": F.lit(6)}
@@ -71,6 +71,18 @@ def test_jaccard_join(spark, odd, empty, sf_dir, n, percent):
     assert ngram_jaccard.join(empty, n, percent, bits=16).count() == 0
 
 
+def test_progressions():
+    keys = np.array([5, 6, 5, 6, 5, 9, 5, 5, 7], np.uint64)
+    at, owner = np.array([0, 1, 2, 3, 4, 5, 90, 91, 92]), np.array([0, 0, 0, 0, 0, 0, 0, 0, 1])
+    first, run, step = common.progressions(keys, at, owner)
+    assert sorted(zip(keys[first].tolist(), at[first].tolist(), run.tolist(), step.tolist(), strict=True)) == [(5, 0, 3, 2), (5, 90, 2, 1), (6, 1, 2, 2), (7, 92, 1, 1), (9, 5, 1, 1)]
+    rng = np.random.default_rng(0)
+    keys, at, owner = rng.integers(0, 4, 300).astype(np.uint64), np.sort(rng.choice(2000, 300, replace=False)), np.zeros(300, int)
+    first, run, step = common.progressions(keys, at, owner)
+    assert sorted((k, p + i * s) for k, p, n, s in zip(keys[first].tolist(), at[first].tolist(), run.tolist(), step.tolist(), strict=True) for i in range(n)) == sorted(zip(keys.tolist(), at.tolist(), strict=True))
+    assert all(len(x) == 0 for x in common.progressions(keys[:0], at[:0], owner[:0]))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (20, 3), (5, 5)], "a long, b long")
     assert dict(map(tuple, common.components(edges).collect())) == {1: 1, 2: 1, 3: 1, 20: 1, 7: 7, 8: 7, 9: 7}

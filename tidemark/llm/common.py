@@ -247,6 +247,25 @@ def minima(hashes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return sliding(np.concatenate([edge, np.where(whole, least, np.uint64(0)), edge]), window, np.maximum) == hashes
 
 
+PERIOD = 32
+"""Equal keys at most so many words apart are taken for a text that says the same thing over and over."""
+
+
+def progressions(keys: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal keys of one text at equal steps of up to PERIOD as one: (index of the first of each, how many, step, 1 for single ones)."""
+    order = np.lexsort((at, keys, owner))
+    k, a, o = keys[order], at[order], owner[order]
+    step = np.zeros(len(k), np.int64)  # to the one before, 0 if that is another key or too far
+    near = (k[1:] == k[:-1]) & (o[1:] == o[:-1]) & (a[1:] - a[:-1] <= PERIOD)
+    step[1:] = np.where(near, a[1:] - a[:-1], 0)
+    new = np.ones(len(k), bool)
+    new[1:] = (step[1:] == 0) | (step[1:] != step[:-1]) & (step[:-1] != 0)
+    begin = np.flatnonzero(new)
+    run = np.diff(np.append(begin, len(k)))
+    after = step[np.minimum(begin + 1, len(k) - 1)] if len(k) else step
+    return order[begin], run, np.where(run > 1, after, 1)
+
+
 def fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each text's words in their order."""
     rank = (np.arange(len(words)) - np.repeat(words.first[:-1], words.count())).astype(np.uint64)

@@ -39,7 +39,7 @@ SALTS, STEP, EDGE, SAMPLES = 2, 4, 3, 4
 """Signatures: hash functions, distance of a node's places in its windows, tokens left out at each end, tokens sampled."""
 
 THIN = 50
-"""In a stretch of nodes of one key side by side (a word said over and over), one node of so many is kept, and the ends."""
+"""Where a text says the same over and over, nodes of one key are kept about so many words apart, and the last."""
 
 
 def nodes(words: C.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +53,14 @@ def nodes(words: C.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     there = spot < len(begin)
     there[there] = begin[spot[there]] == at[chosen][there] - CONTEXT
     keys, at = keys[spot[there]], at[chosen][there]
-    if len(keys) > 2:
-        same = (keys[1:] == keys[:-1]) & (at[1:] == at[:-1] + 1)
-        keep = np.ones(len(keys), bool)
-        keep[1:-1] = ~(same[:-1] & same[1:]) | (at[1:-1] % THIN == 0)
-        keys, at = keys[keep], at[keep]
-    return keys, at
+    first, run, step = C.progressions(keys, at, words.text_of()[at] if len(at) else at)
+    skip = np.maximum(1, THIN // step)  # of a progression one place in so many, and the last
+    many = -(-(run - 1) // skip) + 1
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    first, run, step, skip = (np.repeat(x, many) for x in (first, run, step, skip))
+    places = at[first] + np.minimum(nth * skip, run - 1) * step
+    order = np.argsort(places, kind="stable")
+    return keys[first][order], places[order]
 
 
 def _summaries(docs: DataFrame, length: int) -> DataFrame:

@@ -14,7 +14,7 @@
 
 Whole texts that are equal are one text up to here: all but the one of the smallest doc_id repeat it.
 Sorting splits equal suffixes by place, and of windows only minima and maxima per fingerprint are taken, windows
-side by side that are equal as one row; so a passage in very many documents is no large group.
+of a text that are equal at equal steps as one row; so a passage in very many documents is no large group.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def _candidates(suffixes: DataFrame, length: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, candidates: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, doc_id, place, run) of the windows within the suffixes' reaches; ``run`` equal ones that begin side by side are one row."""
+    """(w1, w2, doc_id, place, run, step) of the windows within the suffixes' reaches; ``run`` equal ones at equal steps are one row."""
 
     def each(words: C.Words, reaches: pa.Array, ids: np.ndarray) -> pa.RecordBatch:
         owner = np.repeat(np.arange(len(ids)), reaches.value_lengths().to_numpy())
@@ -164,13 +164,14 @@ def _windows(docs: DataFrame, candidates: DataFrame, length: int) -> DataFrame:
         grams, at = grams[asked], at[asked]
         owner = words.text_of()[at]
         second = (C.mix(words.hash[at] + grams * C._P) ^ C.mix(words.hash[at + length - 1])) >> np.uint64(32)
-        new = np.ones(len(at), bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (second[1:] != second[:-1]) | (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
-        run = np.diff(np.append(np.flatnonzero(new), len(at)))
-        grams, second, at, owner = grams[new], second[new], at[new], owner[new]
-        return pa.record_batch([pa.array(C.signed(grams)), pa.array(second.astype(np.uint32).view(np.int32)), pa.array(ids[owner]), pa.array((at - words.first[owner]).astype(np.int32)), pa.array(run.astype(np.int32))], names=["w1", "w2", "doc_id", "place", "run"])
+        chosen, run, step = C.progressions(grams, at, owner)
+        grams, second, at, owner = grams[chosen], second[chosen], at[chosen], owner[chosen]
+        return pa.record_batch(
+            [pa.array(C.signed(grams)), pa.array(second.astype(np.uint32).view(np.int32)), pa.array(ids[owner]), *[pa.array(x.astype(np.int32)) for x in (at - words.first[owner], run, step)]],
+            names=["w1", "w2", "doc_id", "place", "run", "step"],
+        )
 
-    return _read(docs, candidates, "reaches", each, "w1 long, w2 int, doc_id long, place int, run int")
+    return _read(docs, candidates, "reaches", each, "w1 long, w2 int, doc_id long, place int, run int, step int")
 
 
 def passages(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -196,17 +197,16 @@ def passages(docs: DataFrame, length: int = 50) -> DataFrame:
     matched = C.cut(matched, "suffix-matches")
     suffixes = C.cut(_suffixes(docs, matched, length), "suffixes-kept")
     windows = C.cut(_windows(docs, C.cut(_candidates(suffixes, length), "suffix-candidates"), length), "suffix-windows")
-    again = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max(F.expr("struct(doc_id, place + run - 1 as place)")).alias("z")).where("f <> z")
-    hits = windows.join(again, ["w1", "w2"])
-    head, tail = F.struct("place", F.lit(1).alias("run"), F.lit(True).alias("first")), F.struct((F.col("place") + 1).alias("place"), (F.col("run") - 1).alias("run"), F.lit(False).alias("first"))
-    split = F.when(F.expr("doc_id <> f.doc_id or place <> f.place"), F.array(F.struct("place", "run", F.lit(False).alias("first")))).when(F.col("run") == 1, F.array(head)).otherwise(F.array(head, tail))
-    per_doc = hits.select("doc_id", F.explode(split).alias("h")).groupBy("doc_id").agg(F.array_sort(F.collect_set("h")).alias("h"))
-    # a passage ends where the next start isn't the next place, or is of the other kind
+    again = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max(F.expr("struct(doc_id, place + (run - 1) * step as place)")).alias("z")).where("f <> z")
+    hits = windows.join(again, ["w1", "w2"]).select("doc_id", "f", F.explode(F.expr("sequence(place, place + (run - 1) * step, step)")).alias("place"))
+    hits = hits.select("doc_id", "place", F.expr("doc_id = f.doc_id and place = f.place").alias("first"))
+    per_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "first"))).alias("h"))
+    # a run ends where the next start isn't the next place, or is of the other kind
     at = lambda i, f: F.element_at("h", i)[f]
-    breaks = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: (i == 1) | (at(i, "place") != F.get("h", i - 2)["place"] + F.get("h", i - 2)["run"]) | (at(i, "first") != F.get("h", i - 2)["first"]))
+    breaks = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: (i == 1) | (at(i, "place") != F.get("h", i - 2)["place"] + 1) | (at(i, "first") != F.get("h", i - 2)["first"]))
     runs = per_doc.withColumn("b", breaks).select("doc_id", "h", "b", F.posexplode("b").alias("i", "from"))
     until = F.coalesce(F.get("b", F.col("i") + 1) - 1, F.size("h"))
-    found = runs.select("doc_id", at(F.col("from"), "place").alias("start"), (at(until, "place") + at(until, "run") - 1 + length).alias("end"), at(F.col("from"), "first").alias("first"))
+    found = runs.select("doc_id", at(F.col("from"), "place").alias("start"), (at(until, "place") + length).alias("end"), at(F.col("from"), "first").alias("first"))
     twice = copied.select("doc_id", F.lit(True).alias("twice"))
     out = found.join(twice, "doc_id", "left").where("twice is null or not first").drop("twice").unionByName(whole)
     return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), "first")
