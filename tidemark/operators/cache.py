@@ -148,14 +148,22 @@ def replay_rows(cache: Cache, rows: pd.DataFrame) -> Iterator[tuple]:
 def replay(stream: DataFrame, config: CacheConfig) -> DataFrame:
     """Replay of independent caches: stream (cache_id, query_seq, k, embedding, ids, dists, vectors) to RESULT, a fold per cache.
 
-    Hits move thresholds and thresholds move hits, so one cache's queries follow each other in one task; caches run in parallel.
+    Hits move thresholds and thresholds move hits, so one cache's queries follow each other in one task; caches run
+    in parallel. Rows are sorted by Spark, which spills, and folded batch by batch: a task holds one cache's state
+    and one batch, however long the stream is.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(int(key[0]), *r) for r in replay_rows(Cache(config), rows)]
-        return pd.DataFrame(out, columns=["cache_id", "query_seq", "hit", "kth", "theta", "ids", "dists"])
-
-    return stream.groupBy("cache_id").applyInPandas(run, RESULT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, own = None, None
+        for batch in batches:
+            out = []
+            for cache_id, rows in batch.groupby("cache_id", sort=False):
+                if own != cache_id:
+                    cache, own = Cache(config), cache_id
+                out += [(int(cache_id), *r) for r in replay_rows(cache, rows)]
+            yield pd.DataFrame(out, columns=["cache_id", "query_seq", "hit", "kth", "theta", "ids", "dists"])
+
+    return stream.repartition("cache_id").sortWithinPartitions("cache_id", "query_seq").mapInPandas(run, RESULT)
 
 
 def with_answers(stream: DataFrame, answers: DataFrame, base: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.tables import written
 from . import search
 
 GRAPH_ROWS = 200_000
@@ -71,7 +72,7 @@ def robust_prune(src: np.ndarray, ids: np.ndarray, x: np.ndarray, dist: np.ndarr
 
 
 def prune(candidates: DataFrame, points: DataFrame, r: int, alpha: float = 1.2) -> DataFrame:
-    """Robustly pruned edges of candidate edges (src, dst, dist); a node's candidates are few, so a group is small."""
+    """Robustly pruned edges of candidate edges (src, dst, dist); callers see to it that a node's candidates are few."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("dst")
@@ -83,14 +84,15 @@ def prune(candidates: DataFrame, points: DataFrame, r: int, alpha: float = 1.2)
 
 
 def build(points: DataFrame, r: int = 16, candidates: int = 48, alpha: float = 1.2, shard_rows: int = GRAPH_ROWS) -> DataFrame:
-    """A pruned graph: exact candidates, robust prune, reversed edges, and a prune of nodes with too many of them.
+    """A pruned graph: exact candidates, robust prune, reversed edges, and a prune of each node's 4 * r nearest of both.
 
     Beyond ``shard_rows`` points each shard that ``walk`` searches gets a whole graph of its own points.
     """
     shards = shard_count(points, shard_rows)
     parts = [points.where(shard_of("vec_id", shards) == s) for s in range(shards)] if shards > 1 else [points]
     near = reduce(DataFrame.union, [knn_graph(p, candidates) for p in parts])
-    return prune(with_reverse(prune(near, points, r, alpha)), points, r, alpha)
+    # a hub may be the neighbour of very many nodes: of those that point to it the nearest are its candidates
+    return prune(cap(with_reverse(prune(near, points, r, alpha)), 4 * r).drop("rnk"), points, r, alpha)
 
 
 def greedy_search(x: np.ndarray, neighbors: list[np.ndarray], start: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -139,6 +141,49 @@ def walk(points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, width:
     return search.rank(found, k).select("query_id", "rnk", "neighbor_id", "dist")
 
 
+def insert(points: DataFrame, edges: DataFrame, new: DataFrame, r: int = 16, width: int = 64, alpha: float = 1.2, shard_rows: int = GRAPH_ROWS) -> DataFrame:
+    """Edges after ``new`` points (vec_id, embedding) joined the graph of ``points``: a set at a time, in one round.
+
+    A new point's candidates are what a greedy search for it meets, and the other new points nearest to it; they are
+    pruned, and every neighbour that is kept gets the edge back. Only nodes that got one are pruned again.
+    """
+    asked = new.select(F.col("vec_id").alias("query_id"), "embedding")
+    met = walk(points, edges, asked, width, width, shard_rows).select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"), "dist")
+    both = points.select("vec_id", V.doubles(F.col("embedding")).alias("embedding")).unionByName(new.select("vec_id", V.doubles(F.col("embedding")).alias("embedding")))
+    fresh = written(prune(met.unionByName(knn_graph(new, r)).dropDuplicates(["src", "dst"]), both, r, alpha), "graph-new")
+    back = fresh.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
+    touched = back.select("src").distinct()
+    grown = edges.select("src", "dst", "dist").join(touched, "src", "left_semi").unionByName(fresh.join(touched, "src", "left_semi")).unionByName(back)
+    untouched = edges.select("src", "dst", "dist").unionByName(fresh).join(touched, "src", "left_anti")
+    return untouched.unionByName(prune(cap(grown.dropDuplicates(["src", "dst"]), 4 * r).drop("rnk"), both, r, alpha))
+
+
+def erase(points: DataFrame, edges: DataFrame, deleted: DataFrame, r: int = 16, alpha: float = 1.2) -> DataFrame:
+    """Edges after ``deleted`` (vec_id) left for good: who lost a neighbour takes over that one's neighbours and is pruned; all others stay as they are."""
+    gone = deleted.select(F.col("vec_id").alias("g"))
+    own = edges.select("src", "dst", "dist").join(gone, F.col("src") == F.col("g"), "left_anti")
+    broken = own.join(gone, F.col("dst") == F.col("g"), "left_semi").select("src").distinct()
+    near = consolidate(edges.select("src", "dst"), deleted, points).join(broken, "src", "left_semi")
+    x = points.select("vec_id", V.doubles(F.col("embedding")).alias("x"))
+    full = near.join(x.toDF("src", "a"), "src").join(x.toDF("dst", "b"), "dst").select("src", "dst", V.l2(F.col("a"), F.col("b")).alias("dist"))
+    return own.join(broken, "src", "left_anti").unionByName(prune(cap(full, 4 * r).drop("rnk"), points, r, alpha))
+
+
+def save(points: DataFrame, edges: DataFrame, path: str) -> None:
+    """The index as two tables below ``path``."""
+    points.select("vec_id", "embedding").write.mode("overwrite").parquet(f"{path}/points")
+    edges.select("src", "dst", "dist").write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points, edges) of a stored index; raises if an edge leads to a point that isn't there."""
+    points, edges = spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/edges")
+    ends = edges.select(F.col("src").alias("vec_id")).union(edges.select("dst")).distinct()
+    if not ends.join(points.select("vec_id"), "vec_id", "left_anti").isEmpty():
+        raise ValueError(f"{path} has edges to points that it lacks")
+    return points, edges
+
+
 def degree_stats(edges: DataFrame) -> DataFrame:
     """One row: max_degree, avg_degree, min_degree, below_two."""
     return edges.groupBy("src").agg(F.count("*").alias("d")).agg(F.max("d").alias("max_degree"), F.avg("d").alias("avg_degree"), F.min("d").alias("min_degree"), F.count_if(F.col("d") < 2).alias("below_two"))

@@ -36,11 +36,18 @@ def interval_metrics(log: DataFrame, size: int) -> DataFrame:
         F.avg("ms").alias("avg_ms"), F.avg(F.when(F.col("hit"), F.col("ms"))).alias("avg_hit_ms"), F.avg(F.when(~F.col("hit"), F.col("penalty"))).alias("miss_penalty"), F.sum("ms").alias("sum_ms"))
 
 
-def cumulative(intervals: DataFrame) -> DataFrame:
-    """Running hit ratio and mean latency over intervals (few rows: one per interval of the stream)."""
-    w = Window.orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("queries").over(w)
-    return intervals.select("interval", n.alias("completed"), (F.sum("hits").over(w) / n).alias("hit_ratio"), (F.sum("sum_ms").over(w) / n).alias("avg_ms"))
+def cumulative(intervals: DataFrame, block: int = 1024) -> DataFrame:
+    """Running hit ratio and mean latency over intervals: sums within blocks of ``block`` intervals, after sums over the blocks before.
+
+    One task sees a row for each block only, not for each interval of the stream.
+    """
+    rows = intervals.select("interval", "queries", "hits", "sum_ms", F.floor(F.col("interval") / block).alias("b"))
+    sums = ("queries", "hits", "sum_ms")
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("b").agg(*[F.sum(c).alias(c) for c in sums]).select("b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums])
+    w = Window.partitionBy("b").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.join(blocks, "b").select("interval", *[(F.sum(c).over(w) + F.col(f"{c}_before")).alias(c) for c in sums])
+    return run.select("interval", F.col("queries").alias("completed"), (F.col("hits") / F.col("queries")).alias("hit_ratio"), (F.col("sum_ms") / F.col("queries")).alias("avg_ms"))
 
 
 def percentiles(log: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
@@ -84,3 +91,14 @@ def split_windows(n_splits: int, window: int, stride: int, repeat: int) -> list[
     """(window, repetition, split) of sliding windows over splits, in order of play."""
     starts = range(0, max(1, n_splits - window + 1), stride)
     return [(w, r, s) for w, a in enumerate(starts) for r in range(repeat) for s in range(a, min(n_splits, a + window))]
+
+
+def recall_offset(results: DataFrame, truth: DataFrame, k: int, offset: int) -> DataFrame:
+    """Recall where result ids are ``offset`` above those of the truth: query_id, matched, invalid, recall.
+
+    An id that is null or below the offset is invalid: it takes a place and matches nothing. Queries without a valid result have recall 0.
+    """
+    bad = F.col("neighbor_id").isNull() | (F.col("neighbor_id") < offset)
+    n = results.groupBy("query_id").agg(F.count_if(bad).alias("invalid"))
+    own = recall(results.where(~bad).select("query_id", (F.col("neighbor_id") - offset).alias("neighbor_id")), truth, k)
+    return own.join(n, "query_id", "left").select("query_id", "matched", F.coalesce("invalid", F.lit(0)).alias("invalid"), "recall")

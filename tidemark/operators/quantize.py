@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.tables import written
 from . import search
 
 CODEBOOK_ROWS = 65_536
 """Codebooks and centre tables of at most so many rows are broadcast."""
 
 
+SAMPLE_ROWS = 65_536
+"""Centres, codebooks and seeds are learned from at most so many rows, those with the smallest hashes of their id."""
+
+
+def bounded(points: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``points``, or ``rows`` of them drawn by hash without replacement."""
+    return points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows)
+
+
 def small(table: DataFrame) -> DataFrame:
     """``table`` marked for broadcast if it is proven small."""
     return F.broadcast(table) if table.limit(CODEBOOK_ROWS + 1).count() <= CODEBOOK_ROWS else table
@@ -55,6 +67,56 @@ def kmeans(points: DataFrame, k: int, iterations: int = 15, tolerance: float = 1
     return frame()
 
 
+def seeds_by_distance(points: DataFrame, k: int, seed: int = 0, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """k-means++ pivots (center_id, embedding): each next one drawn in proportion to the squared distance to the nearest so far, from a sample of at most ``rows``."""
+    sample = bounded(points, rows).select("vec_id", V.doubles(F.col("embedding")).alias("x")).toPandas()
+    rng, x = np.random.default_rng(seed), np.stack(sample["x"].to_numpy())
+    chosen = [int(rng.integers(len(x)))]
+    near = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < min(k, len(x)):
+        weight = near if near.sum() > 0 else np.where(np.isin(np.arange(len(x)), chosen), 0.0, 1.0)
+        chosen.append(int(rng.choice(len(x), p=weight / weight.sum())))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return points.sparkSession.createDataFrame([(i, x[c].tolist()) for i, c in enumerate(chosen)], "center_id long, embedding array<double>")
+
+
+def estimate_sizes(sample: DataFrame, share: float, centers: DataFrame, copies: int = 1) -> DataFrame:
+    """center_id, size: how many points of the whole table each centre would hold, by a sample of ``share`` of it."""
+    near = search.closest_centers(sample, centers, copies)
+    return near.groupBy("center_id").agg(F.round(F.count("*") / share).cast("long").alias("size"))
+
+
+def parts_for_budget(points: DataFrame, row_bytes: int, budget_bytes: float, copies: int = 2, start: int = 3, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Centres (center_id, embedding) of as few parts, ``start`` at least, as keep the largest part within a memory budget.
+
+    Each point goes to its ``copies`` nearest parts. Sizes are estimated from a sample of at most ``rows``.
+    """
+    sample = written(bounded(points, rows), "budget-sample")
+    total, held = points.count(), sample.count()
+    share = held / max(1, total)
+    parts = start
+    while True:
+        centers = kmeans(sample, parts, 5)
+        largest = estimate_sizes(sample, share, centers, min(copies, parts)).agg(F.max("size")).first()[0] or 0
+        if largest * row_bytes <= budget_bytes:
+            return centers
+        if parts >= held:
+            raise ValueError("no split into parts fits the budget")
+        parts += 1
+
+
+def rotation(dim: int, seed: int = 0) -> np.ndarray:
+    """A random orthogonal matrix."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
+def rotate(points: DataFrame, dim: int, seed: int = 0) -> DataFrame:
+    """vec_id, embedding turned by a random rotation: distances stay as they are. The matrix is one folded constant."""
+    matrix = F.from_json(F.lit(json.dumps(rotation(dim, seed).tolist())), "array<array<double>>")
+    return points.select("vec_id", F.transform(matrix, lambda row: V.dot(row, F.col("embedding"))).alias("embedding"))
+
+
 def chunks(dim: int, n: int) -> list[tuple[int, int]]:
     """Balanced (from, to) ranges of dimensions."""
     edges = [round(i * dim / n) for i in range(n + 1)]
@@ -72,8 +134,8 @@ def split(points: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     return points.select("vec_id", F.explode(parts).alias("p")).select("vec_id", "p.chunk", "p.part")
 
 
-def train_pq(sample: DataFrame, ranges: list[tuple[int, int]], codes: int = 256, iterations: int = 15) -> DataFrame:
-    """Codebook (chunk, code, part): Lloyd's rounds of each chunk in one task, on a bounded sample (``random_slice``)."""
+def train_pq(points: DataFrame, ranges: list[tuple[int, int]], codes: int = 256, iterations: int = 15, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Codebook (chunk, code, part): Lloyd's rounds of each chunk in one task, on a sample of at most ``rows``."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
@@ -85,7 +147,7 @@ def train_pq(sample: DataFrame, ranges: list[tuple[int, int]], codes: int = 256,
                 centers[c] = x[near == c].mean(0)
         return pd.DataFrame({"chunk": rows["chunk"].iloc[0], "code": range(len(centers)), "part": list(centers)})
 
-    return split(sample, ranges).groupBy("chunk").applyInPandas(fit, "chunk long, code long, part array<double>")
+    return split(bounded(points, rows), ranges).groupBy("chunk").applyInPandas(fit, "chunk long, code long, part array<double>")
 
 
 def encode(points: DataFrame, codebook: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
@@ -101,10 +163,15 @@ def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
     return parts.groupBy("vec_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda s: s["part"])).alias("embedding"))
 
 
-def adc(queries: DataFrame, codes: DataFrame, codebook: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
-    """query_id, neighbor_id, dist by look-up tables: the sum over chunks of query part to code distances."""
+def lookup(queries: DataFrame, codebook: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """query_id, chunk, code, d: each query's distance to each code of each chunk."""
     parts = split(queries.select(F.col("query_id").alias("vec_id"), "embedding"), ranges)
-    table = parts.join(small(codebook.withColumnRenamed("part", "center")), "chunk").select(F.col("vec_id").alias("query_id"), "chunk", "code", V.l2(F.col("part"), F.col("center")).alias("d"))
+    return parts.join(small(codebook.withColumnRenamed("part", "center")), "chunk").select(F.col("vec_id").alias("query_id"), "chunk", "code", V.l2(F.col("part"), F.col("center")).alias("d"))
+
+
+def adc(queries: DataFrame, codes: DataFrame, codebook: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """query_id, neighbor_id, dist of all pairs by look-up tables: the sum over chunks of query part to code distances."""
+    table = lookup(queries, codebook, ranges)
     return codes.select(F.col("vec_id").alias("neighbor_id"), "chunk", "code").join(table, ["chunk", "code"]).groupBy("query_id", "neighbor_id").agg(F.sum("d").alias("dist"))
 
 
@@ -130,3 +197,25 @@ def pca(points: DataFrame, dims: int) -> DataFrame:
     mean = points.select(F.posexplode(V.doubles(F.col("embedding"))).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m")).orderBy("dim").collect()
     row = ([r.m for r in mean], model.pc.toArray().T.tolist(), [r.lo for r in long], [r.hi for r in long])
     return points.sparkSession.createDataFrame([row], "mean array<double>, components array<array<double>>, lo array<double>, hi array<double>")
+
+
+def save_pca(model: DataFrame, path: str) -> None:
+    model.write.mode("overwrite").parquet(path)
+
+
+def load_pca(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """A stored model; raises if it isn't one row whose basis fits vectors of ``dim`` components."""
+    model = spark.read.parquet(path)
+    rows = model.select(F.size("mean").alias("mean"), F.size("components").alias("n"), F.size("lo").alias("lo"), F.size("hi").alias("hi"), F.forall("components", lambda c: F.size(c) == dim).alias("fits")).limit(2).collect()
+    if len(rows) != 1 or rows[0].mean != dim or not rows[0].fits or not rows[0].n == rows[0].lo == rows[0].hi:
+        raise ValueError(f"{path} holds no basis for {dim} components")
+    return model
+
+
+def project(points: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
+    """vec_id, region: the bucket of each vector along each component of a PCA model, between the range that was learned.
+
+    The model may come from the base or from a sample of queries: ``pca`` takes either.
+    """
+    along = F.zip_with(F.transform("components", lambda c: V.dot(c, F.col("embedding"))), F.arrays_zip("lo", "hi"), lambda x, r: F.when(r["hi"] == r["lo"], 0).otherwise(F.least(F.lit(buckets - 1), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - r["lo"]) / (r["hi"] - r["lo"]))) * buckets))).cast("int"))
+    return points.join(F.broadcast(model.limit(1))).select("vec_id", along.alias("region"))

@@ -1,8 +1,9 @@
 """The result-list cache: entries of neighbour lists, exact and approximate hits, aliases, thresholds, the write log.
 
 Where the threshold and risk rules aren't published they are defined here: an entry starts with the gap between
-its farthest and nearest neighbour; an exact hit loosens, an approximate hit tightens; risk is the mean distance
-share of unseen writes.
+its farthest and nearest neighbour; an exact hit loosens, an approximate hit tightens. The risk of an entry that
+hasn't seen the newest writes is the share of its own distance spread, (max - min) / max, for each of them; the
+slow path has to run when the mean risk over all entries is more than is allowed.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.tables import written
 from . import search
 
 LOOSEN, TIGHTEN = 1.10, 0.25
@@ -24,8 +26,13 @@ def entries(answers: DataFrame, in_topk: int, slack: int) -> DataFrame:
 
 
 def exact_hits(queries: DataFrame) -> DataFrame:
-    """query_seq, first_seq, hit: whether an equal vector came before; the first one's entry answers."""
-    return queries.withColumn("first_seq", F.min("query_seq").over(Window.partitionBy(F.col("embedding")))).select("query_seq", "first_seq", (F.col("first_seq") < F.col("query_seq")).alias("hit"))
+    """query_seq, first_seq, hit: whether an equal vector came before; the first one's entry answers.
+
+    Vectors are compared by 128 bits of hashes; minima are taken before the shuffle, so a vector asked over and over is one row a task.
+    """
+    marked = queries.select("query_seq", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    first = marked.groupBy("h1", "h2").agg(F.min("query_seq").alias("first_seq"))
+    return marked.join(first, ["h1", "h2"]).select("query_seq", "first_seq", (F.col("first_seq") < F.col("query_seq")).alias("hit"))
 
 
 def approximate_hits(queries: DataFrame, representatives: DataFrame, threshold: float) -> DataFrame:
@@ -34,16 +41,18 @@ def approximate_hits(queries: DataFrame, representatives: DataFrame, threshold:
     return near.select("query_id", "neighbor_id", "dist", (F.col("dist") < threshold).alias("hit"))
 
 
-def alias_roots(links: DataFrame, most: int = 20) -> DataFrame:
-    """query_id, root of parent links (query_id, parent_id; null at a root), by doubling the links."""
-    at = links.select("query_id", F.coalesce("parent_id", "query_id").alias("root"))
-    for _ in range(most):
+def alias_roots(links: DataFrame) -> DataFrame:
+    """query_id, root of parent links (query_id, parent_id; null at a root), by doubling the links until none moves; links must have no circle.
+
+    Each round is written to the shared folder, so a plan is one round long; there are as many as doublings of the longest chain.
+    """
+    at = written(links.select("query_id", F.coalesce("parent_id", "query_id").alias("root")), "alias-links")
+    while True:
         up = at.select(F.col("query_id").alias("root"), F.col("root").alias("r"))
-        nxt = at.join(up, "root", "left").select("query_id", F.coalesce("r", "root").alias("root"))
-        if nxt.join(at.toDF("query_id", "old"), "query_id").where("root <> old").isEmpty():
-            break
-        at = nxt
-    return at
+        moved = written(at.join(up, "root", "left").select("query_id", F.coalesce("r", "root").alias("root"), (F.coalesce("r", "root") != F.col("root")).alias("moved")), "alias-links")
+        at = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return at
 
 
 def validate(entry_rows: DataFrame, dead: Column, k: int) -> DataFrame:
@@ -86,3 +95,23 @@ def trim_log(log: DataFrame, entry_rows: DataFrame) -> DataFrame:
     """One row: unseen (sum over entries of epochs after their checkpoint), trim_to (the least checkpoint)."""
     tail = log.agg(F.max("epoch").alias("tail"))  # one row
     return entry_rows.join(F.broadcast(tail)).agg(F.sum(F.col("tail") - F.col("checkpoint")).alias("unseen"), F.min("checkpoint").alias("trim_to"))
+
+
+def risk(entry_rows: DataFrame, tail: int, allowed: float) -> DataFrame:
+    """One row: entries, unseen (epochs after their checkpoints, summed), avg_risk, must_refresh. entry_rows: (checkpoint, min_d, max_d)."""
+    unseen = F.greatest(F.lit(0), F.lit(tail) - F.col("checkpoint"))
+    factor = F.when(F.col("max_d") > 0, (F.col("max_d") - F.col("min_d")) / F.col("max_d")).otherwise(0.0)
+    out = entry_rows.agg(F.count("*").alias("entries"), F.coalesce(F.sum(unseen), F.lit(0)).alias("unseen"), F.coalesce(F.avg(factor * unseen), F.lit(0.0)).alias("avg_risk"))
+    return out.withColumn("must_refresh", F.col("avg_risk") > allowed)
+
+
+def round_robin(entry_rows: DataFrame, cursor: int, n: int) -> DataFrame:
+    """The next ``n`` entries after ``cursor`` by query_id, from the smallest on again after the last: what one slow-path sweep refreshes."""
+    ids = entry_rows.select("query_id", (F.col("query_id") <= cursor).alias("wrapped"))
+    return ids.orderBy("wrapped", "query_id").limit(n).select("query_id", "wrapped")
+
+
+def invalidate_random(entry_rows: DataFrame, percent: float, seed: int = 0) -> DataFrame:
+    """``entry_rows`` (query_id, ..) with ``invalid`` for about ``percent`` of them, the same ones at each run: a stress test of refills."""
+    draw = F.pmod((F.col("query_id") + 1) * 48271 + seed * 69621, F.lit(2147483647).cast("long"))
+    return entry_rows.withColumn("invalid", draw < F.lit(int(percent / 100 * 2147483647)))

@@ -46,23 +46,32 @@ def _block_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
     return qid[rows[top]], vid[cols[top]], d[top]
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", self_too: bool = True, block: int = BLOCK) -> DataFrame:
-    """query_id, rnk, neighbor_id, dist of the k nearest of ``base`` (vec_id, embedding) to ``queries`` (query_id, embedding)."""
+def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", self_too: bool = True, block: int = BLOCK, shard: Column | None = None) -> DataFrame:
+    """query_id, rnk, neighbor_id, dist of the k nearest of ``base`` (vec_id, embedding) to ``queries`` (query_id, embedding).
+
+    With ``shard``, an expression over ``base``, the k nearest of each shard, and shard_id, in the same one pass.
+    """
     V.distance(metric, F.lit(None), F.lit(None)) if metric not in V.METRICS else None
     nb, nq = (max(1, -(-n // block)) for n in (base.count(), queries.count()))
     spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    b = base.select("vec_id", V.doubles(F.col("embedding")).alias("x")).withColumns({"vb": spot("vec_id", nb), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
+    own = (shard if shard is not None else F.lit(0)).cast("long").alias("shard_id")
+    b = base.select("vec_id", V.doubles(F.col("embedding")).alias("x"), own).withColumns({"vb": spot("vec_id", nb), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
     q = queries.select("query_id", V.doubles(F.col("embedding")).alias("x")).withColumns({"qb": spot("query_id", nq), "vb": F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))})
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
         if left.num_rows and right.num_rows:
             (qid, qx), (vid, vx) = ((t.column(0).to_numpy(), t["x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) for t in (left, right))
-            found = _block_topk(qid, qx, vid, vx, k, metric, self_too)
-        return pa.table(list(map(pa.array, found)), names=["query_id", "neighbor_id", "dist"])
+            held = right["shard_id"].to_numpy()
+            for s in np.unique(held):
+                best = _block_topk(qid, qx, vid[held == s], vx[held == s], k, metric, self_too)
+                found.append((*best, np.full(len(best[0]), s)))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "neighbor_id", "dist", "shard_id"])
 
-    pairs = q.groupBy("qb", "vb").cogroup(b.groupBy("qb", "vb")).applyInArrow(meet, "query_id long, neighbor_id long, dist double")
-    return rank(pairs, k).select("query_id", "rnk", "neighbor_id", "dist")
+    pairs = q.groupBy("qb", "vb").cogroup(b.groupBy("qb", "vb")).applyInArrow(meet, "query_id long, neighbor_id long, dist double, shard_id long")
+    if shard is None:
+        return rank(pairs, k).select("query_id", "rnk", "neighbor_id", "dist")
+    return rank(pairs, k, ("query_id", "shard_id")).select("query_id", "shard_id", "rnk", "neighbor_id", "dist")
 
 
 def live(base: DataFrame, extras: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -76,13 +85,17 @@ def knn_variable(base: DataFrame, queries: DataFrame, pool: list[int], metric: s
     return knn(base, queries, max(pool), metric).withColumn("k", own.cast("long")).where("rnk <= k")
 
 
-def shard_topk(base: DataFrame, queries: DataFrame, shard: Column, shards: int, k: int, metric: str = "l2") -> DataFrame:
+def shard_topk(base: DataFrame, queries: DataFrame, shard: Column, k: int, metric: str = "l2") -> DataFrame:
     """The k nearest of each shard for each query: query_id, shard_id, rnk, neighbor_id, dist."""
-    parts = [knn(base.where(shard == i), queries, k, metric).withColumn("shard_id", F.lit(i).cast("long")) for i in range(shards)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("query_id", "shard_id", "rnk", "neighbor_id", "dist")
+    return knn(base, queries, k, metric, shard=shard)
+
+
+def first_hit(shard_results: DataFrame, order: DataFrame, k: int, threshold: Column) -> DataFrame:
+    """Shards asked one after the other: each query's answer is that of the first shard, by ``order`` (shard_id, place), that holds k
+    results whose farthest is within ``threshold`` (an expression over dist); queries that no shard answers fall back to the backend and have no row."""
+    per = shard_results.groupBy("query_id", "shard_id").agg(F.count("*").alias("n"), F.max("dist").alias("dist")).where((F.col("n") >= k) & threshold)
+    best = per.join(order, "shard_id").groupBy("query_id").agg(F.min(F.struct("place", "shard_id")).alias("s")).select("query_id", F.col("s.shard_id").alias("shard_id"))
+    return shard_results.join(best, ["query_id", "shard_id"])
 
 
 def merge_topk(hits: DataFrame, k: int) -> DataFrame:

@@ -28,6 +28,11 @@ def zipf_rank(u: Column, n: int, theta: float) -> Column:
     return F.when(u * c["zeta_n"] < 1, 0).when(u * c["zeta_n"] < c["half"], 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(n - 1), far))).cast("long")
 
 
+def uniform_topic(u: Column, n: int) -> Column:
+    """Topic in [0, n) of a uniform number, all alike likely: a frozen uniform plan is this over the places of a stream."""
+    return F.least(F.lit(n - 1), F.floor(u * n)).cast("long")
+
+
 def scramble(rank: Column, n: int) -> Column:
     """Topic of a rank: FNV-1a modulo n, so that popular topics lie anywhere."""
     return F.call_function("mod", V.fnv1a(rank), F.lit(n).cast("decimal(20,0)")).cast("long")

@@ -1,7 +1,8 @@
 """The registered queries: name -> plan builder over the tables of a folder, and name -> the same query in plain SQL.
 
-Vectors are ``embeddings``, the query set its ids below 20, the ordered stream ``events`` (seq: event_id, topic:
-user_id, latency: value, hit: odd k in props). Numbers are rounded to six places on both sides.
+Vectors are ``embeddings``, the query set its ids divisible by 50, the ordered stream ``events`` (seq: event_id, topic:
+user_id, latency: value, hit: odd k in props). Numbers are rounded to six places on both sides; in lists 0 is
+added, so that what rounds to zero has no sign.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 CONFIG = cache.CacheConfig()
-N_QUERIES, K = 20, 10
+EVERY, K = 50, 10
 
 
 def query(sql: str | None = None):
@@ -37,7 +38,7 @@ def query(sql: str | None = None):
 # --- shared inputs ----------------------------------------------------------------------------
 
 E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, embedding, label FROM embeddings)"
-D = f"{E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN e b ON q.vec_id < 20)"
+D = f"{E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN e b ON q.vec_id % 50 = 0)"
 TOP = "row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id)"
 T = f"{D}, t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10)"
 KNN = "SELECT query_id, rnk, neighbor_id, round(dist, 6) AS dist FROM t"
@@ -49,13 +50,13 @@ def base(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
 
-def asked(e: DataFrame, n: int = N_QUERIES) -> DataFrame:
-    return e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+def asked(e: DataFrame) -> DataFrame:
+    return e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def pairs(e: DataFrame, n: int = N_QUERIES) -> DataFrame:
-    """Each of the ``n`` first vectors beside every vector, for the scalar distances: n copies of the table, by a broadcast of n rows."""
-    left = F.broadcast(asked(e, n).withColumnRenamed("embedding", "a"))
+def pairs(e: DataFrame) -> DataFrame:
+    """Each query beside every vector, for the scalar distances, whose result is all pairs by definition; the queries are broadcast if that is small."""
+    left = quantize.small(asked(e).withColumnRenamed("embedding", "a"))
     return e.select(F.col("vec_id").alias("neighbor_id"), F.col("embedding").alias("b")).join(left, F.lit(True))
 
 
@@ -80,17 +81,17 @@ def log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def six(v: Column) -> Column:
-    return F.transform(v, lambda x: F.round(x.cast("double"), 6))
+    return F.transform(v, lambda x: F.round(x.cast("double"), 6) + F.lit(0.0))
 
 
 def text6(v: str) -> str:
-    return f"list_transform({v}, lambda x: round(CAST(x AS DOUBLE), 6))"
+    return f"list_transform({v}, lambda x: round(CAST(x AS DOUBLE), 6) + 0)"
 
 
 # --- scans and formats ------------------------------------------------------------------------
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS embedding, CAST(label AS BIGINT) AS label FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6) + 0) AS embedding, CAST(label AS BIGINT) AS label FROM embeddings")
 def q_scan_vectors(spark, d):
     return base(spark, d).select("vec_id", six(F.col("embedding")).alias("embedding"), F.col("label").cast("long").alias("label"))
 
@@ -106,6 +107,12 @@ def q_sample_hash(spark, d):
     return base(spark, d).select("vec_id", h.alias("h")).where("h < 214748364")
 
 
+@query("SELECT vec_id FROM embeddings ORDER BY (vec_id + 1) * 48271 % 2147483647, vec_id LIMIT (SELECT count(*) // 10 FROM embeddings)")
+def q_sample_without_replacement(spark, d):
+    e = base(spark, d)
+    return e.orderBy(F.pmod((F.col("vec_id") + 1) * 48271, F.lit(2147483647).cast("long")), "vec_id").limit(e.count() // 10).select("vec_id")
+
+
 @query("SELECT vec_id, vec_id // 9 + 1 AS sector, vec_id % 9 AS slot FROM embeddings")
 def q_sector_layout(spark, d):
     return base(spark, d).select("vec_id", F.expr("vec_id div 9 + 1").alias("sector"), F.expr("vec_id % 9").alias("slot"))
@@ -125,22 +132,22 @@ def q_dist_l2(spark, d):
     return pairs(base(spark, d)).select("query_id", "neighbor_id", r6(V.distance("l2", F.col("a"), F.col("b"))).alias("dist"))
 
 
-@query(f"WITH {E}, i AS (SELECT vec_id, list_transform(v, lambda x: CAST(greatest(-128, least(127, round(x * 127))) AS INTEGER)) AS v FROM e) SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(round(power(list_distance(CAST(q.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 2)) AS BIGINT) AS dist FROM i q JOIN i b ON q.vec_id < 20")
+@query(f"WITH {E}, i AS (SELECT vec_id, list_transform(v, lambda x: CAST(greatest(-128, least(127, round(x * 127))) AS INTEGER)) AS v FROM e) SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(round(power(list_distance(CAST(q.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 2)) AS BIGINT) AS dist FROM i q JOIN i b ON q.vec_id % 50 = 0")
 def q_dist_l2_int8(spark, d):
     return pairs(base(spark, d)).select("query_id", "neighbor_id", V.l2(V.to_int8(F.col("a")), V.to_int8(F.col("b"))).cast("long").alias("dist"))
 
 
-@query(f"WITH {E} SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_distance(q.v, b.v), 6) AS dist FROM e q JOIN e b ON q.vec_id < 20 AND q.vec_id <> b.vec_id")
+@query(f"WITH {E} SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_distance(q.v, b.v), 6) AS dist FROM e q JOIN e b ON q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id")
 def q_dist_l2_expanded(spark, d):
     return pairs(base(spark, d)).where("query_id <> neighbor_id").select("query_id", "neighbor_id", r6(V.l2_expanded(F.col("a"), F.col("b"))).alias("dist"))
 
 
-@query(f"WITH {E} SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, round(-list_inner_product(q.v, b.v), 6) AS dist FROM e q JOIN e b ON q.vec_id < 20")
+@query(f"WITH {E} SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, round(-list_inner_product(q.v, b.v), 6) AS dist FROM e q JOIN e b ON q.vec_id % 50 = 0")
 def q_dist_ip(spark, d):
     return pairs(base(spark, d)).select("query_id", "neighbor_id", r6(V.distance("ip", F.col("a"), F.col("b"))).alias("dist"))
 
 
-@query(f"WITH {E} SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, round(1 - list_cosine_similarity(q.v, b.v), 6) + 0 AS dist FROM e q JOIN e b ON q.vec_id < 20 AND q.vec_id <> b.vec_id")
+@query(f"WITH {E} SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, round(1 - list_cosine_similarity(q.v, b.v), 6) + 0 AS dist FROM e q JOIN e b ON q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id")
 def q_dist_cosine(spark, d):
     return pairs(base(spark, d)).where("query_id <> neighbor_id").select("query_id", "neighbor_id", r6(V.distance("cosine", F.col("a"), F.col("b"))).alias("dist"))
 
@@ -155,7 +162,7 @@ def q_vec_norms(spark, d):
     return base(spark, d).select("vec_id", r6(V.dot(F.col("embedding"), F.col("embedding"))).alias("norm2"))
 
 
-@query(f"WITH {E} SELECT a.vec_id, list_transform(list_zip(a.v, b.v), lambda z: round(0.75 * z[1] + 0.25 * z[2], 6)) AS v FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
+@query(f"WITH {E} SELECT a.vec_id, list_transform(list_zip(a.v, b.v), lambda z: round(0.75 * z[1] + 0.25 * z[2], 6) + 0) AS v FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
 def q_vec_lerp(spark, d):
     e = base(spark, d).select("vec_id", "embedding")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
@@ -175,10 +182,11 @@ def q_region_key(spark, d):
     return base(spark, d).select("vec_id", cache.region_of(F.col("embedding"), CONFIG).alias("region"))
 
 
-@query("WITH q AS (SELECT event_id AS query_seq, user_id % 50 AS vec_id FROM events) SELECT query_seq, min(query_seq) OVER (PARTITION BY vec_id) AS first_seq, query_seq > min(query_seq) OVER (PARTITION BY vec_id) AS hit FROM q")
+@query("WITH q AS (SELECT event_id AS query_seq, user_id % (SELECT count(*) FROM embeddings) AS vec_id FROM events) SELECT query_seq, min(query_seq) OVER (PARTITION BY vec_id) AS first_seq, query_seq > min(query_seq) OVER (PARTITION BY vec_id) AS hit FROM q")
 def q_exact_hit_lookup(spark, d):
-    stream = table(spark, d, "events").select(F.col("event_id").alias("query_seq"), F.expr("user_id % 50").alias("vec_id"))
-    return results.exact_hits(stream.join(base(spark, d).select("vec_id", "embedding"), "vec_id").select("query_seq", "embedding"))
+    e = base(spark, d)
+    stream = table(spark, d, "events").select(F.col("event_id").alias("query_seq"), (F.col("user_id") % e.count()).alias("vec_id"))
+    return results.exact_hits(stream.join(e.select("vec_id", "embedding"), "vec_id").select("query_seq", "embedding"))
 
 
 FNV = "list_reduce([CAST(14695981039346656037 AS HUGEINT)] || list_transform(range(8), lambda i: CAST((CAST({x} AS BIGINT) >> (8 * i)) & 255 AS HUGEINT)), lambda h, o: (((h - h % 256 + xor(h % 256, o)) // 4294967296 * 1099511628211 % 4294967296) * 4294967296 + (h - h % 256 + xor(h % 256, o)) % 4294967296 * 1099511628211) % 18446744073709551616)"
@@ -217,12 +225,12 @@ def q_knn_l2(spark, d):
     return dist6(truth(spark, d))
 
 
-@query(f"WITH {E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, -list_inner_product(q.v, b.v) AS dist FROM e q JOIN e b ON q.vec_id < 20), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
+@query(f"WITH {E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, -list_inner_product(q.v, b.v) AS dist FROM e q JOIN e b ON q.vec_id % 50 = 0), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
 def q_knn_ip(spark, d):
     return dist6(truth(spark, d, metric="ip"))
 
 
-@query(f"WITH {E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, 1 - list_cosine_similarity(q.v, b.v) AS dist FROM e q JOIN e b ON q.vec_id < 20 AND q.vec_id <> b.vec_id), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
+@query(f"WITH {E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, 1 - list_cosine_similarity(q.v, b.v) AS dist FROM e q JOIN e b ON q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
 def q_knn_cosine(spark, d):
     return dist6(truth(spark, d, metric="cosine", self_too=False))
 
@@ -252,7 +260,7 @@ def live_set(e: DataFrame) -> DataFrame:
     return search.live(e.select("vec_id", V.doubles(F.col("embedding")).alias("embedding")), extra(e), e.where("vec_id % 20 = 0").select("vec_id"))
 
 
-@query(f"WITH {E}, {EXTRA}, live AS (SELECT vec_id, v FROM e WHERE vec_id % 20 <> 0 UNION ALL SELECT vec_id, v FROM x), d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN live b ON q.vec_id < 20), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
+@query(f"WITH {E}, {EXTRA}, live AS (SELECT vec_id, v FROM e WHERE vec_id % 20 <> 0 UNION ALL SELECT vec_id, v FROM x), d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN live b ON q.vec_id % 50 = 0), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
 def q_live_knn(spark, d):
     e = base(spark, d)
     return dist6(search.knn(live_set(e), asked(e), K))
@@ -306,7 +314,7 @@ SHARDS = f"{D}, h AS (SELECT query_id, neighbor_id % 4 AS shard_id, neighbor_id,
 
 def shard_hits(spark: SparkSession, d: str) -> DataFrame:
     e = base(spark, d)
-    return search.shard_topk(e, asked(e), F.col("vec_id") % 4, 4, K)
+    return search.shard_topk(e, asked(e), F.col("vec_id") % 4, K)
 
 
 @query(f"WITH {SHARDS} SELECT query_id, shard_id, rnk, neighbor_id, round(dist, 6) AS dist FROM h")
@@ -328,7 +336,7 @@ def q_shard_contributions(spark, d):
     return search.contributions(search.merge_topk(shard_hits(spark, d), K))
 
 
-@query(f"WITH {E}, {EXTRA}, a AS (SELECT vec_id, v FROM e WHERE vec_id % 20 <> 0 UNION ALL SELECT vec_id, v FROM x), d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN a b ON q.vec_id < 20), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
+@query(f"WITH {E}, {EXTRA}, a AS (SELECT vec_id, v FROM e WHERE vec_id % 20 <> 0 UNION ALL SELECT vec_id, v FROM x), d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN a b ON q.vec_id % 50 = 0), t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 10) {KNN}")
 def q_lsm_search(spark, d):
     e = base(spark, d)
     disk = search.knn(e.join(e.where("vec_id % 20 = 0").select("vec_id"), "vec_id", "left_anti"), asked(e), K).withColumn("shard_id", F.lit(0))
@@ -336,6 +344,13 @@ def q_lsm_search(spark, d):
     return dist6(search.merge_topk(disk.unionByName(memory), K)).select("query_id", "rnk", "neighbor_id", "dist")
 
 
+@query(f"WITH {SHARDS}, f AS (SELECT query_id, shard_id, count(*) AS n, max(dist) AS far FROM h GROUP BY query_id, shard_id HAVING count(*) >= 10 AND round(max(dist), 6) <= 1.5), w AS (SELECT query_id, arg_min(shard_id, shard_id * 3 % 4) AS shard_id FROM f GROUP BY query_id) SELECT query_id, shard_id, rnk, neighbor_id, round(dist, 6) AS dist FROM h JOIN w USING (query_id, shard_id)")
+def q_shard_fallback(spark, d):
+    order = spark.createDataFrame([(i, i * 3 % 4) for i in range(4)], "shard_id long, place long")
+    found = search.first_hit(shard_hits(spark, d), order, K, F.round("dist", 6) <= 1.5)
+    return dist6(found).select("query_id", "shard_id", "rnk", "neighbor_id", "dist")
+
+
 # --- clustering and quantisation --------------------------------------------------------------
 
 ASSIGNED = f"{E}, {CENTERS}, a AS (SELECT vec_id, center_id, dist FROM n WHERE rnk = 1)"
@@ -359,7 +374,7 @@ def q_kmeans_fit(spark, d):
     return quantize.kmeans(base(spark, d), 8, 5)
 
 
-@query(f"WITH {ASSIGNED} SELECT a.vec_id, a.center_id, list_transform(list_zip(e.v, c.v), lambda z: round(z[1] - z[2], 6)) AS residual FROM a JOIN e USING (vec_id) JOIN c USING (center_id)")
+@query(f"WITH {ASSIGNED} SELECT a.vec_id, a.center_id, list_transform(list_zip(e.v, c.v), lambda z: round(z[1] - z[2], 6) + 0) AS residual FROM a JOIN e USING (vec_id) JOIN c USING (center_id)")
 def q_pq_residuals(spark, d):
     e = base(spark, d)
     near = search.closest_centers(e, centers(e), 1).select("vec_id", "center_id")
@@ -367,6 +382,13 @@ def q_pq_residuals(spark, d):
     return sides.select("vec_id", "center_id", six(F.zip_with(V.doubles(F.col("embedding")), V.doubles(F.col("c")), lambda x, y: x - y)).alias("residual"))
 
 
+@query(f"WITH {E}, {CENTERS} SELECT center_id, CAST(round(count(*) / 0.1) AS BIGINT) AS size FROM n WHERE rnk = 1 AND (vec_id + 1) * 48271 % 2147483647 < 214748364 GROUP BY center_id")
+def q_cluster_size_estimate(spark, d):
+    e = base(spark, d)
+    sample = e.where(F.pmod((F.col("vec_id") + 1) * 48271, F.lit(2147483647).cast("long")) < 214748364)
+    return quantize.estimate_sizes(sample, 0.1, centers(e))
+
+
 RANGES = quantize.chunks(64, 8)
 PARTS = f"{E}, s AS (SELECT vec_id, CAST(range AS BIGINT) AS chunk, v[range * 8 + 1 : range * 8 + 8] AS part FROM e, range(8)), b AS (SELECT chunk, vec_id AS code, part FROM s WHERE vec_id < 16), g AS (SELECT s.vec_id, s.chunk, b.code, power(list_distance(s.part, b.part), 2) AS d FROM s JOIN b USING (chunk) QUALIFY row_number() OVER (PARTITION BY s.vec_id, s.chunk ORDER BY power(list_distance(s.part, b.part), 2), b.code) = 1)"
 
@@ -396,7 +418,7 @@ def q_pq_error(spark, d):
     return codes.groupBy("vec_id").agg(F.sum("d").alias("err")).agg(r6(F.avg("err")).alias("mean_error"))
 
 
-ADC = f"{PARTS}, lut AS (SELECT s.vec_id AS query_id, s.chunk, b.code, power(list_distance(s.part, b.part), 2) AS d FROM s JOIN b USING (chunk) WHERE s.vec_id < 20), d AS (SELECT query_id, g.vec_id AS neighbor_id, sum(lut.d) AS dist FROM g JOIN lut USING (chunk, code) GROUP BY query_id, g.vec_id)"
+ADC = f"{PARTS}, lut AS (SELECT s.vec_id AS query_id, s.chunk, b.code, power(list_distance(s.part, b.part), 2) AS d FROM s JOIN b USING (chunk) WHERE s.vec_id % 50 = 0), d AS (SELECT query_id, g.vec_id AS neighbor_id, sum(lut.d) AS dist FROM g JOIN lut USING (chunk, code) GROUP BY query_id, g.vec_id)"
 
 
 @query(f"WITH {ADC} SELECT query_id, neighbor_id, round(dist, 6) AS dist FROM d")
@@ -520,9 +542,9 @@ def q_bfs_levels(spark, d):
     return graph.levels(knn8(spark, d), start, 3)
 
 
-@query(f"WITH {G} SELECT dst AS vec_id, count(*) AS visits FROM g WHERE src < 200 GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 25")
+@query(f"WITH {G} SELECT dst AS vec_id, count(*) AS visits FROM g GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 25")
 def q_hot_nodes(spark, d):
-    visits = knn8(spark, d).where("src < 200").groupBy(F.col("dst").alias("vec_id")).agg(F.count("*").alias("visits"))
+    visits = knn8(spark, d).groupBy(F.col("dst").alias("vec_id")).agg(F.count("*").alias("visits"))
     return visits.orderBy(F.desc("visits"), "vec_id").limit(25)
 
 
@@ -534,13 +556,13 @@ def stones(e: DataFrame) -> DataFrame:
     return e.where("vec_id % 5 = 0").select("vec_id", (F.col("vec_id") % 7).alias("seq"))
 
 
-LSM = "r AS (SELECT vec_id, 0 AS seq, embedding[1] AS x FROM embeddings UNION ALL SELECT vec_id, vec_id % 9 + 1, embedding[1] * 2 FROM embeddings WHERE vec_id % 4 = 1), w AS (SELECT vec_id, max(seq) AS seq, arg_max(x, seq) AS x FROM r GROUP BY vec_id)"
+LSM = "r AS (SELECT vec_id, 0 AS seq, embedding AS x FROM embeddings UNION ALL SELECT vec_id, vec_id % 9 + 1, list_transform(embedding, lambda y: y * 2) FROM embeddings WHERE vec_id % 4 = 1), w AS (SELECT vec_id, max(seq) AS seq, arg_max(x, seq) AS x FROM r GROUP BY vec_id)"
 
 
-@query(f"WITH {LSM} SELECT vec_id, CAST(seq AS BIGINT) AS seq, round(CAST(x AS DOUBLE), 6) AS x FROM w WHERE NOT (vec_id % 5 = 0 AND vec_id % 7 >= seq)")
+@query(f"WITH {LSM} SELECT vec_id, CAST(seq AS BIGINT) AS seq, {text6('list_transform(x, lambda y: y)')} AS x FROM w WHERE NOT (vec_id % 5 = 0 AND vec_id % 7 >= seq)")
 def q_lsm_compact(spark, d):
     e = base(spark, d)
-    return graph.compact(e.select("vec_id", "embedding"), delta(e), stones(e)).select("vec_id", "seq", r6(F.col("embedding")[0].cast("double")).alias("x"))
+    return graph.compact(e.select("vec_id", "embedding"), delta(e), stones(e)).select("vec_id", "seq", six(F.col("embedding")).alias("x"))
 
 
 @query("SELECT seq_id AS vec_id, coalesce(slot, 1000 + i - (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0)) AS slot FROM (SELECT vec_id AS seq_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id % 7 = 0) LEFT JOIN (SELECT vec_id AS slot, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id % 10 = 0) USING (i)")
@@ -591,9 +613,9 @@ def q_theta_ema(spark, d):
     return cache.theta_table(theta_rows(base(spark, d)), 0.9).withColumn("theta", r6("theta"))
 
 
-@query(f"WITH {DK}, q AS (SELECT vec_id, {REGION} AS region, list_inner_product(v[5:20], v[5:20]) + 1 AS d FROM e WHERE vec_id >= 20), f AS (SELECT region, list_reduce(list(d ORDER BY vec_id), lambda t, x: 0.9 * x + 0.1 * t) AS theta FROM q GROUP BY region) SELECT query_id, coalesce(n AND d_k <= 1.05 * theta, false) AS hit FROM r LEFT JOIN f USING (region)")
+@query(f"WITH {DK}, q AS (SELECT vec_id, {REGION} AS region, list_inner_product(v[5:20], v[5:20]) + 1 AS d FROM e WHERE vec_id % 50 <> 0), f AS (SELECT region, list_reduce(list(d ORDER BY vec_id), lambda t, x: 0.9 * x + 0.1 * t) AS theta FROM q GROUP BY region) SELECT query_id, coalesce(n AND d_k <= 1.05 * theta, false) AS hit FROM r LEFT JOIN f USING (region)")
 def q_hit_test_static(spark, d):
-    thetas = cache.theta_table(theta_rows(base(spark, d).where("vec_id >= 20")), 0.9)
+    thetas = cache.theta_table(theta_rows(base(spark, d).where("vec_id % 50 <> 0")), 0.9)
     return cache.hit_test(kth(spark, d), thetas, 0.05).select("query_id", "hit")
 
 
@@ -675,10 +697,10 @@ def q_cache_occupancy(spark, d):
 # --- the result-list cache --------------------------------------------------------------------
 
 
-@query(f"WITH {E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN e b ON q.vec_id < 20 AND b.vec_id >= 250) SELECT query_id, neighbor_id, round(dist, 6) AS dist, dist < 1.2 AS hit FROM d QUALIFY {TOP} = 1")
+@query(f"WITH {E}, d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, power(list_distance(q.v, b.v), 2) AS dist FROM e q JOIN e b ON q.vec_id % 50 = 0 AND b.vec_id % 2 = 1) SELECT query_id, neighbor_id, round(dist, 6) AS dist, dist < 1.2 AS hit FROM d QUALIFY {TOP} = 1")
 def q_approx_hit_lookup(spark, d):
     e = base(spark, d)
-    return dist6(results.approximate_hits(asked(e), e.where("vec_id >= 250"), 1.2))
+    return dist6(results.approximate_hits(asked(e), e.where("vec_id % 2 = 1"), 1.2))
 
 
 ENTRY = f"{D}, t AS (SELECT *, {TOP} AS rnk FROM d QUALIFY {TOP} <= 12)"
@@ -724,14 +746,14 @@ def q_stale_entries(spark, d):
     return truth(spark, d).join(dead, "neighbor_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("stale_ids"))
 
 
-LOG = f"{D}, w AS (SELECT vec_id, vec_id AS epoch FROM e WHERE vec_id >= 100), o AS (SELECT *, {TOP} AS rnk FROM d WHERE neighbor_id < 100 QUALIFY {TOP} <= 10), n AS (SELECT query_id, 100 + query_id * 5 AS checkpoint, max(dist) AS max_d FROM o GROUP BY query_id), f AS (SELECT n.query_id, w.vec_id, w.epoch, d.dist FROM n JOIN w ON w.epoch > checkpoint AND w.epoch <= checkpoint + 150 JOIN d ON d.query_id = n.query_id AND d.neighbor_id = w.vec_id WHERE d.dist < max_d)"
+LOG = f"{D}, w AS (SELECT vec_id, vec_id AS epoch FROM e WHERE vec_id % 5 <> 0), o AS (SELECT *, {TOP} AS rnk FROM d WHERE neighbor_id % 5 = 0 QUALIFY {TOP} <= 10), n AS (SELECT query_id, query_id // 2 AS checkpoint, max(dist) AS max_d FROM o GROUP BY query_id), f AS (SELECT n.query_id, w.vec_id, w.epoch, d.dist FROM n JOIN w ON w.epoch > checkpoint AND w.epoch <= checkpoint + 150 JOIN d ON d.query_id = n.query_id AND d.neighbor_id = w.vec_id WHERE d.dist < max_d)"
 
 
 def log_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = base(spark, d)
-    old = search.knn(e.where("vec_id < 100"), asked(e), K)
-    per = old.groupBy("query_id").agg(F.max("dist").alias("max_d")).join(asked(e), "query_id").withColumn("checkpoint", 100 + F.col("query_id") * 5)
-    return old, per, e.where("vec_id >= 100").select("vec_id", F.col("vec_id").alias("epoch"), "embedding")
+    old = search.knn(e.where("vec_id % 5 = 0"), asked(e), K)
+    per = old.groupBy("query_id").agg(F.max("dist").alias("max_d")).join(asked(e), "query_id").withColumn("checkpoint", F.expr("query_id div 2"))
+    return old, per, e.where("vec_id % 5 <> 0").select("vec_id", F.col("vec_id").alias("epoch"), "embedding")
 
 
 @query(f"WITH {LOG} SELECT query_id, vec_id, epoch, round(dist, 6) AS dist FROM f")
@@ -752,6 +774,25 @@ def q_writelog_trim(spark, d):
     return results.trim_log(log_rows, per)
 
 
+RISK = f"{ENTRY}, n AS (SELECT query_id, query_id // 2 AS checkpoint, min(dist) AS min_d, max(dist) AS max_d FROM t GROUP BY query_id)"
+
+
+@query(f"WITH {RISK}, r AS (SELECT greatest(0, 400 - checkpoint) AS unseen, CASE WHEN max_d > 0 THEN (max_d - min_d) / max_d ELSE 0 END AS factor FROM n) SELECT count(*) AS entries, CAST(sum(unseen) AS BIGINT) AS unseen, round(avg(factor * unseen), 6) AS avg_risk, avg(factor * unseen) > 100 AS must_refresh FROM r")
+def q_risk_model(spark, d):
+    rows = entry_rows(spark, d).withColumn("checkpoint", F.expr("query_id div 2"))
+    return results.risk(rows, 400, 100.0).withColumn("avg_risk", r6("avg_risk"))
+
+
+@query("SELECT vec_id AS query_id, vec_id <= 170 AS wrapped FROM embeddings WHERE vec_id % 50 = 0 ORDER BY vec_id <= 170, vec_id LIMIT 8")
+def q_round_robin_entries(spark, d):
+    return results.round_robin(asked(base(spark, d)), 170, 8)
+
+
+@query("SELECT vec_id AS query_id, ((vec_id + 1) * 48271 + 3 * 69621) % 2147483647 < CAST(0.25 * 2147483647 AS BIGINT) AS invalid FROM embeddings")
+def q_random_invalidation(spark, d):
+    return results.invalidate_random(base(spark, d).select(F.col("vec_id").alias("query_id")), 25, 3)
+
+
 # --- metrics ----------------------------------------------------------------------------------
 
 RESULTS = f"{T}, g AS (SELECT query_id, neighbor_id FROM (SELECT *, {TOP} AS r2 FROM d WHERE neighbor_id % 6 <> 0) WHERE r2 <= 10), m AS (SELECT query_id, count(g.neighbor_id) AS matched, count(g.neighbor_id) / 10 AS recall FROM t LEFT JOIN g USING (query_id, neighbor_id) GROUP BY query_id)"
@@ -789,6 +830,12 @@ def q_recall_tie_aware(spark, d):
     return metrics.recall_tie_aware(searched(spark, d), deep, K).withColumn("recall", r6("recall"))
 
 
+@query(f"WITH {T}, g AS (SELECT query_id, CASE WHEN neighbor_id % 7 = 0 THEN NULL ELSE neighbor_id + 1000 END AS neighbor_id FROM (SELECT *, {TOP} AS r2 FROM d WHERE neighbor_id % 6 <> 0) WHERE r2 <= 10), i AS (SELECT query_id, count(*) FILTER (WHERE neighbor_id IS NULL) AS invalid FROM g GROUP BY query_id), m AS (SELECT t.query_id, count(g.neighbor_id) AS matched FROM t LEFT JOIN g ON g.query_id = t.query_id AND g.neighbor_id - 1000 = t.neighbor_id GROUP BY t.query_id) SELECT query_id, matched, invalid, round(matched / 10, 6) AS recall FROM m JOIN i USING (query_id)")
+def q_recall_with_offset(spark, d):
+    shifted = searched(spark, d).withColumn("neighbor_id", F.when(F.col("neighbor_id") % 7 != 0, F.col("neighbor_id") + 1000))
+    return metrics.recall_offset(shifted, truth(spark, d), K, 1000).withColumn("recall", r6("recall"))
+
+
 INTERVALS = f"{S}, i AS (SELECT seq // 100 AS interval, count(*) AS queries, count(*) FILTER (WHERE hit) AS hits, avg(CASE WHEN hit THEN 1 ELSE 0 END) AS hit_ratio, avg(ms) AS avg_ms, avg(ms) FILTER (WHERE hit) AS avg_hit_ms, avg(penalty) FILTER (WHERE NOT hit) AS miss_penalty, sum(ms) AS sum_ms FROM l GROUP BY seq // 100)"
 
 
@@ -887,13 +934,17 @@ def q_text_acceptable(spark, d):
 
 
 UNIFORM = "CAST((({i}) + 1) * 48271 + {salt} * 69621 AS BIGINT) % 2147483647 / 2147483647.0::DOUBLE"
-Z = workload.zipf_constants(500, 0.99)
-RANKS = f"u AS (SELECT event_id AS seq, {UNIFORM.format(i='event_id', salt=0)} AS u FROM events), z AS (SELECT seq, u, CASE WHEN u * {Z['zeta_n']!r}::DOUBLE < 1 THEN 0 WHEN u * {Z['zeta_n']!r}::DOUBLE < {Z['half']!r}::DOUBLE THEN 1 ELSE greatest(0, least(499, CAST(floor(500 * power({Z['eta']!r}::DOUBLE * u - {Z['eta']!r}::DOUBLE + 1, {Z['alpha']!r}::DOUBLE)) AS BIGINT))) END AS rank FROM u)"
+Z = workload.zipf_constants(3, 0.99)
+ZETA_2 = 1.0 + 1.0 / 2**0.99
+ALL = "(SELECT count(*) FROM embeddings)"
+# a rank for each vector: zeta(n) and eta follow the table's size
+ZIPF = f"zc AS (SELECT n, zn, (1 - power(2.0::DOUBLE / n, {1 - 0.99!r}::DOUBLE)) / (1 - {ZETA_2!r}::DOUBLE / zn) AS eta FROM (SELECT n, list_sum(list_transform(range(1, n + 1), lambda i: 1.0::DOUBLE / power(i::DOUBLE, 0.99::DOUBLE))) AS zn FROM (SELECT count(*) AS n FROM embeddings)))"
+RANKS = f"{ZIPF}, u AS (SELECT event_id AS seq, {UNIFORM.format(i='event_id', salt=0)} AS u FROM events), z AS (SELECT seq, u, CASE WHEN u * zn < 1 THEN 0 WHEN u * zn < {Z['half']!r}::DOUBLE THEN 1 ELSE greatest(0, least(n - 1, CAST(floor(n * power(eta * u - eta + 1, {Z['alpha']!r}::DOUBLE)) AS BIGINT))) END AS rank FROM u, zc)"
 
 
 def ranks(spark: SparkSession, d: str) -> DataFrame:
     u = workload.uniform(F.col("event_id"))
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), workload.zipf_rank(u, 500, 0.99).alias("rank"))
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), workload.zipf_rank(u, base(spark, d).count(), 0.99).alias("rank"))
 
 
 @query(f"WITH {RANKS} SELECT seq, CAST(rank AS BIGINT) AS rank FROM z")
@@ -901,11 +952,17 @@ def q_zipf_ranks(spark, d):
     return ranks(spark, d)
 
 
-TOPICS = f"{RANKS}, f AS (SELECT r, CAST({FNV.format(x='r')} % 500 AS BIGINT) AS topic FROM (SELECT DISTINCT CAST(rank AS BIGINT) AS r FROM z)), s AS (SELECT seq, topic FROM z JOIN f ON r = rank)"
+@query(f"SELECT event_id AS seq, least({ALL} - 1, CAST(floor({UNIFORM.format(i='event_id', salt=5)} * {ALL}) AS BIGINT)) AS topic FROM events")
+def q_uniform_plan(spark, d):
+    u = workload.uniform(F.col("event_id"), 5)
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), workload.uniform_topic(u, base(spark, d).count()).alias("topic"))
+
+
+TOPICS = f"{RANKS}, f AS (SELECT r, CAST({FNV.format(x='r')} % {ALL} AS BIGINT) AS topic FROM (SELECT DISTINCT CAST(rank AS BIGINT) AS r FROM z)), s AS (SELECT seq, topic FROM z JOIN f ON r = rank)"
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    return ranks(spark, d).select("seq", workload.scramble(F.col("rank"), 500).alias("topic"))
+    return ranks(spark, d).select("seq", workload.scramble(F.col("rank"), base(spark, d).count()).alias("topic"))
 
 
 @query(f"WITH {TOPICS} SELECT seq, topic FROM s")
@@ -913,14 +970,15 @@ def q_zipf_scrambled(spark, d):
     return topics(spark, d)
 
 
-GROUPS = f"g AS (SELECT vec_id AS topic, range AS member, (vec_id + 1 + (((vec_id * 5 + range) * 7 + 3) % 499)) % 500 AS partner, {UNIFORM.format(i='vec_id * 5 + range', salt=1)} * 0.5 AS lam FROM embeddings, range(5) WHERE vec_id < 500)"
+GROUPS = f"g AS (SELECT vec_id AS topic, range AS member, (vec_id + 1 + (((vec_id * 5 + range) * 7 + 3) % ({ALL} - 1))) % {ALL} AS partner, {UNIFORM.format(i='vec_id * 5 + range', salt=1)} * 0.5 AS lam FROM embeddings, range(5))"
 
 
 def frozen(spark: SparkSession, d: str) -> DataFrame:
-    return workload.groups(base(spark, d).where("vec_id < 500"), 500, 5)
+    e = base(spark, d)
+    return workload.groups(e, e.count(), 5)
 
 
-@query(f"WITH {GROUPS}, {E} SELECT topic, member, partner, round(lam, 6) AS lam, list_transform(list_zip(a.v, b.v), lambda z: round((1 - lam) * z[1] + lam * z[2], 6)) AS v FROM g JOIN e a ON a.vec_id = topic JOIN e b ON b.vec_id = partner")
+@query(f"WITH {GROUPS}, {E} SELECT topic, member, partner, round(lam, 6) AS lam, list_transform(list_zip(a.v, b.v), lambda z: round((1 - lam) * z[1] + lam * z[2], 6) + 0) AS v FROM g JOIN e a ON a.vec_id = topic JOIN e b ON b.vec_id = partner")
 def q_simzipf_groups(spark, d):
     out = workload.interpolated(frozen(spark, d), base(spark, d), F.col("lam"))
     return out.select("topic", "member", "partner", r6("lam").alias("lam"), six(F.col("embedding")).alias("v"))
@@ -938,23 +996,23 @@ def q_simzipf_stream(spark, d):
     return stream(spark, d).select("seq", "topic", "member", "partner", r6("lam").alias("lam"))
 
 
-FRESH = f"{TOPICS}, {E}, n AS (SELECT seq, topic, (topic + 1 + (seq * 17 + 5) % 499) % 500 AS partner FROM s)"
+FRESH = f"{TOPICS}, {E}, n AS (SELECT seq, topic, (topic + 1 + (seq * 17 + 5) % ({ALL} - 1)) % {ALL} AS partner FROM s)"
 
 
 def fresh(spark: SparkSession, d: str) -> DataFrame:
-    return topics(spark, d).withColumn("partner", workload.partner(F.col("topic"), F.col("seq") * 17 + 5, 500))
+    return topics(spark, d).withColumn("partner", workload.partner(F.col("topic"), F.col("seq") * 17 + 5, base(spark, d).count()))
 
 
-@query(f"WITH {FRESH} SELECT seq, topic, partner, list_transform(list_zip(a.v[1:4], b.v[1:4]), lambda z: round(0.99 * z[1] + 0.01 * z[2], 6)) AS v FROM n JOIN e a ON a.vec_id = topic JOIN e b ON b.vec_id = partner")
+@query(f"WITH {FRESH} SELECT seq, topic, partner, list_transform(list_zip(a.v, b.v), lambda z: round(0.99 * z[1] + 0.01 * z[2], 6) + 0) AS v FROM n JOIN e a ON a.vec_id = topic JOIN e b ON b.vec_id = partner")
 def q_simzipf_plus(spark, d):
     out = workload.interpolated(fresh(spark, d), base(spark, d), F.lit(0.01))
-    return out.select("seq", "topic", "partner", six(F.slice("embedding", 1, 4)).alias("v"))
+    return out.select("seq", "topic", "partner", six(F.col("embedding")).alias("v"))
 
 
-@query(f"WITH {FRESH}, m AS (SELECT *, {UNIFORM.format(i='seq', salt=2)} * 0.5 AS lam FROM n) SELECT seq, topic, partner, round(lam, 6) AS lam, list_transform(list_zip(a.v[1:4], b.v[1:4]), lambda z: round((1 - lam) * z[1] + lam * z[2], 6)) AS v FROM m JOIN e a ON a.vec_id = topic JOIN e b ON b.vec_id = partner")
+@query(f"WITH {FRESH}, m AS (SELECT *, {UNIFORM.format(i='seq', salt=2)} * 0.5 AS lam FROM n) SELECT seq, topic, partner, round(lam, 6) AS lam, list_transform(list_zip(a.v, b.v), lambda z: round((1 - lam) * z[1] + lam * z[2], 6) + 0) AS v FROM m JOIN e a ON a.vec_id = topic JOIN e b ON b.vec_id = partner")
 def q_simzipf_plus2(spark, d):
     rows = fresh(spark, d).withColumn("lam", workload.uniform(F.col("seq"), 2) * 0.5)
-    return workload.interpolated(rows, base(spark, d), F.col("lam")).select("seq", "topic", "partner", r6("lam").alias("lam"), six(F.slice("embedding", 1, 4)).alias("v"))
+    return workload.interpolated(rows, base(spark, d), F.col("lam")).select("seq", "topic", "partner", r6("lam").alias("lam"), six(F.col("embedding")).alias("v"))
 
 
 @query(f"WITH {STREAM} SELECT count(*) AS n, count(DISTINCT topic) AS topics, count(DISTINCT (topic, member)) AS members, round(min(lam), 6) AS lam_min, round(avg(lam), 6) AS lam_mean, round(max(lam), 6) AS lam_max FROM v")

@@ -49,6 +49,34 @@ def interval_counts(events: DataFrame, size: str, slide: str | None = None, late
     return events.withWatermark("ts", lateness).groupBy(window, "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
+def sessions(events: DataFrame, gap: str, lateness: str = "10 minutes") -> DataFrame:
+    """Sessions of each user in ``events`` (ts, user_id, value): start, end, n, total; a session ends when nothing comes for ``gap``."""
+    from pyspark.sql import functions as F
+
+    window = F.session_window("ts", gap)
+    found = events.withWatermark("ts", lateness).groupBy(window.alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+
+
+def apply_mutations(inserts: str, deletes: str):
+    """A foreachBatch function for (op, vec_id, seq, embedding): inserts go to one table, deletes to the tombstones, each with its batch number.
+
+    ``graph.compact`` folds both into the live rows by seq, so a batch that is written again after a failure changes nothing.
+    """
+    from pyspark.sql import functions as F
+
+    def write(batch: DataFrame, number: int) -> None:
+        for op, path, columns in (("insert", inserts, ["vec_id", "seq", "embedding"]), ("delete", deletes, ["vec_id", "seq"])):
+            batch.where(F.col("op") == op).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def visible(writes: DataFrame, at: int, delay: int) -> DataFrame:
+    """Of ``writes`` (seq, ..) those that a query at ``at`` sees when they are applied ``delay`` steps after they came."""
+    return writes.where(f"seq + {int(delay)} <= {int(at)}")
+
+
 def apply_deletes(path: str):
     """A foreachBatch function that appends deleted ids (vec_id, seq) to the tombstone table at ``path``."""
 
