@@ -344,10 +344,10 @@ def q_lsm_search(spark, d):
     return dist6(search.merge_topk(disk.unionByName(memory), K)).select("query_id", "rnk", "neighbor_id", "dist")
 
 
-@query(f"WITH {SHARDS}, f AS (SELECT query_id, shard_id, count(*) AS n, max(dist) AS far FROM h GROUP BY query_id, shard_id HAVING count(*) >= 10 AND round(max(dist), 6) <= 1.5), w AS (SELECT query_id, arg_min(shard_id, shard_id * 3 % 4) AS shard_id FROM f GROUP BY query_id) SELECT query_id, shard_id, rnk, neighbor_id, round(dist, 6) AS dist FROM h JOIN w USING (query_id, shard_id)")
+@query(f"WITH {SHARDS}, f AS (SELECT query_id, shard_id, count(*) AS n, max(dist) AS far FROM h GROUP BY query_id, shard_id HAVING count(*) >= 10 AND round(max(dist), 6) <= 1.63), w AS (SELECT query_id, arg_min(shard_id, shard_id * 3 % 4) AS shard_id FROM f GROUP BY query_id) SELECT query_id, shard_id, rnk, neighbor_id, round(dist, 6) AS dist FROM h JOIN w USING (query_id, shard_id)")
 def q_shard_fallback(spark, d):
     order = spark.createDataFrame([(i, i * 3 % 4) for i in range(4)], "shard_id long, place long")
-    found = search.first_hit(shard_hits(spark, d), order, K, F.round("dist", 6) <= 1.5)
+    found = search.first_hit(shard_hits(spark, d), order, K, F.round("dist", 6) <= 1.63)
     return dist6(found).select("query_id", "shard_id", "rnk", "neighbor_id", "dist")
 
 

@@ -16,12 +16,12 @@ def read_vectors(spark: SparkSession, url: str, name: str, parts: int = 8, expec
     """
     for x in (name, id_column, vector_column):
         V.check_identifier(x)
-    source = spark.read.format("jdbc").option("url", url).options(**options)
-    low, high = source.option("query", f"SELECT MIN({quote}{id_column}{quote}) AS low, MAX({quote}{id_column}{quote}) AS high FROM {name}").load().first()
+    source = lambda: spark.read.format("jdbc").option("url", url).options(**options)
+    low, high = source().option("query", f"SELECT MIN({quote}{id_column}{quote}) AS low, MAX({quote}{id_column}{quote}) AS high FROM {name}").load().first()
     if low is None:
-        rows = source.option("dbtable", name).load()
+        rows = source().option("dbtable", name).load()
     else:
-        rows = source.option("dbtable", name).options(partitionColumn=id_column, lowerBound=low, upperBound=high + 1, numPartitions=parts).load()
+        rows = source().option("dbtable", name).options(partitionColumn=id_column, lowerBound=low, upperBound=high + 1, numPartitions=parts).load()
     found = rows.select(F.col(id_column).cast("long").alias("vec_id"), V.from_text(F.col(vector_column).cast("string")).alias("embedding"))
     return found if expected is None else check_rows(found, expected)
 
