@@ -4,7 +4,9 @@ A vector is cut into segments of equal length; per segment it keeps its mean and
 what is left after the mean is taken away). For two segments of length m the inner product is at most
 m * mean * mean' + deviation * deviation' (Cauchy-Schwarz), and |x - y|**2 is at least
 m * (mean - mean')**2 + (deviation - deviation')**2, so a pair whose bound can't reach a query's k-th best score
-so far is dropped. Levels go from few segments to many; only survivors of the last are scored exactly.
+so far is dropped. Levels go from few segments to many. At each the most promising candidates are scored exactly,
+which raises the k-th best score so far, and only vectors that some query of the tile still needs go on to the next
+level; only survivors of the last are scored, as one product where most of a tile's pairs are left.
 
 Queries and vectors are dealt into blocks of about BLOCK rows by hash; each pair of blocks is one group, which
 returns its k best per query, and the groups' results are ranked once more. So a task holds two blocks at a
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
 DENSE = 0.02
 TILE = 256
 """Queries that are compared with a block at a time."""
@@ -52,19 +54,21 @@ def block_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k
     vs, out = [_stats(v, s) for s in levels], ([], [], [])
     for a in range(0, len(q), TILE):
         part, ids, exact = q[a : a + TILE], qid[a : a + TILE], exact_q[a : a + TILE]
-        qs = [_stats(part, s) for s in levels]
-        upper = np.full((len(part), len(v)), np.inf)
-        for (qm, qd), (vm, vd) in zip(qs, vs, strict=True):  # a level's bound is one product of means and deviations side by side
-            np.minimum(upper, np.hstack([qm, qd]) @ np.hstack([vm, vd]).T, out=upper)
-        upper[ids[:, None] == vid[None, :]] = -np.inf
-        # the most promising candidates set each query's threshold
-        first = min(len(v), 4 * k)
-        some = np.argpartition(-upper, first - 1, axis=1)[:, :first]
-        seed = np.einsum("ijk,ik->ij", v[some], part)
-        seed[ids[:, None] == vid[some]] = -np.inf
-        floor = np.sort(seed, axis=1)[:, -k] if first > k else np.full(len(part), -np.inf)
-        slack = 1e-6 * (1 + np.abs(floor, where=np.isfinite(floor), out=np.zeros(len(floor)))) + 1e-9 * np.abs(upper, where=np.isfinite(upper), out=np.zeros_like(upper)).max(axis=1)
-        alive = (upper >= (floor - slack)[:, None]) & np.isfinite(upper)
+        alive = ids[:, None] != vid[None, :]
+        floor, cols = np.full(len(part), -np.inf), np.arange(len(v))
+        upper = np.where(alive, np.inf, -np.inf)
+        for level, (vm, vd) in zip(levels, vs, strict=True):  # a level's bound is one product of means and deviations side by side
+            bound = np.hstack(_stats(part, level)) @ np.hstack([vm[cols], vd[cols]]).T
+            upper[:, cols] = np.minimum(upper[:, cols], bound)
+            first = min(len(v), 4 * k)
+            if first > k:
+                some = np.argpartition(-upper, first - 1, axis=1)[:, :first]
+                seed = np.where(alive[np.arange(len(part))[:, None], some], np.einsum("ijk,ik->ij", v[some], part), -np.inf)
+                floor = np.maximum(floor, np.sort(seed, axis=1)[:, -k])
+            slack = 1e-6 * (1 + np.abs(floor, where=np.isfinite(floor), out=np.zeros(len(floor)))) + 1e-9 * np.abs(bound).max(initial=0)
+            alive &= upper >= (floor - slack)[:, None]
+            upper[~alive] = -np.inf
+            cols = np.flatnonzero(alive.any(axis=0))
         if not big and alive.mean() > DENSE:  # most pairs are left: their scores are had cheaper as one product
             scores = np.where(alive, part @ v.T, -np.inf)
             kth = -np.partition(-scores, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
