@@ -1,17 +1,21 @@
 """Training-data operators against brute force, round trips and held-out labels, with the odd inputs that each must take."""
 
+import glob
 import hashlib
+import math
+import os
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import best_fit_packing, chat_formatting, common, compact_windows, decontamination, hilbert_sharding, importance_resampling, ngram_jaccard, segment_topk, suffix_dedup, toxicity
+from tidemark.llm import best_fit_packing, chat_formatting, common, compact_windows, decontamination, hilbert_sharding, importance_resampling, ngram_jaccard, queries, segment_topk, suffix_dedup, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -145,19 +149,23 @@ def test_compact_windows(spark, odd, empty, sf_dir):
 
 def test_decontamination(spark, odd, empty, sf_dir):
     docs, bench = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    items = {r.item_id: words(r.text) for r in bench.collect()}
-    want = set()
+    number = defaultdict(lambda: len(number))
+    ids = lambda text: np.array([number[w] for w in words(text)])
+    items, want = {r.item_id: ids(r.text) for r in bench.collect()}, set()
     for r in docs.select("doc_id", "text").collect():
-        w = words(r.text)
+        w = ids(r.text)
         for i, b in items.items():
             n = min(13, len(b))
-            need = n - 2 if len(b) >= 13 else n
-            if len(b) >= 5 and any(sum(x == y for x, y in zip(w[p : p + n], b[q : q + n], strict=False)) >= need for p in range(len(w) - n + 1) for q in range(len(b) - n + 1)):
+            if len(b) < 5 or len(w) < n or len(np.intersect1d(w, b)) < (n - 2 if len(b) >= 13 else n):
+                continue
+            same = w[:, None] == b[None, :]
+            total = sum(same[k : len(w) - n + 1 + k, k : len(b) - n + 1 + k].astype(np.int8) for k in range(n))
+            if total.max() >= (n - 2 if len(b) >= 13 else n):
                 want.add((r.doc_id, i))
-        if len(want) > 3:
-            break
-    last = r.doc_id
-    assert {(r.doc_id, r.item_id) for r in decontamination.overlaps(docs.where(F.col("doc_id") <= last), bench).collect()} == want
+    got = decontamination.overlaps(docs, bench).collect()
+    assert want and {(r.doc_id, r.item_id) for r in got} == want
+    twice = decontamination.overlaps(docs.unionByName(docs), bench.unionByName(bench)).collect()
+    assert sorted(map(tuple, twice)) == sorted(map(tuple, got))
     own = [(1, "a b c d e f g h i j k l m n o p"), (2, None), (3, "x y z"), (4, "p q r s t")]
     b2 = spark.createDataFrame(own, "item_id long, text string")
     d2 = spark.createDataFrame([(1, "z a b X d e f g Y i j k l m n o p q"), (2, "a X c Y e Z g h i Q k l m n"), (3, "o p q r s t u"), (4, None), (5, "p q r X t")], "doc_id long, text string")
@@ -166,6 +174,22 @@ def test_decontamination(spark, odd, empty, sf_dir):
     assert decontamination.overlaps(empty, bench).count() == 0 and decontamination.overlaps(odd, b2.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    want, got = con.execute(queries.ORACLES[name]).df(), queries.QUERIES[name](spark, sf_dir).toPandas()
+    assert sorted(map(tuple, got[want.columns].values.tolist())) == sorted(map(tuple, want.values.tolist())) and set(got.columns) == set(want.columns)
+
+
+def test_added_conversation(spark, sf_dir):
+    own = "</s>[INST] ok [/INST]"
+    (row,) = queries.op5_chat_formatting(spark, sf_dir).where("conv_id = -7").collect()
+    assert row.turns_sha256 == hashlib.sha256(f"user\n{own}\nassistant\n{own}\n".encode()).hexdigest()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, len(own), hashlib.sha256(own.encode()).hexdigest())
+
+
 def test_chat_formatting(spark):
     texts = ["</s>[INST] ok [/INST]", "\\[INST] [\\INST]\\", "<|end|>\n<|turn|>", None, "", "a\\\\b<<SYS>>"]
     rows = [(c, t, ["user", "assistant", None][(c + t) % 3], texts[(c * 2 + t) % 6], "extra") for c in range(4) for t in range(5)]
@@ -204,6 +228,13 @@ def test_hilbert_shards(spark, odd, empty, sf_dir):
         assert all(sorted(s) == list(range(len(s))) for s in sizes)
         raw = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
         assert all(s == len(raw[i]) + 1 and c == zlib.crc32(raw[i]) for i, s, c in zip(got.doc_id, got["size"], got.text_crc32, strict=True))
+    placed = got.sort_values(["shard", "slot"])  # the order is the curve's, whose path another test holds
+    assert placed.curve.is_monotonic_increasing and placed["rank"].tolist() == list(range(len(placed)))
+    cells = common.documents(spark, sf_dir).select("doc_id", hilbert_sharding._log_bucket(F.octet_length(F.coalesce("text", F.lit(""))) + 1, 5).alias("a"), *[hilbert_sharding._hash_bucket(F.col(c), 5).alias(c) for c in ("source", "lang")])
+    cells = cells.withColumn("curve", hilbert_sharding.hilbert_index([F.col(c) for c in ("a", "source", "lang")], 5)).toPandas().set_index("doc_id").curve
+    assert (cells[got.doc_id].to_numpy() == got.curve.to_numpy()).all()
+    sizes = placed.groupby("shard")["size"].agg(["min", "max"])
+    assert ((sizes["min"] <= 300) & (sizes["max"] >= 300)).sum() < 16  # a reader that wants one size skips shards
     assert hilbert_sharding.shard(empty).count() == 0
 
 
@@ -295,6 +326,12 @@ def test_importance_resampling(spark, odd, empty, sf_dir):
     docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     w = common.cut(importance_resampling.weights(docs, labels.where("quality = 1")), "w").toPandas()
     good = set(r.doc_id for r in labels.where("quality = 1").collect())
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    held = {d: Counter(importance_resampling._buckets(common.Words(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])))[0].tolist()) for d, t in texts.items()}
+    raw_n, target_n = (sum((held[d] for d in some), Counter()) for some in (held, [d for d in held if d in good]))
+    size, sizes = importance_resampling.BUCKETS, (raw_n.total(), target_n.total())
+    log_weight = {d: sum(k * (math.log((target_n[b] + 1) / (sizes[1] + size)) - math.log((raw_n[b] + 1) / (sizes[0] + size))) for b, k in own.items()) for d, own in held.items()}
+    assert np.allclose(w.log_weight, [log_weight[d] for d in w.doc_id]) and w.n_grams.tolist() == [held[d].total() for d in w.doc_id]
     target, raw = importance_resampling.bucket_counts(docs.where(F.col("doc_id").isin(list(good)))), importance_resampling.bucket_counts(docs)
     assert raw.sum() == w.n_grams.sum() and target.sum() == w[w.doc_id.isin(good)].n_grams.sum()
     junk = labels.where("quality = 0").toPandas().doc_id

@@ -76,7 +76,47 @@ QUERIES = {
     )
 }
 
+# what escaping adds to a text: one character for each backslash, one for each control string
+_ESCAPED = r"length({0}) + length({0}) - length(replace({0}, chr(92), '')) + len(regexp_extract_all({0}, '<\||</?s>|<</?SYS>>|\[/?INST\]'))"
+_FRAME = len(chat_formatting.TURN + chat_formatting.TEXT + chat_formatting.END)
+
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM t
+),
+k AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS print FROM g GROUP BY doc_id),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY print) AS class_id FROM k),
+h AS (SELECT g.doc_id, g.s, c.n FROM g JOIN c ON c.doc_id = g.doc_id AND c.class_id = g.doc_id),
+e AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach(node, other) AS (SELECT class_id, class_id FROM c UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON b.u = r.other),
+label AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT t.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(label.component_id, t.doc_id) AS component_id, coalesce(c.class_id, t.doc_id) AS class_id
+FROM t LEFT JOIN c USING (doc_id) LEFT JOIN label ON label.node = c.class_id
+""",
+    "op5_chat_formatting": f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
+  UNION ALL
+  SELECT -7, i, ['user', 'assistant'][i + 1], x, ['user', 'assistant'][i + 1], x FROM (SELECT unnest([0, 1]) AS i, '</s>[INST] ok [/INST]' AS x)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({_FRAME} + {_ESCAPED.format('role')} + {_ESCAPED.format('text')}) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+""",
     "op7_segment_topk": """
 WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS DOUBLE) FOR x IN embedding] AS x FROM embeddings),
 s AS (
