@@ -2,7 +2,7 @@
 
 Partitions pack their pieces by best fit, largest first, and emit nearly full bins. Underfull bins go on as
 items: a few partitions' worth are merged into one for the next best-fit round, until one partition is left or
-a round saves nothing. Each round writes where a bin went (parent, offset); a piece's place is the sum along
+a round saves next to nothing (SAVES). Each round writes where a bin went (parent, offset); a piece's place is the sum along
 the way. No partition of a round holds more than about ``PART_ITEMS`` items, since their number decides how
 many partitions there are.
 """
@@ -24,6 +24,8 @@ from . import common as C
 PART_ITEMS = 50_000
 NEARLY_FULL = 4
 """Bins with at most so many free places are emitted without another round."""
+SAVES = 0.001
+"""Where several partitions are left, rounds go on while the last one saved this share of the open bins or more."""
 
 _ENCODERS: dict[str, object] = {}
 
@@ -159,7 +161,7 @@ def pack(items: DataFrame, capacity: int, part_items: int = PART_ITEMS) -> DataF
         bins = placed.groupBy("parent").agg(F.first("fill").alias("fill"))
         left = C.cut(bins.where(~full).select(F.col("parent").alias("id"), F.col("fill").alias("size")), "packing-open")
         m = left.count()
-        last = parts == 1 or (before is not None and m > 0.98 * before)
+        last = parts == 1 or (before is not None and m > (1 - SAVES) * before)
         if last or m == 0:
             done = done.withColumn("closed", F.lit(True))
             break
