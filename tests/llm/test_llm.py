@@ -274,6 +274,23 @@ def test_best_fit_packing(spark, odd, empty, sf_dir):
     assert best_fit_packing.pack_documents(empty, TOKENIZER).count() == 0
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("some words "), 60_000).alias("text"))
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes], pa.int64())], names=["bytes"]) for b in batches)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        common.bound_batches(spark)
+        got = [r.bytes for r in docs.mapInArrow(sizes, "bytes long").collect()]
+        assert len(got) > 4 and max(got) < 2 * common.BATCH_BYTES
+        spark.conf.set(name, "1000")
+        common.bound_batches(spark)
+        assert int(spark.conf.get(name).rstrip("b")) == 1000
+    finally:
+        spark.conf.set(name, before.rstrip("b"))
+
+
 def test_encoder_matches_the_tokenizers_library():
     from tokenizers import Tokenizer
 

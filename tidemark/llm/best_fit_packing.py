@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,18 +36,18 @@ class Encoder:
 
     The file's vocabulary is loaded into a faster encoder that gives the same ids, since in such files a token's
     id is its merge rank. Texts that hold the text of an added token (which the library reads as that token), and
-    texts on which the fast one gives up, are encoded by the tokenizers library itself.
+    texts on which the fast one gives up, are encoded by the tokenizers library itself, which is loaded when the
+    first of them comes.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         if model["normalizer"] is not None or model["pre_tokenizer"]["type"] != "ByteLevel" or model["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path} isn't a plain byte-level BPE")
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         special = {t["id"] for t in model["added_tokens"]}
         self.added = [t["content"] for t in model["added_tokens"]]
         byte_of = self._bytes()
@@ -60,6 +61,12 @@ class Encoder:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         try:
             if not any(t in text for t in self.added):
@@ -83,6 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0,
     ``length`` are cut, into pieces of that length of which the first may be shorter.
     """
 
+    C.bound_batches(docs.sparkSession)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:

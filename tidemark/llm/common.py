@@ -42,6 +42,21 @@ def _give_back() -> None:
 _give_back()
 
 
+BATCH_BYTES = 4 << 20
+"""Rows go to Python in batches of about so many bytes: by count alone, a batch grows with the length of the texts."""
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have this session's Arrow batches end at BATCH_BYTES, where its own bound isn't smaller.
+
+    The session keeps the setting, since plans are made when their result is asked for. Results don't depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name, None) or "")
+    if now is None or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset and all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

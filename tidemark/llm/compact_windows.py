@@ -64,6 +64,7 @@ def nodes(words: C.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summaries(docs: DataFrame, length: int) -> DataFrame:
+    C.bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in C.blocks(batch):
@@ -79,6 +80,7 @@ def _summaries(docs: DataFrame, length: int) -> DataFrame:
 
 def _intervals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pair, side, from, tokens) of the wanted intervals (pair, side, doc_id, from, to): the tokens that begin in them."""
+    C.bound_batches(docs.sparkSession)
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pair", "side", "from", "to")).alias("asked"))
     asked = C.cut(asked, "intervals-asked")
     rows, keep = C.only(docs, asked.select("doc_id"))
@@ -147,6 +149,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, length: int, percent: int) -> Da
 
 def _signatures(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(key, doc_id, place) with a signature as key: of the nodes ``wanted`` (key, doc_id, place) those that are the smallest of a window."""
+    C.bound_batches(docs.sparkSession)
     asked = C.cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("asked")), "nodes-asked")
     rows, keep = C.only(docs, asked.select("doc_id"))
     window = length - SHINGLE + 1

@@ -129,6 +129,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     WINDOW - 1 words must occur whole; shorter, empty and null items match nothing, as do null and empty texts.
     Words are compared with A-Z lower-cased. Rows without doc_id or item_id are ignored, rows that repeat count once.
     """
+    C.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
 
     def scan(block: object):

@@ -34,6 +34,7 @@ def _buckets(words: C.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """How often each bucket occurs in all of ``docs``; summed in slices over tasks."""
+    C.bound_batches(docs.sparkSession)
     width = BUCKETS // 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,6 +71,7 @@ def gumbel(ident: Column, seed: int) -> Column:
 
 def weights(docs: DataFrame, target_ids: DataFrame, seed: int = 0) -> DataFrame:
     """Per document: doc_id, n_grams, log_weight, key (log weight plus Gumbel variate). ``target_ids``: doc_id of target text."""
+    C.bound_batches(docs.sparkSession)
     sample = F.broadcast(target_ids.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_SAMPLE))
     ratio = log_ratio(bucket_counts(docs.join(sample, "doc_id", "left_semi")), bucket_counts(docs))
     sent = docs.sparkSession.sparkContext.broadcast(ratio)

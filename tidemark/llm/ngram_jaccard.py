@@ -53,6 +53,7 @@ def _grams(words: C.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """2**bits counters of how many documents hold n-grams of each hash bucket; their size doesn't depend on the input."""
+    C.bound_batches(docs.sparkSession)
     width = 1 << min(SLICE_BITS, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +86,7 @@ def gram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
 
 def heads(docs: DataFrame, n: int, percent: int, bits: int = 23) -> DataFrame:
     """Per document: doc_id, n_grams, a 128-bit fingerprint of the set (f1, f2) and the head: its rarest n-grams."""
+    C.bound_batches(docs.sparkSession)
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, n, bits))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +112,7 @@ def heads(docs: DataFrame, n: int, percent: int, bits: int = 23) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(doc_id, grams) of the whole texts of ``ids``."""
 
+    C.bound_batches(docs.sparkSession)
     rows, keep = C.only(docs, ids)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,7 @@ def minimisers(words: C.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
 def _summaries(docs: DataFrame, length: int) -> DataFrame:
     """Per document: doc_id, words, fingerprint of all words (f1, f2), heads of the kept suffixes, each once, and whether the text has it twice."""
 
+    C.bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in C.blocks(batch):
@@ -63,6 +64,7 @@ def _summaries(docs: DataFrame, length: int) -> DataFrame:
 
 def _read(docs: DataFrame, asked: DataFrame, column: str, each, schema: str) -> DataFrame:
     """``each(words, list column, ids)`` of the blocks of documents in ``asked`` (doc_id, ``column``)."""
+    C.bound_batches(docs.sparkSession)
     rows, keep = C.only(docs, asked.select("doc_id"))
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +220,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     Words inside a removed range go with the white space behind them; all else stays as it is. Texts that were
     null or empty before stay, and so do rows without a doc_id; rows that share a doc_id lose the same word ranges.
     """
+    C.bound_batches(docs.sparkSession)
     doc_col, row_col, span_col = (C.free(docs, c) for c in ("repeat_doc", "repeat_row", "repeat_spans"))
     spans = passages(docs, length).where("not first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(span_col))
     spans = C.cut(spans, "repeats").withColumnRenamed("doc_id", doc_col)

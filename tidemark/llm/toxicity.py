@@ -275,6 +275,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of labelled documents, chosen by a hash of doc_id; held-out rows give no labels."""
+    C.bound_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not counts:
@@ -326,6 +327,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = PREDICTED) -> DataF
     Rows are judged by their texts alone: a null doc_id is no matter, repeated rows stay or go alike, null and empty
     texts score as texts in which no landmark is met.
     """
+    C.bound_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +346,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts score as a text in which no landmark is met. Rows that repeat score alike; a null
     doc_id is kept, and not held out. Only doc_id and text are read.
     """
+    C.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
