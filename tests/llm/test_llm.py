@@ -276,7 +276,7 @@ def test_best_fit_packing(spark, odd, empty, sf_dir):
 
 def test_batches_are_bounded_by_bytes(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
+    before, reader = spark.conf.get(name), "spark.sql.parquet.columnarReaderBatchSize"
     docs = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("some words "), 60_000).alias("text"))
     sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes], pa.int64())], names=["bytes"]) for b in batches)
     try:
@@ -287,7 +287,12 @@ def test_batches_are_bounded_by_bytes(spark):
         spark.conf.set(name, "1000")
         common.bound_batches(spark)
         assert int(spark.conf.get(name).rstrip("b")) == 1000
+        for own, after in ((4096, common.READ_ROWS), (64, 64)):
+            spark.conf.set(reader, str(own))
+            common.bound_batches(spark)
+            assert int(spark.conf.get(reader)) == after
     finally:
+        spark.conf.unset(reader)
         spark.conf.set(name, before.rstrip("b"))
 
 

@@ -46,15 +46,19 @@ BATCH_BYTES = 4 << 20
 """Rows go to Python in batches of about so many bytes: by count alone, a batch grows with the length of the texts."""
 
 
+READ_ROWS = 1024
+"""Rows a Parquet reader decodes at a time: its arrays grow with the texts in them and by doubling, and more live at once in the heap."""
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Have this session's Arrow batches end at BATCH_BYTES, where its own bound isn't smaller.
+    """Have this session's Arrow batches end at BATCH_BYTES and its Parquet batches at READ_ROWS, where its own bounds aren't smaller.
 
-    The session keeps the setting, since plans are made when their result is asked for. Results don't depend on it.
+    The session keeps the settings, since plans are made when their result is asked for. Results don't depend on them.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name, None) or "")
-    if now is None or int(now[1]) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    for name, bound in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(name, None) or "")
+        if now is None or int(now[1]) > bound:
+            spark.conf.set(name, str(bound))
 
 
 def shared_dir(spark: SparkSession) -> str:
