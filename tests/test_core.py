@@ -66,6 +66,25 @@ def test_cosine_of_zero_is_the_largest_float(spark):
     assert row.d == pytest.approx(3.4028234663852886e38)
 
 
+def against_sql(spark, folder, name, vectors, dtype="float"):
+    """A query over a folder of the vectors (vec_id, embedding, label) beside its SQL."""
+    spark.createDataFrame([(i, v, 0) for i, v in vectors], f"vec_id long, embedding array<{dtype}>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, str(folder)).select(*columns).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want.fetchall()))
+    return got
+
+
+def test_vec_text_rounds_as_its_sql(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    odd = [(0, [0.0078125, 0.0234375, -0.0078125]), (1, [nan, inf, -inf]), (2, [-0.0, 1e-9, 16777216.0]), (3, None), (4, []), (5, [1.0, None, 2.0])]
+    got = {r[0]: r[1] for r in against_sql(spark, tmp_path, "vec_text", odd)}
+    assert got[0] == "[0.007812,0.023438,-0.007812]" and got[1] == "[nan,inf,-inf]"
+
+
 def test_padding_and_missing_vectors(spark, vecs):
     asked = vecs.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     assert search.pad(search.knn(vecs.limit(2), asked, 4), asked, 4).where("neighbor_id is null").count() == 2

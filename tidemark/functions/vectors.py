@@ -1,9 +1,10 @@
-"""Vector expressions: built-in array functions only, evaluated in double precision, left to right."""
+"""Vector expressions: built-in array functions (text: an Arrow function), evaluated in double precision, left to right."""
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,12 +66,17 @@ def to_int8(v: Column, scale: float = 127.0) -> Column:
 
 
 def to_text(v: Column) -> Column:
-    """``[a,b,...]`` with six decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(doubles(v), lambda x: F.format_string("%.6f", x)), ","), F.lit("]"))
+    """``[a,b,...]`` with six decimals, rounded as C's printf does: by the exact binary value, ties to even. Java's formatter takes ties up."""
+
+    def text(vectors: pa.Array) -> pa.Array:
+        return pa.array((None if x is None else "[" + ",".join(["null" if y is None else "%.6f" % y for y in x]) + "]" for x in vectors.to_pylist()), pa.string())
+
+    return F.arrow_udf(text, "string")(doubles(v))
 
 
 def from_text(s: Column) -> Column:
-    return F.from_json(s, "array<float>")
+    """The vector of a text; ``nan`` and ``inf`` as C and Python write them, or as JSON readers take them."""
+    return F.from_json(F.regexp_replace(F.regexp_replace(s, "nan", "NaN"), "inf", "Infinity"), "array<float>")
 
 
 def valid(v: Column, dim: int) -> Column:
