@@ -85,6 +85,30 @@ def test_vec_text_rounds_as_its_sql(spark, tmp_path):
     assert got[0] == "[0.007812,0.023438,-0.007812]" and got[1] == "[nan,inf,-inf]"
 
 
+ODD_VECTORS = [(0, [3.0, 4.0, 0.5]), (1, [3.0, 4.0, 0.5]), (2, None), (3, [-3.0, -4.0, -0.5]), (50, [0.25, 1e-4, -1.0]), (100, None), (51, [0.25, 1.0001e-4, -1.0]), (150, [1000.0, 999.0, 0.001]), (151, [1000.0, 999.0, 0.0])]
+
+
+@pytest.mark.parametrize("name", ["dist_cosine"])
+def test_distances_of_all_pairs_come_from_blocks(spark, tmp_path, name):
+    assert any(r[2] is None for r in against_sql(spark, tmp_path, name, ODD_VECTORS))
+    plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_blocks_hold_each_pair_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3 if i % 7 else 2).tolist() if i % 11 else None) for i in range(90)] + [(90, [1.0, None, 2.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = e.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    for metric, f in V.BLOCKWISE.items():
+        got = {(r.query_id, r.neighbor_id): r.dist for r in search.all_pairs(e, q, f, block=16).collect()}
+        plain = {"cosine": V.cosine}[metric]
+        sides = q.withColumnRenamed("embedding", "a").crossJoin(e.withColumnRenamed("embedding", "b"))
+        want = {(r.query_id, r.vec_id): r.d for r in sides.select("query_id", "vec_id", plain(F.col("a"), F.col("b")).alias("d")).collect()}
+        assert got.keys() == want.keys() and len(got) == q.count() * e.count()
+        assert all(got[k] is None if d is None else got[k] == pytest.approx(d, abs=1e-12) for k, d in want.items())
+
+
 def test_padding_and_missing_vectors(spark, vecs):
     asked = vecs.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     assert search.pad(search.knn(vecs.limit(2), asked, 4), asked, 4).where("neighbor_id is null").count() == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +52,16 @@ def distance(metric: str, a: Column, b: Column, element: str = "float") -> Colum
     return l2(a, b) if metric == "l2" else cosine(a, b)
 
 
+def _cosine_block(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :]
+        return np.where(norms == 0, 3.4028234663852886e38, 1 - q @ v.T / norms)
+
+
+BLOCKWISE = {"cosine": _cosine_block}
+"""Distances of all rows of a matrix to all rows of another; the same as the expressions above but for the order of sums."""
+
+
 def normalize(v: Column) -> Column:
     """Unit length, the norm guarded by the float epsilon."""
     n = F.sqrt(dot(v, v) + 1.1920928955078125e-07)

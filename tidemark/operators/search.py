@@ -6,14 +6,20 @@ one matrix product in one task, and only its k best rows per query leave it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from ..functions import vectors as V
 
 BLOCK = 8192
+PAIR_BLOCK = 1024
+"""Block of what returns all pairs: a pair of blocks is a table of the square of that in one task."""
 
 
 def rank(rows: DataFrame, k: int | Column, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -46,17 +52,28 @@ def _block_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
     return qid[rows[top]], vid[cols[top]], d[top]
 
 
+def block_count(rows: DataFrame, block: int) -> int:
+    return max(1, -(-rows.count() // block))
+
+
+def dealt(base: DataFrame, queries: DataFrame, nb: int, nq: int) -> PandasCogroupedOps:
+    """``queries`` (query_id, ...) cogrouped with ``base`` (vec_id, ...), in nq and nb blocks: each query meets each row in just one group."""
+    spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    b = base.withColumns({"vb": spot("vec_id", nb), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
+    q = queries.withColumns({"qb": spot("query_id", nq), "vb": F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))})
+    return q.groupBy("qb", "vb").cogroup(b.groupBy("qb", "vb"))
+
+
 def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", self_too: bool = True, block: int = BLOCK, shard: Column | None = None) -> DataFrame:
     """query_id, rnk, neighbor_id, dist of the k nearest of ``base`` (vec_id, embedding) to ``queries`` (query_id, embedding).
 
     With ``shard``, an expression over ``base``, the k nearest of each shard, and shard_id, in the same one pass.
     """
     V.distance(metric, F.lit(None), F.lit(None)) if metric not in V.METRICS else None
-    nb, nq = (max(1, -(-n // block)) for n in (base.count(), queries.count()))
-    spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    nb, nq = block_count(base, block), block_count(queries, block)
     own = (shard if shard is not None else F.lit(0)).cast("long").alias("shard_id")
-    b = base.select("vec_id", V.doubles(F.col("embedding")).alias("x"), own).withColumns({"vb": spot("vec_id", nb), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
-    q = queries.select("query_id", V.doubles(F.col("embedding")).alias("x")).withColumns({"qb": spot("query_id", nq), "vb": F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))})
+    b = base.select("vec_id", V.doubles(F.col("embedding")).alias("x"), own)
+    q = queries.select("query_id", V.doubles(F.col("embedding")).alias("x"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
@@ -68,12 +85,43 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", self_to
                 found.append((*best, np.full(len(best[0]), s)))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "neighbor_id", "dist", "shard_id"])
 
-    pairs = q.groupBy("qb", "vb").cogroup(b.groupBy("qb", "vb")).applyInArrow(meet, "query_id long, neighbor_id long, dist double, shard_id long")
+    pairs = dealt(b, q, nb, nq).applyInArrow(meet, "query_id long, neighbor_id long, dist double, shard_id long")
     if shard is None:
         return rank(pairs, k).select("query_id", "rnk", "neighbor_id", "dist")
     return rank(pairs, k, ("query_id", "shard_id")).select("query_id", "shard_id", "rnk", "neighbor_id", "dist")
 
 
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of the vectors of each length; vectors that are null or hold a null are left out."""
+    x = column.combine_chunks()
+    length = pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False).copy()
+    length[pc.list_parent_indices(x).filter(x.flatten().is_null()).to_numpy()] = -1
+    return {int(n): (np.flatnonzero(length == n), x.filter(pa.array(length == n)).flatten().to_numpy().reshape(-1, n) if n else np.empty((np.sum(length == 0), 0))) for n in np.unique(length) if n >= 0}
+
+
+def all_pairs(base: DataFrame, queries: DataFrame, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = PAIR_BLOCK) -> DataFrame:
+    """query_id, neighbor_id, dist of each query (query_id, embedding) with each row of ``base`` (vec_id, embedding), unrounded.
+
+    ``distance`` takes a matrix of queries and one of vectors, as V.BLOCKWISE has them. The distance is null if a
+    vector is null or holds a null, or if their lengths differ.
+    """
+    b = base.select("vec_id", V.doubles(F.col("embedding")).alias("x"))
+    q = queries.select("query_id", V.doubles(F.col("embedding")).alias("x"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        dist, known = np.zeros((left.num_rows, right.num_rows)), np.zeros((left.num_rows, right.num_rows), bool)
+        if left.num_rows and right.num_rows:
+            vectors = _by_length(right["x"])
+            for n, (i, qx) in _by_length(left["x"]).items():
+                if n in vectors:
+                    j, vx = vectors[n]
+                    dist[np.ix_(i, j)], known[np.ix_(i, j)] = distance(qx, vx), True
+        rows, cols = (pa.array(x) for x in (np.repeat(np.arange(left.num_rows), right.num_rows), np.tile(np.arange(right.num_rows), left.num_rows)))
+        return pa.table([left["query_id"].combine_chunks().take(rows), right["vec_id"].combine_chunks().take(cols), pa.array(dist.ravel(), mask=~known.ravel())], names=["query_id", "neighbor_id", "dist"])
+
+    return dealt(b, q, block_count(base, block), block_count(queries, block)).applyInArrow(meet, "query_id long, neighbor_id long, dist double")
+
+
 def live(base: DataFrame, extras: DataFrame, deleted: DataFrame) -> DataFrame:
     """The live set: base and extras without what was deleted (vec_id)."""
     return base.unionByName(extras).join(deleted.select("vec_id"), "vec_id", "left_anti")
