@@ -58,8 +58,14 @@ def _cosine_block(q: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.where(norms == 0, 3.4028234663852886e38, 1 - q @ v.T / norms)
 
 
-BLOCKWISE = {"cosine": _cosine_block}
-"""Distances of all rows of a matrix to all rows of another; the same as the expressions above but for the order of sums."""
+def _l2_block(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (q @ v.T)
+
+
+BLOCKWISE = {"cosine": _cosine_block, "l2_integer": _l2_block}
+"""Distances of all rows of a matrix to all rows of another; cosine is the expression above but for the order of sums.
+l2_integer, squared, is exact for components that are integers, since no sum is rounded."""
 
 
 def normalize(v: Column) -> Column:
