@@ -88,7 +88,7 @@ def test_vec_text_rounds_as_its_sql(spark, tmp_path):
 ODD_VECTORS = [(0, [3.0, 4.0, 0.5]), (1, [3.0, 4.0, 0.5]), (2, None), (3, [-3.0, -4.0, -0.5]), (50, [0.25, 1e-4, -1.0]), (100, None), (51, [0.25, 1.0001e-4, -1.0]), (150, [1000.0, 999.0, 0.001]), (151, [1000.0, 999.0, 0.0])]
 
 
-@pytest.mark.parametrize("name", ["dist_cosine", "dist_l2_int8"])
+@pytest.mark.parametrize("name", ["dist_cosine", "dist_l2_int8", "dist_l2_expanded"])
 def test_distances_of_all_pairs_come_from_blocks(spark, tmp_path, name):
     assert any(r[2] is None for r in against_sql(spark, tmp_path, name, ODD_VECTORS))
     plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
@@ -102,7 +102,7 @@ def test_blocks_hold_each_pair_once(spark):
     q = e.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
     for metric, f in V.BLOCKWISE.items():
         got = {(r.query_id, r.neighbor_id): r.dist for r in search.all_pairs(e, q, f, block=16).collect()}
-        plain = {"cosine": V.cosine, "l2_integer": V.l2}[metric]
+        plain = {"cosine": V.cosine, "l2_integer": V.l2, "l2_expanded": lambda a, b: F.sqrt(V.l2(a, b))}[metric]
         sides = q.withColumnRenamed("embedding", "a").crossJoin(e.withColumnRenamed("embedding", "b"))
         want = {(r.query_id, r.vec_id): r.d for r in sides.select("query_id", "vec_id", plain(F.col("a"), F.col("b")).alias("d")).collect()}
         assert got.keys() == want.keys() and len(got) == q.count() * e.count()

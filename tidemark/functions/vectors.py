@@ -30,11 +30,6 @@ def l2(a: Column, b: Column) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)))
 
 
-def l2_expanded(a: Column, b: Column) -> Column:
-    """Euclidean distance by norms and inner product, clamped at 0."""
-    return F.sqrt(F.greatest(F.lit(0.0), dot(a, a) + dot(b, b) - 2 * dot(a, b)))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """1 - cosine similarity; the largest float if a vector has no length."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -63,7 +58,17 @@ def _l2_block(q: np.ndarray, v: np.ndarray) -> np.ndarray:
         return (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (q @ v.T)
 
 
-BLOCKWISE = {"cosine": _cosine_block, "l2_integer": _l2_block}
+def _l2_expanded_block(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distance by norms and inner product, clamped at 0. Where norms and product cancel all but a thousandth, or aren't finite, the difference is taken instead."""
+    with np.errstate(all="ignore"):
+        squared, norms = _l2_block(q, v), (v * v).sum(1)
+        for i, x in enumerate(q):
+            near = np.flatnonzero(~(squared[i] > 1e-3 * (x @ x + norms)))
+            squared[i, near] = ((v[near] - x) ** 2).sum(1)
+        return np.sqrt(np.maximum(0.0, squared))
+
+
+BLOCKWISE = {"cosine": _cosine_block, "l2_integer": _l2_block, "l2_expanded": _l2_expanded_block}
 """Distances of all rows of a matrix to all rows of another; cosine is the expression above but for the order of sums.
 l2_integer, squared, is exact for components that are integers, since no sum is rounded."""
 
