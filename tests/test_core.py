@@ -109,6 +109,23 @@ def test_blocks_hold_each_pair_once(spark):
         assert all(got[k] is None if d is None else got[k] == pytest.approx(d, abs=1e-12) for k, d in want.items())
 
 
+def test_nearest_codes_are_those_of_all_look_up_distances(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "embeddings").where("vec_id < 120").select("vec_id", "embedding")
+    e = e.union(e.select(F.col("vec_id") + 1000, "embedding")).union(spark.sql("SELECT 990L, CAST(null AS array<float>)"))  # copies are ties
+    q = e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    book, ranges = catalog.book(e), quantize.chunks(64, 8)
+    codes = tables.written(quantize.encode(e, book, ranges), "codes")
+    want = search.rank(quantize.adc(q, codes, book, ranges).withColumn("dist", F.round("dist", 9)), 7)
+    got = quantize.adc_nearest(q, codes, e.count(), book, ranges, 7, block=64)
+    key = lambda df: sorted((r.query_id, r.rnk, r.neighbor_id) for r in df.collect())
+    assert key(got) == key(want) and got.count() == 7 * q.count()
+
+
+def test_pq_search_makes_no_rows_of_all_pairs(spark, sf_dir):
+    plan = catalog.QUERIES["pq_rerank_knn"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "sum(d" not in plan
+
+
 def test_padding_and_missing_vectors(spark, vecs):
     asked = vecs.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     assert search.pad(search.knn(vecs.limit(2), asked, 4), asked, 4).where("neighbor_id is null").count() == 2

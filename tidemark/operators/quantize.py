@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ CODEBOOK_ROWS = 65_536
 """Codebooks and centre tables of at most so many rows are broadcast."""
 
 
+ADC_BLOCK = 2048
+"""Look-up distances are added up for so many queries and codes at a time."""
+
+
 SAMPLE_ROWS = 65_536
 """Centres, codebooks and seeds are learned from at most so many rows, those with the smallest hashes of their id."""
 
@@ -175,6 +180,39 @@ def adc(queries: DataFrame, codes: DataFrame, codebook: DataFrame, ranges: list[
     return codes.select(F.col("vec_id").alias("neighbor_id"), "chunk", "code").join(table, ["chunk", "code"]).groupBy("query_id", "neighbor_id").agg(F.sum("d").alias("dist"))
 
 
+def adc_nearest(queries: DataFrame, codes: DataFrame, points: int, codebook: DataFrame, ranges: list[tuple[int, int]], k: int, digits: int = 9, block: int = ADC_BLOCK) -> DataFrame:
+    """query_id, rnk, neighbor_id, dist: the k least look-up distances of each query, rounded to ``digits`` before they are ordered.
+
+    What ``adc`` has as rows of all pairs is added up here in blocks of ``points`` codes (how many are coded) and queries.
+    """
+    tables = lookup(queries, codebook, ranges).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "code", "d"))).alias("t"))
+    q = tables.select("query_id", "t.chunk", "t.code", "t.d")
+    b = codes.where("vec_id is not null").groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "code"))).alias("c")).select("vec_id", "c.chunk", "c.code")
+    lists = lambda t, name: t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("vec_id")
+            chunk, code, d = lists(left, "chunk")[0], lists(left, "code")[0], np.nan_to_num(lists(left, "d").astype(float), nan=np.inf, posinf=np.inf)
+            dist = np.zeros((left.num_rows, right.num_rows))
+            for c, own in zip(*(lists(right, name).T for name in ("chunk", "code")), strict=True):
+                first = np.searchsorted(chunk, c[0])
+                dist += d[:, first + np.searchsorted(code[chunk == c[0]], own)]
+            dist = np.floor(dist * 10**digits + 0.5) / 10**digits
+            kth = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
+            rows, cols = np.nonzero(dist <= kth[:, None])
+            best = np.lexsort((cols, dist[rows, cols], rows))
+            rows, cols = rows[best], cols[best]
+            top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            rows, cols = rows[top], cols[top]
+            found = (left["query_id"].to_numpy()[rows], right["vec_id"].to_numpy()[cols], dist[rows, cols])
+        return pa.table([pa.array(x) for x in found], names=["query_id", "neighbor_id", "dist"])
+
+    nb, nq = max(1, -(-points // block)), search.block_count(queries, block)
+    return search.rank(search.dealt(b, q, nb, nq).applyInArrow(meet, "query_id long, neighbor_id long, dist double"), k)
+
+
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The k best of ``candidates`` (query_id, neighbor_id) by exact distance."""
     full = candidates.select("query_id", "neighbor_id").join(base.select(F.col("vec_id").alias("neighbor_id"), F.col("embedding").alias("b")), "neighbor_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
