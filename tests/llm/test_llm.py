@@ -4,6 +4,7 @@ import glob
 import hashlib
 import math
 import os
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -473,3 +474,21 @@ def test_toxicity_reads_over_white_space():
     spaced = ["you i d i o t stay.", "so id iot stay", "you i\td  i o t", "it is i d i o t so be it"]
     assert (scores(pa.array([f"{calm()} {t} {calm()}" for t in spaced])) > 0.3).all()
     assert (scores(pa.array([f"{calm()} so it is a do to {calm()}" for _ in range(20)])) < 0.3).all()
+
+
+def test_slices_reach_the_driver_in_one_job(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(40)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("slices", "slices")
+    counts = ngram_jaccard.gram_counts(docs, 3, 18)
+    spark.sparkContext.setJobGroup("others", "others")
+    assert counts.sum() == 40 * 3 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("slices")) <= 3
+
+
+def test_what_a_cut_shuffled_goes_with_it(spark):
+    made = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = made()
+    common.cut(spark.range(1000).groupBy(F.col("id") % 7).count(), "shuffled")
+    until = time.time() + 20
+    while made() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not made() - before

@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +75,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that its lineage ends in replicated files."""
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What an action in this block shuffled goes when the action ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Cuts made in this block are deleted at its end, but for those that are to be kept: only these may be read later."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _SCOPES.pop()):
+            path.getFileSystem(conf).delete(path, True)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that its lineage ends in replicated files; ``keep``: beyond the block of ``passing``."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    outer = _SCOPES[:-1] if keep else _SCOPES
+    if outer:
+        outer[-1].append(path)
+    with cleaned(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -324,7 +356,9 @@ def only(docs: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("text",))
             yield pa.record_batch([pa.array(list(marked), pa.int32()), pa.array([np.packbits(x).tobytes() for x in marked.values()], pa.binary())], names=["slice", "bits"])
 
     whole = np.zeros(bits // 8, np.uint8)
-    for row in ids.select(F.explode(places).alias("at")).repartition(bits // width, (F.col("at") / width).cast("int")).mapInArrow(mark, "slice int, bits binary").toLocalIterator():
+    with cleaned(docs.sparkSession):  # collected in one job; an iterator runs one for each partition
+        slices = ids.select(F.explode(places).alias("at")).repartition(bits // width, (F.col("at") / width).cast("int")).mapInArrow(mark, "slice int, bits binary").collect()
+    for row in slices:
         whole[row.slice * width // 8 : (row.slice + 1) * width // 8] |= np.frombuffer(row.bits, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(whole)
 

@@ -78,8 +78,10 @@ def gram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
 
     schema = "slice int, counts binary"
     slices = docs.select("text").mapInArrow(count, schema).repartition(16, "slice").mapInArrow(add, schema)
+    with C.cleaned(docs.sparkSession):  # collected in one job; an iterator runs one for each partition
+        rows = slices.collect()
     out = np.zeros(1 << bits, np.uint16)
-    for row in slices.toLocalIterator():
+    for row in rows:
         out[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.counts, np.uint16)
     return out
 
@@ -169,7 +171,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 23, stars:
     classes = rows.where("n_grams > 0").groupBy("n_grams", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     reps = rows.where("n_grams > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     entries = reps.select(F.col("doc_id").alias("d"), F.col("n_grams").cast("int").alias("n"), F.posexplode("head").alias("i", "g"))
-    shared = entries.groupBy("g").agg(F.count("*").alias("k"), F.max("n").alias("most")).where("k > 1 and most > 0").select("g")  # with n, both branches read one shuffle of the heads
+    shared = C.cut(entries.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "gram-shared")  # what counting shuffled goes before the entries are shuffled
     block = C.cut(entries.join(shared, "g").select("g", "d", "n", "i"), "gram-blocks")
     centre = C.cut(block.groupBy("g").agg(F.min(F.struct("i", "d", "n")).alias("p")).select("g", "p.*").toDF("g", "pi", "pd", "pn"), "gram-centres")
 
