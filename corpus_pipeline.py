@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import best_fit_packing, decontamination, ngram_jaccard, suffix_dedup, toxicity
-from tidemark.llm.common import cut, identified, restored, without
+from tidemark.llm.common import cut, identified, passing, restored, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     document, and give way to documents with an id. Null and empty texts are near to nothing, and stay.
     """
     rows, lacks = identified(docs)
-    groups = ngram_jaccard.join(rows, n=5, percent=80)
-    kept = without(rows, cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates"))
+    with passing(spark):
+        groups = ngram_jaccard.join(rows, n=5, percent=80)
+        copies = cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates", keep=True)
+    kept = without(rows, copies)
     again = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     if not again.isEmpty():
         once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*kept.columns)).alias("row")).select("row.*")

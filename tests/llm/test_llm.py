@@ -492,3 +492,15 @@ def test_what_a_cut_shuffled_goes_with_it(spark):
     while made() - before and time.time() < until:
         time.sleep(0.2)
     assert not made() - before
+
+
+def test_steps_leave_only_the_cuts_they_read(spark, odd, sf_dir):
+    import corpus_pipeline
+
+    shared = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    kept = corpus_pipeline.drop_near_duplicates(spark, odd, sf_dir)
+    trimmed = corpus_pipeline.cut_repeated_passages(spark, odd, sf_dir)
+    left = {f.rsplit("-", 1)[0] for f in set(os.listdir(shared)) - before}
+    assert left <= {"near-duplicates", "repeated-ids", "repeats", "trimming"}, left
+    assert 0 < kept.count() < odd.count() and trimmed.count() > 0

@@ -222,8 +222,9 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     C.bound_batches(docs.sparkSession)
     doc_col, row_col, span_col = (C.free(docs, c) for c in ("repeat_doc", "repeat_row", "repeat_spans"))
-    spans = passages(docs, length).where("not first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(span_col))
-    spans = C.cut(spans, "repeats").withColumnRenamed("doc_id", doc_col)
+    with C.passing(docs.sparkSession):
+        spans = passages(docs, length).where("not first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(span_col))
+        spans = C.cut(spans, "repeats", keep=True).withColumnRenamed("doc_id", doc_col)
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
