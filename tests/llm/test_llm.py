@@ -504,3 +504,34 @@ def test_steps_leave_only_the_cuts_they_read(spark, odd, sf_dir):
     left = {f.rsplit("-", 1)[0] for f in set(os.listdir(shared)) - before}
     assert left <= {"near-duplicates", "repeated-ids", "repeats", "trimming"}, left
     assert 0 < kept.count() < odd.count() and trimmed.count() > 0
+
+
+def test_python_steps_write_their_cuts_themselves(spark, odd, empty):
+    """No file of these is made by Hadoop's writer, which puts a .crc beside it and starts processes as large as the executor."""
+    shared = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    want = sorted(map(tuple, odd.select("doc_id", "text").collect()), key=str)
+    same = common.cut_mapped(odd.select("doc_id", "text").repartition(3), lambda batches: batches, "doc_id long, text string", "whole")
+    assert sorted(map(tuple, same.collect()), key=str) == want
+    assert common.cut_mapped(empty.select("doc_id"), lambda batches: batches, "doc_id long", "none").count() == 0
+    suffix_dedup.passages(odd, 50)
+    made = {name: os.listdir(f"{shared}/{name}") for name in set(os.listdir(shared)) - before}
+    for step in ("whole", "none", "suffixes", "suffixes-kept", "suffix-ahead", "suffix-windows"):
+        (files,) = [files for name, files in made.items() if name.rsplit("-", 1)[0] == step]
+        assert all(f.startswith("part-") and f.endswith(".parquet") for f in files) and bool(files) == (step != "none")
+
+    def breaks(batches):
+        yield from batches
+        raise ValueError("on purpose")
+
+    with pytest.raises(Exception, match="on purpose"):
+        common.cut_mapped(odd.select("doc_id"), breaks, "doc_id long", "broken")
+    assert [os.listdir(f) for f in glob.glob(f"{shared}/broken-*")] == [[]]
+
+
+def test_cuts_in_other_file_systems_are_written_by_spark(spark, tmp_path, monkeypatch):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.cuts.link./to", f"file://{tmp_path}")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: "viewfs://cuts/to")
+    made = common.cut_mapped(spark.range(50), lambda batches: batches, "id long", "far")
+    assert sorted(r.id for r in made.collect()) == list(range(50))
+    assert glob.glob(f"{tmp_path}/far-*/_SUCCESS")

@@ -7,15 +7,18 @@ no Python loop per word. Words are runs of bytes outside ``\\x20\\x09-\\x0D``; A
 from __future__ import annotations
 
 import ctypes
+import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,17 +105,76 @@ def passing(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
-def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that its lineage ends in replicated files; ``keep``: beyond the block of ``passing``."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def _place(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder, which the block of ``passing`` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     outer = _SCOPES[:-1] if keep else _SCOPES
     if outer:
         outer[-1].append(path)
+    return path
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that its lineage ends in replicated files; ``keep``: beyond the block of ``passing``."""
+    path = _place(df.sparkSession, name, keep)
     with cleaned(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str) -> DataFrame:
+    """The ``cut`` of ``df.mapInArrow(run, schema)``; if the shared folder is a mounted one (file:), the Python workers write its files themselves.
+
+    There Hadoop's writer starts three ``chmod`` a file, each of which has its whole executor's memory for its own until
+    it is under way; and rows needn't go back to the JVM only to be written. A file gets its name when it is whole, the
+    same one from each attempt of its task. Other file systems get theirs from Spark's writer.
+    """
+    spark, path = df.sparkSession, _place(df.sparkSession, name)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        with cleaned(spark):
+            df.mapInArrow(run, schema).write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+    folder = place.toUri().getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part, writer, rows = f"{folder}/.{task.partitionId()}-{task.taskAttemptId()}", None, 0
+        try:
+            for group in _gathered(run(batches)):
+                writer = writer or pq.ParquetWriter(part, group.schema)
+                writer.write_table(group, row_group_size=group.num_rows)
+                rows += group.num_rows
+            if writer is not None:
+                writer.close()
+                os.replace(part, f"{folder}/part-{task.partitionId():05d}.parquet")
+        finally:
+            if writer is not None:
+                writer.close()
+                with suppress(FileNotFoundError):
+                    os.remove(part)
+        yield pa.record_batch([pa.array([rows], pa.int64())], names=["rows"])
+
+    os.makedirs(folder)
+    with cleaned(spark):
+        df.mapInArrow(write, "rows long").write.format("noop").mode("overwrite").save()
+    return spark.read.schema(schema).parquet(path)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """All rows of ``batches``, as tables of about BATCH_BYTES."""
+    waiting, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.Table.from_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, or the like, that isn't a column of ``df``."""
     taken = {c.lower() for c in df.columns}

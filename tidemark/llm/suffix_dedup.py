@@ -59,11 +59,11 @@ def _summaries(docs: DataFrame, length: int) -> DataFrame:
                 prints = [pa.array(x) for x in C.fingerprints(words)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int32)), *prints, C.lists(C.signed(heads[new]), bounds), C.lists(twice, bounds)], names=["doc_id", "words", "f1", "f2", "heads", "twice"])
 
-    return docs.mapInArrow(run, "doc_id long, words int, f1 long, f2 long, heads array<long>, twice array<boolean>")
+    return C.cut_mapped(docs, run, "doc_id long, words int, f1 long, f2 long, heads array<long>, twice array<boolean>", "suffixes")
 
 
-def _read(docs: DataFrame, asked: DataFrame, column: str, each, schema: str) -> DataFrame:
-    """``each(words, list column, ids)`` of the blocks of documents in ``asked`` (doc_id, ``column``)."""
+def _read(docs: DataFrame, asked: DataFrame, column: str, each, schema: str, name: str) -> DataFrame:
+    """``each(words, list column, ids)`` of the blocks of documents in ``asked`` (doc_id, ``column``), as a cut."""
     C.bound_batches(docs.sparkSession)
     rows, keep = C.only(docs, asked.select("doc_id"))
 
@@ -77,7 +77,7 @@ def _read(docs: DataFrame, asked: DataFrame, column: str, each, schema: str) ->
                 yield each(C.Words(data, offsets), batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a).to_numpy())
 
     texts = rows.mapInArrow(pass_on, "doc_id long, text string")
-    return texts.join(asked, "doc_id").select("doc_id", "text", column).mapInArrow(run, schema)
+    return C.cut_mapped(texts.join(asked, "doc_id").select("doc_id", "text", column), run, schema, name)
 
 
 def _suffixes(docs: DataFrame, suspects: DataFrame, length: int) -> DataFrame:
@@ -99,11 +99,11 @@ def _suffixes(docs: DataFrame, suspects: DataFrame, length: int) -> DataFrame:
             out.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(reach), len(at), [None, pa.py_buffer(np.ascontiguousarray(side))]).cast(pa.binary()))
         return pa.record_batch([pa.array(C.signed(heads)), pa.array(ids[owner]), pa.array((at - low).astype(np.int32)), *out], names=["head", "doc_id", "place", "after", "before"])
 
-    return _read(docs, suspects, "matched", each, "head long, doc_id long, place int, after binary, before binary")
+    return _read(docs, suspects, "matched", each, "head long, doc_id long, place int, after binary, before binary", "suffixes-kept")
 
 
-def _reach(sorted_rows: DataFrame, side: str, width: int, name: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns of rows sorted by (head, ``side``) and ``name``: the longer common start of ``side`` with either neighbour of the same head, -1 if there is none."""
+def _reach(sorted_rows: DataFrame, side: str, width: int, name: str, keep: list[str]) -> tuple:
+    """A step and its schema for rows sorted by (head, ``side``): ``keep`` columns and ``name``, the longer common start of ``side`` with either neighbour of the same head; rows that have none go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows wait until the row after them is seen; before the first and after the last row an equal one is assumed
@@ -132,20 +132,20 @@ def _reach(sorted_rows: DataFrame, side: str, width: int, name: str, keep: list[
         up = np.concatenate([[above], between])
         best = np.maximum(up, np.append(between, below)) if below is not None else np.maximum(up[:-1], between)
         if len(best):
-            some = table.slice(0, len(best)).select(keep).append_column(name, pa.array(best.astype(np.int32)))
+            some = table.slice(0, len(best)).select(keep).append_column(name, pa.array(best.astype(np.int32))).filter(pa.array(best >= 0))
             yield from some.combine_chunks().to_batches()
 
     kinds = dict(sorted_rows.dtypes)
-    return sorted_rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + f", {name} int")
+    return run, ", ".join(f"{c} {kinds[c]}" for c in keep) + f", {name} int"
 
 
 def _candidates(suffixes: DataFrame, length: int) -> DataFrame:
     """(doc_id, reaches): of each suffix that may lie in a repeated passage its place, and how many words before and after it repeat."""
     width = length - HEAD
     right = suffixes.repartitionByRange("head", "after", "doc_id", "place").sortWithinPartitions("head", "after", "doc_id", "place")
-    right = C.cut(_reach(right, "after", width, "ahead", ["head", "doc_id", "place", "before"]).where("ahead >= 0"), "suffix-ahead")
+    right = C.cut_mapped(right, *_reach(right, "after", width, "ahead", ["head", "doc_id", "place", "before"]), "suffix-ahead")
     left = right.repartitionByRange("head", "before", "doc_id", "place").sortWithinPartitions("head", "before", "doc_id", "place")
-    both = _reach(left, "before", width, "back", ["doc_id", "place", "ahead"]).where(f"back >= 0 and back + ahead >= {width}")
+    both = left.mapInArrow(*_reach(left, "before", width, "back", ["doc_id", "place", "ahead"])).where(f"back + ahead >= {width}")
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("place", "back", "ahead")).alias("reaches"))
 
 
@@ -173,7 +173,7 @@ def _windows(docs: DataFrame, candidates: DataFrame, length: int) -> DataFrame:
             names=["w1", "w2", "doc_id", "place", "run", "step"],
         )
 
-    return _read(docs, candidates, "reaches", each, "w1 long, w2 int, doc_id long, place int, run int, step int")
+    return _read(docs, candidates, "reaches", each, "w1 long, w2 int, doc_id long, place int, run int, step int", "suffix-windows")
 
 
 def passages(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -187,7 +187,7 @@ def passages(docs: DataFrame, length: int = 50) -> DataFrame:
     ignored; rows that share a doc_id are one document, which doesn't repeat itself at one place. Extra columns aren't read.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    rows = C.cut(_summaries(docs, length), "suffixes").where(f"words >= {length}")
+    rows = _summaries(docs, length).where(f"words >= {length}")
     classes = rows.groupBy("words", "f1", "f2").agg(F.min("doc_id").alias("keep"), F.count_distinct("doc_id").alias("copies"))
     copied = rows.select("doc_id", "words", "f1", "f2").join(classes.where("copies > 1"), ["words", "f1", "f2"])
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("words").alias("end"), F.expr("doc_id = keep").alias("first"))
@@ -197,8 +197,8 @@ def passages(docs: DataFrame, length: int = 50) -> DataFrame:
     paired = suffixes.groupBy("heads").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max("twice").alias("twice")).where("a <> z or twice")
     matched = suffixes.join(paired.select("heads"), "heads").groupBy("doc_id").agg(F.collect_set("heads").alias("matched"))
     matched = C.cut(matched, "suffix-matches")
-    suffixes = C.cut(_suffixes(docs, matched, length), "suffixes-kept")
-    windows = C.cut(_windows(docs, C.cut(_candidates(suffixes, length), "suffix-candidates"), length), "suffix-windows")
+    suffixes = _suffixes(docs, matched, length)
+    windows = _windows(docs, C.cut(_candidates(suffixes, length), "suffix-candidates"), length)
     again = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max(F.expr("struct(doc_id, place + (run - 1) * step as place)")).alias("z")).where("f <> z")
     hits = windows.join(again, ["w1", "w2"]).select("doc_id", "f", F.explode(F.expr("sequence(place, place + (run - 1) * step, step)")).alias("place"))
     hits = hits.select("doc_id", "place", F.expr("doc_id = f.doc_id and place = f.place").alias("first"))
